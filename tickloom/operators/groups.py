@@ -37,9 +37,25 @@ def over(keys: Sequence[str], order: Sequence[str | Column] = ()) -> WindowSpec:
     return w.orderBy(*order) if order else w
 
 
+def known(df: DataFrame) -> tuple[int, frozenset[frozenset[str]]]:
+    """Key sets already measured as free of hot groups, with the limit they were measured at."""
+    return getattr(df, "_measured", (group_rows(df), frozenset()))
+
+
+def carry(new: DataFrame, old: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """Hand on what was measured on ``old`` to a frame with the same rows or fewer."""
+    limit, cold = known(old)
+    new._measured = (limit, cold | ({frozenset(keys)} if keys is not None else frozenset()))
+    return new
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """Groups above the row limit with their size, or None when there are none."""
     limit = group_rows(df)
+    measured_at, cold = known(df)
+    # finer keys than a measured set cannot have larger groups
+    if measured_at == limit and any(c <= frozenset(keys) for c in cold):
+        return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
     return None if counts.isEmpty() else counts
 
@@ -93,7 +109,8 @@ def group_columns(
     """Append group aggregates to every row (the ``transform`` of a groupby)."""
     if hot_groups(df, keys) is None:
         w = over(keys)
-        return df.withColumns({name: agg.over(w) for name, agg in aggregates.items()})
+        added = {name: agg.over(w) for name, agg in aggregates.items()}
+        return carry(df.withColumns(added), df, keys)
     stats = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggregates.items()])
     return attach(df, stats, keys).select(*df.columns, *aggregates)
 
@@ -116,7 +133,7 @@ def position(
         added = {out: F.row_number().over(over(keys, direction)).cast("long")}
         if total:
             added[total] = F.count(F.lit(1)).over(over(keys))
-        return df.withColumns(added)
+        return carry(df.withColumns(added), df, keys)
     pieces = cut(df, keys, order, hot)
     sizes = pieces.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_size"))
     along = F.col(BLOCK).desc() if reverse else F.col(BLOCK).asc()
@@ -162,7 +179,8 @@ def running(
 
     if hot is None:
         w = over(keys, direction)
-        return df.withColumns({out: local(fn, c, w) for out, (fn, c) in columns.items()})
+        added = {out: local(fn, c, w) for out, (fn, c) in columns.items()}
+        return carry(df.withColumns(added), df, keys)
 
     pieces = cut(df, keys, order, hot)
     place = F.struct(*order)
@@ -229,7 +247,7 @@ def framed(
     """
     hot = hot_groups(df, keys)
     if hot is None:
-        return df.withColumns(build(over(keys, order)))
+        return carry(df.withColumns(build(over(keys, order))), df, keys)
     numbered = position(df, keys, order, out="_pos")
     size = max(group_rows(df), before, after, 1)
     zero = F.col("_pos") - 1
@@ -308,7 +326,8 @@ def ranks(
             added[out] = F.when(v.isNotNull(), base[method[:-4]].cast("double") / n)
         else:
             added[out] = F.when(v.isNotNull(), base[method].cast("double"))
-    return frame.withColumns(added).select(*df.columns, *added)
+    ranked = frame.withColumns(added).select(*df.columns, *added)
+    return carry(ranked, df, keys) if hot is None else ranked
 
 
 def quantiles(
@@ -350,7 +369,8 @@ def group_median(df: DataFrame, keys: Sequence[str], columns: dict[str, str]) ->
     """Append group medians: ``{out: column}``."""
     if hot_groups(df, keys) is None:
         w = over(keys)
-        return df.withColumns({out: F.median(c).over(w) for out, c in columns.items()})
+        added = {out: F.median(c).over(w) for out, c in columns.items()}
+        return carry(df.withColumns(added), df, keys)
     for out, c in columns.items():
         df = attach(df, quantiles(df, keys, c, {out: 0.5}), keys).select(*df.columns, out)
     return df
