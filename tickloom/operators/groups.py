@@ -76,6 +76,8 @@ def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame
     they only shape the pieces; results do not depend on them.
     """
     limit = group_rows(df)
+    # read several times below and by the caller: compute it once, through the shared folder
+    df = checkpoint(df)
     wanted = F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("_rows") / limit) * 2)
     plan = hot.withColumn("_blocks", wanted.cast("long")).withColumn(
         "_every",

@@ -6,7 +6,7 @@ import importlib
 
 from tickloom.plans.base import CATALOG, Query
 
-FAMILIES = ["sampling", "paths"]
+FAMILIES = ["sampling", "paths", "labels"]
 
 
 def catalog() -> dict[str, Query]:
