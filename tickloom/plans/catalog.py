@@ -6,7 +6,7 @@ import importlib
 
 from tickloom.plans.base import CATALOG, Query
 
-FAMILIES = ["sampling", "paths", "labels"]
+FAMILIES = ["sampling", "paths", "labels", "tables"]
 
 
 def catalog() -> dict[str, Query]:
