@@ -6,7 +6,7 @@ import importlib
 
 from tickloom.plans.base import CATALOG, Query
 
-FAMILIES = ["sampling", "paths", "labels", "tables"]
+FAMILIES = ["sampling", "paths", "labels", "tables", "evaluation"]
 
 
 def catalog() -> dict[str, Query]:
