@@ -6,7 +6,7 @@ import importlib
 
 from tickloom.plans.base import CATALOG, Query
 
-FAMILIES = ["sampling", "paths", "labels", "tables", "evaluation", "diagnostics", "features"]
+FAMILIES = ["sampling", "paths", "labels", "tables", "evaluation", "diagnostics", "features", "portfolio"]
 
 
 def catalog() -> dict[str, Query]:
