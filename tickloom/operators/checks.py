@@ -205,3 +205,35 @@ def labeled_rows(
     if lag and max_lag is not None:
         kept = kept.where(F.col(lag).between(0, max_lag))
     return kept
+
+
+def score_filter(
+    df: DataFrame,
+    score: str,
+    clocks: Sequence[str] = (),
+    start: str | None = None,
+    end: str | None = None,
+    pool: DataFrame | None = None,
+    lag_sessions: int = 0,
+    clock: str = "clock",
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with a score, in the clock list or range and in the pool; and the row counts of each step."""
+    from tickloom.operators.reference import membership
+
+    in_clock = F.lit(True)
+    if clocks:
+        in_clock = in_clock & F.col(clock).isin(list(clocks))
+    if start:
+        in_clock = in_clock & (F.col(clock) >= start)
+    if end:
+        in_clock = in_clock & (F.col(clock) <= end)
+    flagged = df if pool is None else membership(df, pool, lag_sessions, "_member")
+    member = F.lit(True) if pool is None else F.col("_member")
+    scored = finite(score).isNotNull()
+    stats = flagged.agg(
+        F.count(F.lit(1)).alias("input_rows"),
+        F.count_if(scored).alias("scored_rows"),
+        F.count_if(scored & truthy(in_clock)).alias("clock_rows"),
+        F.count_if(scored & truthy(in_clock) & member).alias("kept_rows"),
+    )
+    return flagged.where(scored & truthy(in_clock) & member).select(*df.columns), stats

@@ -24,6 +24,8 @@ DEFAULT_GROUP_ROWS = 5_000_000
 MAX_BLOCKS = 512
 SAMPLES_PER_BLOCK = 16
 HOT_GROUPS_BROADCAST = 2_000
+# Spark's default spark.sql.optimizer.windowGroupLimitThreshold
+GROUP_LIMIT = 1_000
 BLOCK = "_block"
 
 
@@ -341,9 +343,9 @@ def quantiles(
     a running sum over blocks, and the two neighbours of each quantile picked.
     """
     if hot_groups(df, keys) is None:
-        return df.groupBy(*keys).agg(
-            *[F.percentile(F.col(value), F.lit(p)).alias(out) for out, p in columns.items()]
-        )
+        shares = F.array(*[F.lit(float(p)) for p in columns.values()])
+        found = df.groupBy(*keys).agg(F.percentile(F.col(value), shares).alias("_q"))
+        return found.select(*keys, *[F.col("_q")[i].alias(out) for i, out in enumerate(columns)])
     v = F.col(value)
     groups = df.select(*keys).distinct() if keys else None
     counts = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_peers"))
@@ -385,11 +387,21 @@ def top_rows(
     n: int,
     out: str = "rank",
 ) -> DataFrame:
-    """First n rows per group with their place. Spark cuts to n rows per group before
-    the shuffle (window group limit), so a hot group never travels whole."""
+    """First n rows per group with their place.
+
+    Up to GROUP_LIMIT rows Spark cuts every group to n rows before the shuffle
+    (window group limit), so a hot group never travels whole. For larger n the
+    rows of hot groups are first cut within hashed shares of their group.
+    """
     if not keys:
         best = df.orderBy(*order).limit(n)
         # at most n rows are left
         return best.withColumn(out, F.row_number().over(Window.orderBy(*order)))
+    if n > GROUP_LIMIT and hot_groups(df, keys) is not None:
+        plain = [c for c, kind in df.dtypes if not kind.startswith("map")]
+        share = F.pmod(F.xxhash64(*plain), F.lit(MAX_BLOCKS))
+        spread = df.withColumn("_share", share)
+        within = spread.withColumn("_p", F.row_number().over(over([*keys, "_share"], list(order))))
+        df = within.where(F.col("_p") <= n).drop("_p", "_share")
     numbered = df.withColumn(out, F.row_number().over(over(keys, list(order))))
-    return numbered.where(F.col(out) <= n)
+    return carry(numbered.where(F.col(out) <= n), df)

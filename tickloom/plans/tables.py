@@ -693,3 +693,56 @@ def _(t):
     return t.events.select("event_id", C.micros("ts").alias("us"), F.inline(listed)).select(
         "event_id", "horizon", (F.col("us") + F.col("s").cast("long") * 1_000_000).alias("target")
     )
+
+
+SCORED = f"""{POOL}, sr AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, o_custkey AS symbol, CASE o_orderkey % 3 WHEN 0 THEN '09:31' WHEN 1 THEN '09:40' ELSE '10:05' END AS clock,
+    CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice END AS score FROM orders),
+  sf AS (SELECT sr.*, p.symbol IS NOT NULL AS member, clock IN ('09:31', '10:05') AND clock <= '10:00' AS ok FROM sr LEFT JOIN pool p USING (date, symbol))"""
+
+
+def scored(t):
+    i = F.col("o_orderkey")
+    rows = orders_rows(t).join(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey").withColumns(
+        {
+            "clock": F.when(i % 3 == 0, "09:31").when(i % 3 == 1, "09:40").otherwise("10:05"),
+            "score": F.when(i % 7 > 0, F.col("o_totalprice")),
+        }
+    )
+    return K.score_filter(rows, "score", ["09:31", "10:05"], end="10:00", pool=pool(t))
+
+
+@query(
+    "score_filter_rows", "FLT-10",
+    f"WITH {SCORED} SELECT o_orderkey, score FROM sf WHERE score IS NOT NULL AND ok AND member",
+    doubles="score",
+)
+def _(t):
+    return scored(t)[0].select("o_orderkey", "score")
+
+
+@query(
+    "score_filter_counts", "FLT-10",
+    f"""WITH {SCORED} SELECT count(*) AS input_rows, count(score) AS scored_rows, count_if(score IS NOT NULL AND ok) AS clock_rows, count_if(score IS NOT NULL AND ok AND member) AS kept_rows FROM sf""",
+)
+def _(t):
+    return scored(t)[1]
+
+
+@query(
+    "published_days", "SRC-20 SRC-21",
+    f"""WITH {PANEL} SELECT substr(date, 1, 7) || '-01' AS date, substr(date, 1, 4) AS year, symbol, rid, CAST(CAST(turnover AS FLOAT) AS DOUBLE) AS turnover FROM panel""",
+    doubles="turnover", digits=2,
+)
+def _(t):
+    """Publish half of the months, resume with all of them, read the table back."""
+    import uuid
+
+    from tickloom.session import shared_folder
+
+    first = F.concat(F.substring("date", 1, 7), F.lit("-01"))
+    rows = W.narrow_floats(t.panel.select(first.alias("date"), "symbol", "rid", "turnover"))
+    path = f"{shared_folder(t.spark)}/published-{uuid.uuid4().hex}"
+    W.publish_days(rows.where(F.substring("date", 6, 2) <= "06"), path)
+    W.publish_days(rows, path, resume=True)
+    back = t.spark.read.schema("symbol string, rid long, turnover float, year string, date string").parquet(path)
+    return back.select("date", "year", "symbol", "rid", "turnover")

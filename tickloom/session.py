@@ -44,14 +44,19 @@ def local_session(cpus: int | str = "*", name: str = "tickloom") -> SparkSession
     return tune(spark)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one where unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tickloom-checkpoint-"))
+    return context.getCheckpointDir()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder named by ``spark.checkpoint.dir``.
 
     Where the session names none (local tests) a temporary folder is used.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tickloom-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators.groups import quantiles
+from tickloom.operators.groups import attach, group_rows, hot_groups, quantiles
 
 
 def narrow_floats(df: DataFrame) -> DataFrame:
@@ -40,8 +40,6 @@ def finished_days(spark: SparkSession, path: str, columns: Sequence[str], date:
 
 def publish_days(df: DataFrame, path: str, date: str = "date", resume: bool = False) -> None:
     """One partition per year and day. A resumed run writes only the missing days.
-
-    Rows spread over each day's files by a hash, so a heavy day is not one task.
     """
     rows = df.withColumn("year", F.substring(F.col(date).cast("string"), 1, 4))
     if resume:
@@ -50,10 +48,17 @@ def publish_days(df: DataFrame, path: str, date: str = "date", resume: bool = Fa
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-    spread = F.pmod(F.xxhash64(*[c for c, k in df.dtypes if not k.startswith("map")]), F.lit(8))
+    heavy = hot_groups(rows, [date])
+    parts = ["year", date]
+    if heavy is not None:
+        # rows of a heavy day go to several files, by a hash, so that no day is one task
+        plain = [c for c, k in df.dtypes if not k.startswith("map")]
+        files = F.ceil(F.col("_rows") / group_rows(df)).cast("long")
+        rows = attach(rows, heavy.withColumn("_files", files).select(date, "_files"), [date])
+        rows = rows.withColumn("_file", F.pmod(F.xxhash64(*plain), F.coalesce("_files", F.lit(1)))).drop("_files")
+        parts.append("_file")
     (
-        rows.withColumn("_file", spread)
-        .repartition("year", date, "_file")
+        rows.repartition(*parts)
         .drop("_file")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
