@@ -114,6 +114,15 @@ def weighted_mean(v: Column | str, w: Column | str) -> Column:
     return F.try_divide(F.sum(F.when(used, value * weight)), F.sum(F.when(used, weight)))
 
 
+# differences of means (excess returns, correlations) that are truly zero come out as noise of either sign
+NOISE = 1e-9
+
+
+def above_zero(c: Column | str) -> Column:
+    """Positive beyond rounding noise, for values that are differences of means."""
+    return col(c) > NOISE
+
+
 def share(cond: Column) -> Column:
     """Share of rows where the condition holds (NULL condition: row not counted)."""
     return F.avg(cond.cast("double"))

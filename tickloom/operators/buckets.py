@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.numeric import BPS, correlation, safe_div, share
+from tickloom.functions.numeric import BPS, above_zero, correlation, safe_div, share
 from tickloom.operators.evaluate import newey_west, with_place
 from tickloom.operators.groups import attach, carry, group_columns, over, quantiles, ranks, running
 
@@ -27,7 +27,7 @@ def _stability(df: DataFrame, grain: Sequence[str], value: str, month: str) -> D
     monthly = df.groupBy(*grain, month).agg(F.avg(value).alias("_m"))
     return monthly.groupBy(*grain).agg(
         F.count(F.lit(1)).alias("months"),
-        F.count_if(F.col("_m") > 0).alias("positive_months"),
+        F.count_if(above_zero("_m")).alias("positive_months"),
         F.min("_m").alias("month_min"),
         F.max("_m").alias("month_max"),
     )
@@ -54,7 +54,7 @@ def bucket_summary(
     stats = rows.groupBy(*grain).agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg(e).alias("mean_excess_bps"),
-        share(e > 0).alias("positive_excess_rate"),
+        share(above_zero(e)).alias("positive_excess_rate"),
         F.avg(F.greatest(e, F.lit(0.0))).alias("positive_part_bps"),
         F.avg(F.least(e, F.lit(0.0))).alias("negative_part_bps"),
         share(F.col("realized_pct") <= 0.05).alias("realized_top5_rate"),
@@ -75,7 +75,7 @@ def shape_summary(ranked: DataFrame, cuts: Sequence[int], by: Sequence[str] = ()
     stats = rows.groupBy(*grain).agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg("excess_bps").alias("mean_excess_bps"),
-        share(F.col("excess_bps") > 0).alias("positive_excess_rate"),
+        share(above_zero("excess_bps")).alias("positive_excess_rate"),
         share(F.col("realized_pct") <= 0.10).alias("realized_top10_rate"),
     )
     return attach(stats, quantiles(rows, grain, "excess_bps", {"median_excess_bps": 0.5}), grain)
@@ -118,7 +118,7 @@ def scope_ic(
 def ic_summary(ic: DataFrame, grain: Sequence[str], value: str = "spearman_ic", month: str | None = "month") -> DataFrame:
     """Groups, mean, quantiles and positive share of an IC, with monthly stability."""
     stats = ic.groupBy(*grain).agg(
-        F.count(value).alias("groups"), F.avg(value).alias("mean_ic"), share(F.col(value) > 0).alias("positive_rate")
+        F.count(value).alias("groups"), F.avg(value).alias("mean_ic"), share(above_zero(value)).alias("positive_rate")
     )
     cuts = quantiles(ic, grain, value, {"median_ic": 0.5, "p10_ic": 0.1, "p90_ic": 0.9})
     out = attach(stats, cuts, grain)
@@ -153,7 +153,7 @@ def daily_ic_summary(ic: DataFrame, metrics: Sequence[str], date: str, by: Seque
         F.count("value").alias("observations"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
-        share(F.col("value") > 0).alias("positive_rate"),
+        share(above_zero("value")).alias("positive_rate"),
     )
     hac = newey_west(long, "value", date, lag, grain).select(*grain, "se")
     out = attach(stats, hac, grain)

@@ -26,7 +26,9 @@ SAMPLES_PER_BLOCK = 16
 HOT_GROUPS_BROADCAST = 2_000
 # Spark's default spark.sql.optimizer.windowGroupLimitThreshold
 GROUP_LIMIT = 1_000
-BLOCK = "_block"
+# internal column names share a prefix that callers do not use
+BLOCK = "_gk_block"
+ROWS = "_gk_rows"
 
 
 def group_rows(df: DataFrame) -> int:
@@ -58,7 +60,7 @@ def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     # finer keys than a measured set cannot have larger groups
     if measured_at == limit and any(c <= frozenset(keys) for c in cold):
         return None
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gk_rows")).where(F.col("_gk_rows") > limit)
     return None if counts.isEmpty() else counts
 
 
@@ -80,30 +82,30 @@ def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame
     limit = group_rows(df)
     # read several times below and by the caller: compute it once, through the shared folder
     df = checkpoint(df)
-    wanted = F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("_rows") / limit) * 2)
-    plan = hot.withColumn("_blocks", wanted.cast("long")).withColumn(
-        "_every",
-        F.greatest(F.lit(1), F.floor(F.col("_rows") / (F.col("_blocks") * SAMPLES_PER_BLOCK))),
+    wanted = F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("_gk_rows") / limit) * 2)
+    plan = hot.withColumn("_gk_blocks", wanted.cast("long")).withColumn(
+        "_gk_every",
+        F.greatest(F.lit(1), F.floor(F.col("_gk_rows") / (F.col("_gk_blocks") * SAMPLES_PER_BLOCK))),
     )
     small = plan.limit(HOT_GROUPS_BROADCAST + 1).count() <= HOT_GROUPS_BROADCAST
     hint = F.broadcast if small else (lambda side: side)
     rows = attach(df.select(*keys, *order), hint(plan), keys, "inner")
-    points = rows.where(F.pmod(F.xxhash64(*order), F.col("_every")) == 0)
+    points = rows.where(F.pmod(F.xxhash64(*order), F.col("_gk_every")) == 0)
     listed = F.sort_array(F.collect_set(F.struct(*order)))
-    bounds = points.groupBy(*keys).agg(listed.alias("_points"), F.max("_blocks").alias("_blocks"))
-    step = F.greatest(F.lit(1), F.floor(F.size("_points") / F.col("_blocks")).cast("int"))
+    bounds = points.groupBy(*keys).agg(listed.alias("_gk_points"), F.max("_gk_blocks").alias("_gk_blocks"))
+    step = F.greatest(F.lit(1), F.floor(F.size("_gk_points") / F.col("_gk_blocks")).cast("int"))
     bounds = checkpoint(
-        bounds.withColumn("_step", step).select(
+        bounds.withColumn("_gk_step", step).select(
             *keys,
-            F.expr("filter(_points, (p, i) -> i % _step = 0)").alias("_bounds"),
+            F.expr("filter(_gk_points, (p, i) -> i % _gk_step = 0)").alias("_gk_bounds"),
         )
     )
     here = F.struct(*order)
-    block = F.size(F.filter("_bounds", lambda b: b <= here))
+    block = F.size(F.filter("_gk_bounds", lambda b: b <= here))
     return (
         attach(df, hint(bounds), keys)
         .withColumn(BLOCK, F.coalesce(block, F.lit(0)))
-        .drop("_bounds")
+        .drop("_gk_bounds")
     )
 
 
@@ -139,21 +141,21 @@ def position(
             added[total] = F.count(F.lit(1)).over(over(keys))
         return carry(df.withColumns(added), df, keys)
     pieces = cut(df, keys, order, hot)
-    sizes = pieces.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = pieces.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_gk_size"))
     along = F.col(BLOCK).desc() if reverse else F.col(BLOCK).asc()
     earlier = over(keys, [along]).rowsBetween(Window.unboundedPreceding, -1)
     # one row per block and group: at most MAX_BLOCKS rows in a window
     offsets = sizes.select(
         *keys,
         BLOCK,
-        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_size").over(over(keys)).alias("_total"),
+        F.coalesce(F.sum("_gk_size").over(earlier), F.lit(0)).alias("_gk_before"),
+        F.sum("_gk_size").over(over(keys)).alias("_gk_total"),
     )
     placed = attach(pieces, offsets, [*keys, BLOCK])
     local = F.row_number().over(over([*keys, BLOCK], direction))
-    placed = placed.withColumn(out, (local + F.col("_before")).cast("long"))
+    placed = placed.withColumn(out, (local + F.col("_gk_before")).cast("long"))
     if total:
-        placed = placed.withColumn(total, F.col("_total"))
+        placed = placed.withColumn(total, F.col("_gk_total"))
     return placed.select(*df.columns, out, *([total] if total else []))
 
 
@@ -200,7 +202,7 @@ def running(
         }[fn]()
 
     partials = pieces.groupBy(*keys, BLOCK).agg(
-        *[partial(fn, c).alias(f"_p_{out}") for out, (fn, c) in columns.items()]
+        *[partial(fn, c).alias(f"_gk_p_{out}") for out, (fn, c) in columns.items()]
     )
     along = F.col(BLOCK).desc() if reverse else F.col(BLOCK).asc()
     earlier = over(keys, [along]).rowsBetween(Window.unboundedPreceding, -1)
@@ -213,7 +215,7 @@ def running(
         *keys,
         BLOCK,
         *[
-            carry_fn[fn](f"_p_{out}").over(earlier).alias(f"_c_{out}")
+            carry_fn[fn](f"_gk_p_{out}").over(earlier).alias(f"_gk_c_{out}")
             for out, (fn, _) in columns.items()
         ],
     )
@@ -221,7 +223,7 @@ def running(
     w = over([*keys, BLOCK], direction)
     merged = {}
     for out, (fn, c) in columns.items():
-        here, before = local(fn, c, w), F.col(f"_c_{out}")
+        here, before = local(fn, c, w), F.col(f"_gk_c_{out}")
         if fn in ("sum", "count"):
             merged[out] = F.when(before.isNull(), here).otherwise(
                 before + F.coalesce(here, F.lit(0))
@@ -252,9 +254,9 @@ def framed(
     hot = hot_groups(df, keys)
     if hot is None:
         return carry(df.withColumns(build(over(keys, order))), df, keys)
-    numbered = position(df, keys, order, out="_pos")
+    numbered = position(df, keys, order, out="_gk_pos")
     size = max(group_rows(df), before, after, 1)
-    zero = F.col("_pos") - 1
+    zero = F.col("_gk_pos") - 1
     piece, place = F.floor(zero / size), zero % size
     spot = lambda p, copy: F.struct(p.alias("piece"), F.lit(copy).alias("copy"))
     copies = F.array_compact(
@@ -264,10 +266,10 @@ def framed(
             F.when(place < after, spot(piece - 1, True)),
         )
     )
-    spread = numbered.withColumn("_spot", F.explode(copies)).withColumn("_piece", F.col("_spot.piece"))
-    added = build(over([*keys, "_piece"], ["_pos"]))
+    spread = numbered.withColumn("_gk_spot", F.explode(copies)).withColumn("_gk_piece", F.col("_gk_spot.piece"))
+    added = build(over([*keys, "_gk_piece"], ["_gk_pos"]))
     built = spread.withColumns(added)
-    return built.where(~F.col("_spot.copy")).select(*df.columns, *added)
+    return built.where(~F.col("_gk_spot.copy")).select(*df.columns, *added)
 
 
 def ranks(
@@ -298,28 +300,28 @@ def ranks(
         frame = df
     else:
         # equal values collapse to one row before anything is ordered
-        counts = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_peers"))
+        counts = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_gk_peers"))
         placed = running(
-            counts.withColumn("_one", F.lit(1)),
+            counts.withColumn("_gk_one", F.lit(1)),
             keys,
             [value],
-            {"_high": ("sum", "_peers"), "_dense": ("sum", "_one")},
+            {"_gk_high": ("sum", "_gk_peers"), "_gk_dense": ("sum", "_gk_one")},
         )
-        placed = group_columns(placed, keys, {"_n": F.sum("_peers")}).drop("_one")
+        placed = group_columns(placed, keys, {"_gk_n": F.sum("_gk_peers")}).drop("_gk_one")
         frame = attach(df, placed, [*keys, value])
         if needs_first:
             ranked = position(
-                frame.where(v.isNotNull()), keys, [value, *unique], out="_first"
+                frame.where(v.isNotNull()), keys, [value, *unique], out="_gk_first"
             )
-            empty = frame.where(v.isNull()).withColumn("_first", F.lit(None).cast("long"))
+            empty = frame.where(v.isNull()).withColumn("_gk_first", F.lit(None).cast("long"))
             frame = ranked.unionByName(empty)
-        low, high = F.col("_high") - F.col("_peers") + 1, F.col("_high")
-        n, dense = F.col("_n"), F.col("_dense")
-        first = F.col("_first") if needs_first else None
+        low, high = F.col("_gk_high") - F.col("_gk_peers") + 1, F.col("_gk_high")
+        n, dense = F.col("_gk_n"), F.col("_gk_dense")
+        first = F.col("_gk_first") if needs_first else None
         # a NULL value joined nothing: take the group size from any ranked row
         if "n" in columns.values():
-            frame = frame.drop("_n")
-            sizes = df.groupBy(*keys).agg(F.count(value).alias("_n"))
+            frame = frame.drop("_gk_n")
+            sizes = df.groupBy(*keys).agg(F.count(value).alias("_gk_n"))
             frame = attach(frame, sizes, keys)
     base = {"average": (low + high) / 2.0, "min": low, "max": high, "dense": dense, "first": first}
     added = {}
@@ -344,26 +346,26 @@ def quantiles(
     """
     if hot_groups(df, keys) is None:
         shares = F.array(*[F.lit(float(p)) for p in columns.values()])
-        found = df.groupBy(*keys).agg(F.percentile(F.col(value), shares).alias("_q"))
-        return found.select(*keys, *[F.col("_q")[i].alias(out) for i, out in enumerate(columns)])
+        found = df.groupBy(*keys).agg(F.percentile(F.col(value), shares).alias("_gk_q"))
+        return found.select(*keys, *[F.col("_gk_q")[i].alias(out) for i, out in enumerate(columns)])
     v = F.col(value)
     groups = df.select(*keys).distinct() if keys else None
-    counts = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_peers"))
-    placed = running(counts, keys, [value], {"_high": ("sum", "_peers")})
-    placed = group_columns(placed, keys, {"_n": F.sum("_peers")})
-    low = F.col("_high") - F.col("_peers")  # 0-based place of the first of the equal values
+    counts = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_gk_peers"))
+    placed = running(counts, keys, [value], {"_gk_high": ("sum", "_gk_peers")})
+    placed = group_columns(placed, keys, {"_gk_n": F.sum("_gk_peers")})
+    low = F.col("_gk_high") - F.col("_gk_peers")  # 0-based place of the first of the equal values
     picks = []
     for out, p in columns.items():
-        at = F.lit(float(p)) * (F.col("_n") - 1)
+        at = F.lit(float(p)) * (F.col("_gk_n") - 1)
         for name, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             picks.append(
-                F.max(F.when((low <= place) & (place < F.col("_high")), v)).alias(f"_{name}_{out}")
+                F.max(F.when((low <= place) & (place < F.col("_gk_high")), v)).alias(f"_gk_{name}_{out}")
             )
-    found = placed.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
+    found = placed.groupBy(*keys).agg(F.max("_gk_n").alias("_gk_n"), *picks)
     values = []
     for out, p in columns.items():
-        at = F.lit(float(p)) * (F.col("_n") - 1)
-        lo, hi = F.col(f"_lo_{out}"), F.col(f"_hi_{out}")
+        at = F.lit(float(p)) * (F.col("_gk_n") - 1)
+        lo, hi = F.col(f"_gk_lo_{out}"), F.col(f"_gk_hi_{out}")
         values.append((lo + (hi - lo) * (at - F.floor(at))).alias(out))
     result = found.select(*keys, *values)
     return attach(groups, result, keys) if keys else result
@@ -400,8 +402,8 @@ def top_rows(
     if n > GROUP_LIMIT and hot_groups(df, keys) is not None:
         plain = [c for c, kind in df.dtypes if not kind.startswith("map")]
         share = F.pmod(F.xxhash64(*plain), F.lit(MAX_BLOCKS))
-        spread = df.withColumn("_share", share)
-        within = spread.withColumn("_p", F.row_number().over(over([*keys, "_share"], list(order))))
-        df = within.where(F.col("_p") <= n).drop("_p", "_share")
+        spread = df.withColumn("_gk_share", share)
+        within = spread.withColumn("_gk_p", F.row_number().over(over([*keys, "_gk_share"], list(order))))
+        df = within.where(F.col("_gk_p") <= n).drop("_gk_p", "_gk_share")
     numbered = df.withColumn(out, F.row_number().over(over(keys, list(order))))
     return carry(numbered.where(F.col(out) <= n), df)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.numeric import BPS, clip, finite, share
+from tickloom.functions.numeric import BPS, above_zero, clip, finite, share
 from tickloom.operators.checks import rank_guard
 from tickloom.operators.cross import descending_score, rank_share
 from tickloom.operators.evaluate import with_place
@@ -104,11 +104,11 @@ def variant_summary(metrics: DataFrame, excess: str, date: str, clock: str) -> D
     measured = [c for c in metrics.columns if c.endswith("_bps") or c.endswith("_rows")]
     month = F.substring(date, 1, 7)
     stats = metrics.groupBy("variant").agg(
-        F.count(F.lit(1)).alias("groups"), *[F.avg(c).alias(c) for c in measured], share(F.col(excess) > 0).alias("positive_rate")
+        F.count(F.lit(1)).alias("groups"), *[F.avg(c).alias(c) for c in measured], share(above_zero(excess)).alias("positive_rate")
     )
     months = metrics.groupBy("variant", month.alias("_m")).agg(F.avg(excess).alias("_e"))
     minutes = metrics.groupBy("variant", clock).agg(F.avg(excess).alias("_e"))
-    positive = lambda t, name: t.groupBy("variant").agg(F.count_if(F.col("_e") > 0).alias(name))
+    positive = lambda t, name: t.groupBy("variant").agg(F.count_if(above_zero("_e")).alias(name))
     out = attach(stats, positive(months, "positive_months"), ["variant"])
     return attach(out, positive(minutes, "positive_minutes"), ["variant"])
 

@@ -31,7 +31,7 @@ def _(t):
     return ranked(t).select("rid", "turnover", "score_rank", "group_size", "excess_bps", "realized_pct")
 
 
-STAB = """SELECT {g}, count(*) AS months, count_if(m > 0) AS positive_months, min(m) AS month_min, max(m) AS month_max
+STAB = """SELECT {g}, count(*) AS months, count_if(m > 1e-9) AS positive_months, min(m) AS month_min, max(m) AS month_max
   FROM (SELECT {g}, month, avg({v}) AS m FROM {src} GROUP BY ALL) GROUP BY ALL"""
 
 
@@ -39,7 +39,7 @@ STAB = """SELECT {g}, count(*) AS months, count_if(m > 0) AS positive_months, mi
     "multiscale_buckets", "DIAG-01",
     f"""WITH {PANEL}, {RANKED}, b AS (SELECT r.*, w AS bucket_width, CAST((score_rank - 1) // w + 1 AS INTEGER) AS bucket FROM ranked r, (VALUES (2), (3)) v(w)
       WHERE score_rank <= 7 // w * w),
-    s AS (SELECT bucket_width, bucket, count(*) AS rows, avg(excess_bps) AS mean_excess_bps, avg(CAST(excess_bps > 0 AS DOUBLE)) AS positive_excess_rate,
+    s AS (SELECT bucket_width, bucket, count(*) AS rows, avg(excess_bps) AS mean_excess_bps, avg(CAST(excess_bps > 1e-9 AS DOUBLE)) AS positive_excess_rate,
       avg(greatest(excess_bps, 0)) AS positive_part_bps, avg(least(excess_bps, 0)) AS negative_part_bps, avg(CAST(realized_pct <= 0.05 AS DOUBLE)) AS realized_top5_rate,
       avg(CAST(realized_pct <= 0.10 AS DOUBLE)) AS realized_top10_rate, avg(CAST(excess_bps >= 100 AS DOUBLE)) AS big_win_100bps_rate,
       avg(CAST(excess_bps >= 300 AS DOUBLE)) AS big_win_300bps_rate, avg(CAST(excess_bps >= 500 AS DOUBLE)) AS big_win_500bps_rate,
@@ -56,7 +56,7 @@ def _(t):
 
 @query(
     "top_k_shape", "DIAG-01",
-    f"""WITH {PANEL}, {RANKED} SELECT k AS top_k, count(*) AS rows, avg(excess_bps) AS mean_excess_bps, avg(CAST(excess_bps > 0 AS DOUBLE)) AS positive_excess_rate,
+    f"""WITH {PANEL}, {RANKED} SELECT k AS top_k, count(*) AS rows, avg(excess_bps) AS mean_excess_bps, avg(CAST(excess_bps > 1e-9 AS DOUBLE)) AS positive_excess_rate,
       avg(CAST(realized_pct <= 0.10 AS DOUBLE)) AS realized_top10_rate, median(excess_bps) AS median_excess_bps FROM ranked, (VALUES (1), (3), (10)) v(k)
     WHERE score_rank <= k GROUP BY k""",
     doubles="mean_excess_bps positive_excess_rate realized_top10_rate median_excess_bps", digits=4,
@@ -94,14 +94,14 @@ def _(t):
 
 @query(
     "scope_ic_summary", "DIAG-02",
-    f"""WITH {PANEL}, {RANKED}, {SCOPED}, s AS (SELECT scope, count(spearman_ic) AS groups, avg(spearman_ic) AS mean_ic, avg(CAST(spearman_ic > 0 AS DOUBLE)) AS positive_rate,
+    f"""WITH {PANEL}, {RANKED}, {SCOPED}, s AS (SELECT scope, count(spearman_ic) AS groups, avg(spearman_ic) AS mean_ic, avg(CAST(spearman_ic > 1e-9 AS DOUBLE)) AS positive_rate,
       median(spearman_ic) AS median_ic, quantile_cont(spearman_ic, 0.1) AS p10_ic, quantile_cont(spearman_ic, 0.9) AS p90_ic FROM ic GROUP BY scope),
-    m AS ({STAB.format(g='scope', v='spearman_ic', src='ic')}) SELECT * EXCLUDE (positive_rate, positive_months) FROM s JOIN m USING (scope)""",
-    doubles="mean_ic median_ic p10_ic p90_ic month_min month_max",
+    m AS ({STAB.format(g='scope', v='spearman_ic', src='ic')}) SELECT * FROM s JOIN m USING (scope)""",
+    doubles="mean_ic median_ic p10_ic p90_ic month_min month_max positive_rate",
 )
 def _(t):
     ic = B.scope_ic(ranked(t), XS, "prediction", SCOPES)
-    return B.ic_summary(ic, ["scope"]).drop("positive_rate", "positive_months")
+    return B.ic_summary(ic, ["scope"])
 
 
 GROUP_IC = f"""gs AS (SELECT r.*, scope FROM ranked r, (VALUES ('pool', 1000000), ('top_6', 6)) v(scope, k) WHERE score_rank <= k),

@@ -161,7 +161,7 @@ def _(t):
     e AS (SELECT *, 'month' AS grain, m AS period FROM p UNION ALL SELECT *, 'quarter', year(d) || 'Q' || quarter(d) FROM p
       UNION ALL SELECT *, 'half', year(d) || CASE WHEN month(d) <= 6 THEN 'H1' ELSE 'H2' END FROM p UNION ALL SELECT *, 'year', CAST(year(d) AS VARCHAR) FROM p),
     mm AS (SELECT grain, period, m, avg(short_excess_bps) AS a, avg(next_excess_bps) AS b FROM e GROUP BY ALL),
-    mp AS (SELECT grain, period, count(*) AS months, count_if(a > 0) AS short_excess_bps_positive_months, count_if(b > 0) AS next_excess_bps_positive_months FROM mm GROUP BY ALL),
+    mp AS (SELECT grain, period, count(*) AS months, count_if(a > 1e-9) AS short_excess_bps_positive_months, count_if(b > 1e-9) AS next_excess_bps_positive_months FROM mm GROUP BY ALL),
     x AS (SELECT grain, period, count(*) AS groups, avg(short_excess_bps) AS short_excess_bps, avg(next_excess_bps) AS next_excess_bps,
       avg(short_rank_ic) AS short_rank_ic, avg(next_rank_ic) AS next_rank_ic FROM e GROUP BY ALL)
     SELECT * FROM x JOIN mp USING (grain, period)""",
@@ -202,8 +202,8 @@ def _(t):
 
 def overall_sql(c):
     r = f"{c}_rolling_4w"
-    return f"""sum({c} * trading_days) / sum(trading_days) AS {c}, count_if({c} > 0) AS {c}_positive_weeks, avg(CAST({c} > 0 AS DOUBLE)) AS {c}_positive_week_ratio,
-      min({c}) AS {c}_worst_week, count({r}) AS {c}_windows, avg(CAST({r} > 0 AS DOUBLE)) AS {c}_positive_window_ratio, min({r}) AS {c}_worst_window"""
+    return f"""sum({c} * trading_days) / sum(trading_days) AS {c}, count_if({c} > 1e-9) AS {c}_positive_weeks, avg(CAST({c} > 1e-9 AS DOUBLE)) AS {c}_positive_week_ratio,
+      min({c}) AS {c}_worst_week, count({r}) AS {c}_windows, avg(CAST({r} > 1e-9 AS DOUBLE)) AS {c}_positive_window_ratio, min({r}) AS {c}_worst_window"""
 
 
 @query(
@@ -289,7 +289,7 @@ def _(t):
     "minute_summary", "EVAL-10",
     f"""WITH {PANEL}, r AS (SELECT *, {PLACE} AS place, {rank_over('prediction', 'date, clock')} AS rs, {rank_over('label_short', 'date, clock')} AS r1 FROM panel WHERE label_short IS NOT NULL),
     g AS (SELECT date, clock, {corr('rs', 'r1')} AS ic, avg(CASE WHEN place <= 3 THEN label_short END) AS tm FROM r GROUP BY ALL)
-    SELECT clock, count(*) AS days, avg(ic) AS rank_ic_mean, avg(CAST(ic > 1e-12 AS DOUBLE)) AS rank_ic_positive_rate, avg(tm) * 10000 AS top_mean_bps,
+    SELECT clock, count(*) AS days, avg(ic) AS rank_ic_mean, avg(CAST(ic > 1e-9 AS DOUBLE)) AS rank_ic_positive_rate, avg(tm) * 10000 AS top_mean_bps,
       avg(CAST(tm > 0 AS DOUBLE)) AS top_positive_rate, stddev_samp(tm) / sqrt(count(tm)) * 10000 AS top_sem_bps FROM g GROUP BY clock""",
     doubles="rank_ic_mean rank_ic_positive_rate top_mean_bps top_positive_rate top_sem_bps", digits=5,
 )

@@ -448,8 +448,8 @@ def _(t):
     "variant_summary", "EVAL-13",
     f"""WITH {PANEL}, {SWEEP}, mo AS (SELECT variant, substr(date, 1, 7) AS m, avg(next_top_excess_bps) AS e FROM vm GROUP BY ALL), mi AS (SELECT variant, clock, avg(next_top_excess_bps) AS e FROM vm GROUP BY ALL)
     SELECT variant, count(*) AS groups, avg(rows) AS rows_mean, {', '.join(f'avg({c}) AS {c}' for c in ('alpha_candidate_rows', 'candidate_rows', 'selected_rows', *VM_D.split()))},
-      avg(CAST(next_top_excess_bps > 0 AS DOUBLE)) AS positive_rate, (SELECT count_if(e > 0) FROM mo WHERE mo.variant = vm.variant) AS positive_months,
-      (SELECT count_if(e > 0) FROM mi WHERE mi.variant = vm.variant) AS positive_minutes FROM vm GROUP BY variant""".replace("avg(rows) AS rows_mean, ", ""),
+      avg(CAST(next_top_excess_bps > 1e-9 AS DOUBLE)) AS positive_rate, (SELECT count_if(e > 1e-9) FROM mo WHERE mo.variant = vm.variant) AS positive_months,
+      (SELECT count_if(e > 1e-9) FROM mi WHERE mi.variant = vm.variant) AS positive_minutes FROM vm GROUP BY variant""".replace("avg(rows) AS rows_mean, ", ""),
     doubles=f"alpha_candidate_rows candidate_rows selected_rows positive_rate {VM_D}", digits=4,
 )
 def _(t):

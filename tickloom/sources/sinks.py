@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators.groups import attach, group_rows, hot_groups, quantiles
+from tickloom.operators.groups import ROWS, attach, group_rows, hot_groups, quantiles
 
 
 def narrow_floats(df: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def publish_days(df: DataFrame, path: str, date: str = "date", resume: bool = Fa
     if heavy is not None:
         # rows of a heavy day go to several files, by a hash, so that no day is one task
         plain = [c for c, k in df.dtypes if not k.startswith("map")]
-        files = F.ceil(F.col("_rows") / group_rows(df)).cast("long")
+        files = F.ceil(F.col(ROWS) / group_rows(df)).cast("long")
         rows = attach(rows, heavy.withColumn("_files", files).select(date, "_files"), [date])
         rows = rows.withColumn("_file", F.pmod(F.xxhash64(*plain), F.coalesce("_files", F.lit(1)))).drop("_files")
         parts.append("_file")
