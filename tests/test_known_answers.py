@@ -260,9 +260,12 @@ def test_micros_ignore_the_session_time_zone(spark):
     sql = "select timestamp_ntz'2024-03-10 02:30:00.000001' as ts"
     try:
         spark.conf.set("spark.sql.session.timeZone", "America/New_York")
-        got = spark.sql(sql).select(C.micros("ts").alias("m"), C.offset_us("ts").alias("o")).first()
+        # 02:30 does not exist in New York on that day
+        named = [C.micros("ts").alias("m"), C.offset_us("ts").alias("o"), C.clock("ts").alias("c"), C.day("ts").alias("d")]
+        got = spark.sql(sql).select(*named, C.monday("ts").alias("w"), C.month("ts").alias("n")).first()
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert (got.c, got.d, got.w, got.n) == ("02:30:00", "2024-03-10", "2024-03-04", "2024-03")
     assert got.o == 9_000_000_001 and got.m == 19792 * C.DAY_US + 9_000_000_001
 
 

@@ -26,24 +26,25 @@ def offset_us(ts: Column | str) -> Column:
 
 
 def day(ts: Column | str) -> Column:
-    return F.date_format(col(ts), "yyyy-MM-dd")
+    """ISO date text. Casts, not formats: those would pass through the session time zone."""
+    return col(ts).cast("date").cast("string")
 
 
 def clock(ts: Column | str) -> Column:
-    return F.date_format(col(ts), "HH:mm:ss")
+    return F.substring(col(ts).cast("timestamp_ntz").cast("string"), 12, 8)
 
 
 def clock_label(ts: Column | str) -> Column:
-    return F.date_format(col(ts), "HH:mm")
+    return F.substring(col(ts).cast("timestamp_ntz").cast("string"), 12, 5)
 
 
 def month(date: Column | str) -> Column:
-    return F.date_format(col(date).cast("date"), "yyyy-MM")
+    return F.substring(day(date), 1, 7)
 
 
 def monday(date: Column | str) -> Column:
     """First day (Monday) of the week, as text."""
-    return F.date_format(F.date_trunc("week", col(date).cast("timestamp_ntz")), "yyyy-MM-dd")
+    return F.trunc(col(date).cast("date"), "week").cast("string")
 
 
 def half_year(date: Column | str) -> Column:

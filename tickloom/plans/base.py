@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.clock import micros
+from tickloom.functions.clock import day, micros
 from tickloom.session import tune
 
 
@@ -32,7 +32,7 @@ class Tables:
         level = F.col("event_id") % 89
         price = F.col("value")
         return e.select(
-            F.date_format("ts", "yyyy-MM-dd").alias("date"),
+            day("ts").alias("date"),
             F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"),
             "ts",
             micros("ts").alias("t"),
@@ -57,7 +57,7 @@ class Tables:
         last = F.col("l_linenumber") == 7
         nxt = (F.col("l_extendedprice") % 1000.0) / 10000.0 - 0.05
         return line.select(
-            F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"),
+            day("l_shipdate").alias("date"),
             F.when(even, "09:31:00").otherwise("10:01:00").alias("clock"),
             F.concat(F.lit("S"), F.lpad(F.col("l_partkey").cast("string"), 6, "0")).alias("symbol"),
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rid"),
