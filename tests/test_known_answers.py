@@ -210,9 +210,9 @@ def test_heat_neutral_against_numpy(spark):
 
 def test_exposure_bias_of_the_top_row(spark):
     rows = [("c1", "A", 3.0, 30.0), ("c1", "B", 2.0, 20.0), ("c1", "C", 1.0, 10.0)]
-    df = spark.createDataFrame(rows, "clock string, symbol string, prediction double, cap double")
+    df = spark.createDataFrame(rows, "clock string, symbol string, prediction double, market_cap double")
     marked = EX.mark_selection(df, ["clock"], "prediction", 1, ["symbol"])
-    got = EX.exposure_metrics(marked, ["clock"], ["cap"], "prediction").first()
+    got = EX.exposure_metrics(marked, ["clock"], ["market_cap"], "prediction").first()
     assert got.selected_mean == 30.0 and got.candidate_mean == 20.0 and got.selected_mean_rank == 1.0
     assert got.score_correlation == pytest.approx(1.0) and got.category == "size"
 
@@ -277,3 +277,14 @@ def test_missing_aware_numbers(spark):
     assert [r.f for r in got] == [1.0, None, None] and [r.d for r in got] == [None, 1.0, None]
     assert [r.s for r in got] == [0.0, 5.0, None] and [r.m for r in got] == [0.0, 2.5, None]
     assert df.select(N.half_up_cents(F.lit(1.005)).alias("x")).first().x == 1.01
+
+
+def test_exposure_categories():
+    got = [EX.category_of(c) for c in ("spread_bps", "depth_imbalance_10", "my_turnover", "sector_code", "trade_num", "realised_vol", "foo")]
+    assert got == ["liquidity", "microstructure", "liquidity", "industry", "activity", "volatility", "custom"]
+
+
+def test_default_rules_use_the_columns_that_exist(spark):
+    df = spark.createDataFrame([("A", 0.5, 12.0)], "symbol string, return_30t double, spread_bps double")
+    got = {r.rule: r.prediction for r in E.rule_scores(df, ["symbol"]).collect()}
+    assert got == {"open_momentum_30t": 0.5, "tight_spread": -12.0}

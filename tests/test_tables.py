@@ -74,7 +74,7 @@ def test_manifest_round_trip(spark, frame, tmp_path):
 
 
 def test_canonical_names_keep_existing_targets(spark):
-    df = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)], "LastPrice double, last_price double, AskPrice3 double, bid10_volume double")
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)], "LastPrice double, last_price double, AskPrice3 double, bv10 double")
     assert S.canonical(df).columns == ["LastPrice", "last_price", "ask_price_3", "bid_volume_10"]
 
 

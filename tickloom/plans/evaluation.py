@@ -305,9 +305,8 @@ def _(t):
     doubles="turnover prediction",
 )
 def _(t):
-    rules = {"turnover_": F.col("turnover"), "volume": F.col("volume"), "cheap": -F.col("price")}
-    out = E.rule_scores(t.panel, ["rid", "turnover"], rules)
-    return out.withColumn("rule", F.rtrim(F.col("rule"), F.lit("_")))
+    rules = {"turnover": F.col("turnover"), "volume": F.col("volume"), "cheap": -F.col("price")}
+    return E.rule_scores(t.panel, ["rid", "turnover"], rules)
 
 
 @query(

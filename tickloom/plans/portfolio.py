@@ -340,7 +340,7 @@ EXPO = f"""{MARK}, el AS (SELECT date, clock, prediction, sel, 'turnover' AS exp
     (v - avg(v) OVER c) / CASE WHEN stddev_pop(v) OVER c > 0 THEN stddev_pop(v) OVER c END AS z FROM el WINDOW c AS (PARTITION BY date, clock, exposure)),
   em AS (SELECT date, clock, exposure, count(*) AS candidate_rows, count_if(sel) AS selected_rows, count(v) AS candidate_nonnull, count_if(sel) AS selected_nonnull, avg(v) AS candidate_mean,
     avg(v) FILTER (sel) AS selected_mean, avg(r) FILTER (sel) AS selected_mean_rank, avg(z) FILTER (sel) AS selected_mean_z, avg(CAST(r >= 0.9 AS DOUBLE)) FILTER (sel) AS top_decile_share,
-    avg(CAST(r <= 0.1 AS DOUBLE)) FILTER (sel) AS bottom_decile_share, {corr('rs', 'r')} AS score_correlation, 'liquidity' AS category,
+    avg(CAST(r <= 0.1 AS DOUBLE)) FILTER (sel) AS bottom_decile_share, {corr('rs', 'r')} AS score_correlation, CASE exposure WHEN 'turnover' THEN 'liquidity' ELSE 'activity' END AS category,
     avg(v) FILTER (sel) - avg(v) AS selected_minus_candidate, avg(r) FILTER (sel) - 0.5 AS rank_deviation FROM er GROUP BY date, clock, exposure)"""
 EXPO_D = "candidate_mean selected_mean selected_mean_rank selected_mean_z top_decile_share bottom_decile_share score_correlation selected_minus_candidate rank_deviation"
 

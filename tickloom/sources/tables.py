@@ -76,27 +76,32 @@ def union_tables(parts: Sequence[DataFrame], columns: Sequence[str] | None = Non
 
 # fixed values: canonical name and its accepted spellings, lower case
 ALIASES = {
-    "date": ["tradingday", "trading_day", "trade_date"],
-    "symbol": ["securityid", "security_id", "ticker", "code", "stock_code"],
-    "time": ["exchtime", "exch_time", "trade_time"],
-    "timestamp": ["datetime", "exchange_time"],
+    "date": ["tradingday"],
+    "symbol": ["ticker", "code", "security_id"],
+    "timestamp": ["datetime", "ts"],
     "exch_time_offset_us": ["exchtimeoffsetus"],
-    "last_price": ["lastprice", "last", "price"],
-    "high_price": ["highprice", "high"],
-    "low_price": ["lowprice", "low"],
-    "open_price": ["openprice", "open"],
-    "prev_close": ["preclose", "prevclose", "pre_close_price", "precloseprice"],
-    "volume": ["totalvolume", "total_volume", "cumvolume"],
-    "turnover": ["totalturnover", "total_turnover", "amount"],
-    "trade_num": ["tradenum", "num_trades"],
-    "status": ["tradingstatus", "trading_status"],
-    "limit_up_price": ["limitup", "upperlimit", "high_limit"],
-    "limit_down_price": ["limitdown", "lowerlimit", "low_limit"],
-    "total_ask_volume": ["totalaskvolume"],
-    "total_bid_volume": ["totalbidvolume"],
+    "last_price": ["last", "price", "lastprice"],
+    "high_price": ["highprice"],
+    "low_price": ["lowprice"],
+    "prev_close": ["preclose", "pre_close"],
+    "volume": ["cum_volume"],
+    "turnover": ["amount", "cum_amount", "cum_turnover"],
+    "trade_num": ["tradenum"],
+    "status": [],
     "avg_ask_price": ["avgaskprice"],
     "avg_bid_price": ["avgbidprice"],
-    "receipt_time": ["localtimestamp", "local_timestamp"],
+    "total_ask_volume": ["totalaskvolume"],
+    "total_bid_volume": ["totalbidvolume"],
+    "total_ask_count": ["totalaskcount"],
+    "total_bid_count": ["totalbidcount"],
+    "iopv": [],
+    "local_timestamp": ["localtimestamp"],
+}
+# fixed values: spellings of a depth column of side s (first letter i) at level k
+DEPTH_SPELLINGS = {
+    "price": ["{s}{k}", "{s}_price{k}", "{s}price{k}", "{i}{k}"],
+    "volume": ["{s}_vol{k}", "{s}_volume{k}", "{s}volume{k}", "{i}v{k}"],
+    "count": ["{s}count{k}"],
 }
 
 
@@ -104,10 +109,9 @@ def alias_table() -> dict[str, str]:
     """Accepted spelling to canonical name, with the ten depth levels generated by rule."""
     table = {spelling: name for name, spellings in ALIASES.items() for spelling in spellings}
     for side in ("ask", "bid"):
-        for part in ("price", "volume", "count"):
+        for part, spellings in DEPTH_SPELLINGS.items():
             for k in DEPTH:
-                for spelling in (f"{side}{part}{k}", f"{side}_{part}{k}", f"{side}{k}_{part}", f"{side}{part}_{k}"):
-                    table[spelling] = f"{side}_{part}_{k}"
+                table |= {t.format(s=side, i=side[0], k=k): f"{side}_{part}_{k}" for t in spellings}
     return table
 
 
