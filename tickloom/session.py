@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,18 +46,22 @@ def local_session(cpus: int | str = "*", name: str = "tickloom") -> SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one where unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session may leave it unset: its executors share the machine, so a temporary folder will do.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tickloom-checkpoint-"))
+        if not shared:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            shared = tempfile.mkdtemp(prefix="tickloom-checkpoint-")
+        context.setCheckpointDir(shared)
     return context.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder named by ``spark.checkpoint.dir``.
-
-    Where the session names none (local tests) a temporary folder is used.
-    """
+    """Cut lineage through the shared folder; see :func:`shared_folder`."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
