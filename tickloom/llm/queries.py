@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, mixing, simhash
+from tickloom.llm import chat, mixing, quality, simhash, toxicity
 from tickloom.llm.base import LLM_QUERIES, llm_query
+from tickloom.llm.text import bucket_of
 from tickloom.session import tune
 
 __all__ = ["LLM_QUERIES"]
@@ -18,6 +19,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+@llm_query("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.fit_quality(docs, table(spark, folder, "labels"))
+    keep = [F.col("doc_id"), (bucket_of(F.col("doc_id")) == 0).alias("held_out")]
+    return quality.score_quality(docs, model, keep, F.col("text"))
+
+
 @llm_query("op5_chat_format", chat.SQL)
 def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -25,6 +34,15 @@ def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows))
 
 
+@llm_query("op6_toxicity_cnn")
+def op6_toxicity_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    scored = toxicity.score_toxicity(docs, labels, toxicity.fit_toxicity(docs, labels))
+    return scored.select(
+        "doc_id", (bucket_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", "lang", "threshold", "flagged"
+    )
+
+
 @llm_query("op9_simhash_dedup")
 def op9_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), words=3, radius=2)
