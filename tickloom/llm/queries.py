@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, mixing, quality, simhash, toxicity
+from tickloom.llm import chat, decontaminate, html, lines, mixing, quality, secrets, simhash, toxicity
 from tickloom.llm.base import LLM_QUERIES, llm_query
 from tickloom.llm.text import bucket_of
 from tickloom.session import tune
@@ -19,6 +19,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+@llm_query("op1_decontaminate")
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@llm_query("op2_html_extract")
+def op2_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract_pages(table(spark, folder, "pages"))
+
+
+@llm_query("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    return lines.dedup_lines(docs)
+
+
 @llm_query("op4_quality_classifier")
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -43,6 +59,11 @@ def op6_toxicity_cnn(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@llm_query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digests(secrets.find_secrets(table(spark, folder, "documents")))
+
+
 @llm_query("op9_simhash_dedup")
 def op9_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), words=3, radius=2)

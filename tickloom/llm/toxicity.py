@@ -25,6 +25,8 @@ FILTERS = 8
 SPANS = (1, 2, 3)
 EPOCHS = 8
 RATE = 0.15
+STEM = 7  # leading characters that make a word's stem
+SKIP = 0.3  # share of words left out of a training step at random
 MIN_DOCS = 3  # sample documents a bucket must occur in to be trained
 SEED = 5
 SAMPLE_DOCS = 4000  # labelled documents in the training sample, half of them toxic where there are as many
@@ -34,14 +36,14 @@ EDGES = " \t.,;:!?\"'()[]{}<>*#$%&|~^`=+-_/\\@"
 
 
 class Buckets(dict):
-    """Word -> its two buckets, from 1 on; 0 pads. Forgets when it has grown large."""
+    """Word -> a bucket of its own and one of its stem, from 1 on; 0 pads. Forgets when it has grown large."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
         if len(self) > 500_000:
             self.clear()
         base = word.strip(EDGES).lower().encode()
-        code = zlib.crc32(base) | zlib.crc32(base + b"\x01") << 32
-        found = (1 + code % (BUCKETS - 1), 1 + (code >> 32) % (BUCKETS - 1)) if base else (0, 0)
+        stem = word.strip(EDGES).lower()[:STEM].encode() + b"\x01"
+        found = (1 + zlib.crc32(base) % (BUCKETS - 1), 1 + zlib.crc32(stem) % (BUCKETS - 1)) if base else (0, 0)
         self[word] = found
         return found
 
@@ -135,6 +137,7 @@ def train(texts: list[np.ndarray], y: np.ndarray) -> Network:
     for _ in range(EPOCHS):
         for i in draw.permutation(len(texts)):
             ids = np.concatenate([texts[i], np.zeros((pad, 2), np.int32)])
+            ids[draw.random(len(ids)) < SKIP] = 0
             words = tables[0][ids[:, 0]] + tables[1][ids[:, 1]]
             where, pooled = [], []
             for s, f, b in zip(SPANS, filters, biases, strict=True):
@@ -178,9 +181,9 @@ def train(texts: list[np.ndarray], y: np.ndarray) -> Network:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Network | None:
-    """Train on a sample of the marked rows whose bucket is not 0: at most ``sample_docs`` documents and, in order of a
+    """Train on a sample of the marked rows of buckets 2 to 4: at most ``sample_docs`` documents and, in order of a
     hash of the id, ``sample_words`` words. Without marks of both kinds there is no model."""
-    marks = _marks(labels).withColumn("y", (F.col("toxic") >= 0.5).cast("int"))
+    marks = _marks(labels, (2, 3, 4)).withColumn("y", (F.col("toxic") >= 0.5).cast("int"))
     order = F.md5(F.concat(F.lit(f"{SEED}:"), F.col("doc_id").cast("string")))
     chosen = [marks.where(F.col("y") == k).orderBy(order).limit(sample_docs // 2) for k in (0, 1)]
     ids = chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("id"), "y").collect()  # at most sample_docs
@@ -221,8 +224,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_D
     return train([np.array(r["ids"], np.int32).reshape(-1, 2) for r in got], y)
 
 
-def _marks(labels: DataFrame) -> DataFrame:
-    marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(bucket_of(F.col("doc_id")) != 0)
+def _marks(labels: DataFrame, buckets: tuple[int, ...]) -> DataFrame:
+    marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(bucket_of(F.col("doc_id")).isin(*buckets))
     return marks.groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
 
 
@@ -273,12 +276,12 @@ def _threshold(score: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
 def score_toxicity(docs: DataFrame, labels: DataFrame, model: Network | None, cut: float = 0.5) -> DataFrame:
     """``doc_id, lang, score, predicted, threshold, flagged`` for every row of ``docs(doc_id, text, lang)``.
 
-    ``score`` is calibrated on all marked rows whose bucket is not 0; ``predicted`` is 1 from ``cut`` on.
+    ``score`` is calibrated on all marked rows of bucket 1, which no training saw; ``predicted`` is 1 from ``cut`` on.
     ``threshold`` is the language's own (the common one where a language has no toxic mark), ``flagged`` what it gives.
     A null text is empty; repeated rows come back as often as given; an empty table gives no rows.
     """
     scored = checkpoint(raw_scores(docs, model, [F.col("doc_id"), F.col("lang")]))
-    marks = _marks(labels)
+    marks = _marks(labels, (1,))
     cell = F.floor(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("logit"))) * 20)
     joined = scored.join(marks, "doc_id").groupBy("lang", cell.alias("cell"))
     sums = joined.agg(F.sum("toxic").alias("y"), F.count("*").alias("n"))
