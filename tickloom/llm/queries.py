@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, decontaminate, html, lines, mixing, quality, secrets, simhash, toxicity
+from tickloom.llm import chat, decontaminate, html, lines, mixing, neighbours, quality, secrets, simhash, toxicity
 from tickloom.llm.base import LLM_QUERIES, llm_query
 from tickloom.llm.text import bucket_of
 from tickloom.session import tune
@@ -59,6 +59,11 @@ def op6_toxicity_cnn(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@llm_query("op7_nearest_neighbours")
+def op7_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 @llm_query("op8_secret_scan")
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, folder, "documents")))
