@@ -71,7 +71,7 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 @llm_query("op9_simhash_dedup")
 def op9_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, folder, "documents"), words=3, radius=2)
+    return simhash.near_duplicates(table(spark, folder, "documents"), words=3, form=simhash.Form(lanes=1, radius=2, first=2))
 
 
 @llm_query("op10_source_mix", mixing.SQL)
