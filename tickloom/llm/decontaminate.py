@@ -168,5 +168,5 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, unchanged."""
-    found = find_leaks(docs, benchmark, [F.col(c) for c in docs.columns], block_chars)
-    return found.where(F.size("leaks") == 0).select(*docs.columns)
+    found = find_leaks(docs, benchmark, [F.struct(*docs.columns).alias("row")], block_chars)
+    return found.where(F.size("leaks") == 0).select("row.*")

@@ -103,22 +103,26 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     null_key = F.coalesce("doc_id", F.lit(-(1 << 62)))
     marked = hits.select(null_key.alias("k_id"), "k_text", "line").groupBy("k_id", "k_text")
     marked = marked.agg(F.collect_set("line").alias("k_lines"))
-    keyed = docs.select(*columns, null_key.alias("k_id"), F.xxhash64("text").alias("k_text"))
+    keyed = docs.select(F.struct(*columns).alias("row"), null_key.alias("k_id"), F.xxhash64("text").alias("k_text"))
     joined = keyed.join(marked, ["k_id", "k_text"], "left")
-    lines = F.split("text", "\n", -1)
+    text = F.col("row")["text"]
+    lines = F.split(text, "\n", -1)
     gone = F.coalesce("k_lines", F.array().cast("array<int>"))
-    kept = F.filter(lines, lambda line, i: ~F.array_contains(gone, i.cast("int")))
-    text = F.when(F.col("k_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumns(
-        {"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_dropped": F.size(gone).cast("long"), "k_new": text}
-    ).withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
-    new = {"text": F.col("k_new")}
+    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(gone, i.cast("int"))), "\n")
+    untouched = F.col("k_lines").isNull()
+    new = {"text": F.when(untouched, text).otherwise(kept)}
     if "n_chars" in columns:
-        new["n_chars"] = F.when(F.col("k_lines").isNull(), F.col("n_chars")).otherwise(F.length("k_new").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[new.get(c, F.col(c)).alias(c) for c in columns], "n_lines", "n_dropped")
+        n_chars = F.length(kept).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(untouched, F.col("row")["n_chars"]).otherwise(n_chars)
+    return joined.select(
+        *[new.get(c, F.col("row")[c]).alias(c) for c in columns],
+        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.size(gone).cast("long").alias("n_dropped"),
+    )
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with recurring lines dropped; rows that lose every line with content go, others stay."""
-    done = dedup_lines(docs)
-    return done.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
+    done = dedup_lines(docs.withColumnsRenamed({c: f"own_{c}" for c in ("n_lines", "n_dropped") if c in docs.columns}))
+    kept = done.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
+    return kept.drop("n_lines", "n_dropped").toDF(*docs.columns)

@@ -37,8 +37,9 @@ class Forest:
     def __init__(self, vectors: np.ndarray, planes: np.ndarray, trees: int, bits: int):
         self.vectors, self.planes, self.trees, self.bits = vectors, planes, trees, bits
         self.centre = vectors.mean(axis=0)
-        # mean square length about the centre: turns a distance into an angle
-        self.spread = float(((vectors - self.centre) ** 2).sum(axis=1).mean())
+        # typical lengths about the centre: with them a distance becomes an angle
+        lengths = np.sqrt(((vectors - self.centre) ** 2).sum(axis=1))
+        self.lengths = np.quantile(lengths, np.linspace(0.05, 0.95, 10))
         keys = self.strings(vectors)
         self.order = np.argsort(keys, axis=1, kind="stable").astype(np.int32)
         self.keys = np.take_along_axis(keys, self.order, axis=1)
@@ -51,11 +52,14 @@ class Forest:
             out = out << 1 | side.T.astype(np.uint32)
         return out
 
-    def missed(self, distance: float, depth: int) -> float:
-        """Chance that a vector at ``distance`` shares no prefix of ``depth`` bits in any tree."""
-        cosine = 1 - distance**2 / (2 * self.spread) if self.spread > 0 else 1.0
+    def missed(self, length: float, distance: float, depth: int) -> float:
+        """Chance that a vector at ``distance`` from one of ``length`` shares no prefix of ``depth`` bits in any tree:
+        the mean over the typical lengths that it may have."""
+        other = self.lengths[np.abs(self.lengths - length) <= distance]
+        other = np.maximum(other if len(other) else np.array([length]), 1e-12)
+        cosine = (length**2 + other**2 - distance**2) / (2 * max(length, 1e-12) * other)
         same = 1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi
-        return (1 - same**depth) ** self.trees
+        return float(((1 - same**depth) ** self.trees).mean())
 
     def search(self, query: np.ndarray, strings: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and distances of the nearest found, ``skip`` left out; ties by place."""
@@ -64,6 +68,7 @@ class Forest:
             known[skip] = True
         places, distances = np.zeros(0, np.int64), np.zeros(0)
         low = high = None
+        length = float(np.sqrt(((query - self.centre) ** 2).sum()))
         for depth in range(self.bits, -1, -1):
             shift = self.bits - depth
             first, last = (strings >> shift) << shift, ((strings >> shift) + 1) << shift
@@ -79,7 +84,7 @@ class Forest:
                 places, distances = np.concatenate([places, fresh]), np.concatenate([distances, away])
                 best = np.lexsort((places, distances))[:k]
                 places, distances = places[best], distances[best]
-            if len(places) == k and self.missed(float(distances[-1]), depth) <= 1 - SURE:
+            if len(places) == k and self.missed(length, float(distances[-1]), depth) <= 1 - SURE:
                 break
         return places, distances
 

@@ -243,7 +243,6 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, form: Form = SIMILAR)
     Winners are chosen on ids and hashes alone; whole rows move once, for the join with them. Rows that repeat an
     id and a text are one document.
     """
-    columns = docs.columns
     # never null, from id and text alone
     key = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("k_id"), F.col("doc_id").isNull().alias("k_null"), F.xxhash64("text").alias("k_text")]
     prints = checkpoint(fingerprints(docs, key, F.col("text"), words, form))
@@ -254,5 +253,6 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, form: Form = SIMILAR)
         .agg(F.min(F.struct("k_null", "k_id", "k_text")).alias("w"))
         .select("w.k_null", "w.k_id", "w.k_text")
     )
-    kept = docs.select(*columns, *key).join(winners, ["k_null", "k_id", "k_text"], "left_semi")
-    return kept.groupBy("k_null", "k_id", "k_text").agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), *key)
+    kept = whole.join(winners, ["k_null", "k_id", "k_text"], "left_semi")
+    return kept.groupBy("k_null", "k_id", "k_text").agg(F.min("row").alias("row")).select("row.*")

@@ -103,7 +103,8 @@ class Network:
         for i, ids in enumerate(texts):
             for at in range(0, max(1, len(ids)), PIECE):
                 piece = ids[at : at + PIECE + pad]
-                pieces.append(np.concatenate([piece, tail]))
+                # only the end of the text is padded; earlier pieces overlap the next one instead
+                pieces.append(np.concatenate([piece, tail]) if at + PIECE + pad >= len(ids) else piece)
                 owners.append(i)
                 held += len(piece)
                 if held >= PIECE:
@@ -133,7 +134,7 @@ def train(texts: list[np.ndarray], y: np.ndarray) -> Network:
     g_biases = [np.full(FILTERS, 1e-3) for _ in SPANS]
     g_out, g_base = np.full(len(out), 1e-3), 1e-3
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    pad = max(SPANS) - 1
+    pad = max(SPANS)
     for _ in range(EPOCHS):
         for i in draw.permutation(len(texts)):
             ids = np.concatenate([texts[i], np.zeros((pad, 2), np.int32)])
@@ -230,7 +231,7 @@ def _marks(labels: DataFrame, buckets: tuple[int, ...]) -> DataFrame:
 
 
 def raw_scores(docs: DataFrame, model: Network | None, keep) -> DataFrame:
-    """``keep`` and ``logit`` for every whole text; 0 without a model."""
+    """``keep`` and ``logit`` for every whole text. Without a model nothing is known against any text: -20."""
 
     def start():
         memory = Buckets()
@@ -238,7 +239,7 @@ def raw_scores(docs: DataFrame, model: Network | None, keep) -> DataFrame:
 
         def work(texts: list[str]) -> list[list]:
             if model is None:
-                return [[0.0] * len(texts)]
+                return [[-20.0] * len(texts)]
             return [model.logits([bucket_rows(t, memory) for t in texts], ready)]
 
         return work
@@ -291,11 +292,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: Network | None, cu
         at = np.array([(r["cell"] + 0.5) / 20 for r in by_cell])
         y, n = np.array([float(r["y"]) for r in by_cell]), np.array([float(r["n"]) for r in by_cell])
         slope, shift = _platt(at, y, n)
-        common = _threshold(1 / (1 + np.exp(-(slope * at + shift))), y, n) if y.sum() else cut
+        common = _threshold(1 / (1 + np.exp(-np.clip(slope * at + shift, -30, 30))), y, n) if y.sum() else cut
 
     def of_language(part):
         x = slope * (part["cell"].to_numpy(float) + 0.5) / 20 + shift
-        value = _threshold(1 / (1 + np.exp(-x)), part["y"].to_numpy(float), part["n"].to_numpy(float)) if part["y"].sum() else common
+        value = _threshold(1 / (1 + np.exp(-np.clip(x, -30, 30))), part["y"].to_numpy(float), part["n"].to_numpy(float)) if part["y"].sum() else common
         return part[["lang"]][:1].assign(own=value)
 
     # one group per language, of at most 801 cells
