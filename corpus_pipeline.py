@@ -22,8 +22,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the marked ones among them, does not reject."""
     model = quality.fit_quality(docs, _table(spark, sf_dir, "labels"))
-    scored = quality.score_quality(docs, model, [F.col(c) for c in docs.columns], F.col("text"))
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = quality.score_quality(docs, model, [F.struct(*docs.columns).alias("row")], F.col("text"))
+    return scored.where("predicted = 1").select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
