@@ -24,7 +24,7 @@ from tickloom.session import checkpoint
 WEIGHTS = (5, 2, 1)  # by code point of the source, repeating
 REPEAT = 3
 BLOCK = 32
-SHARD_ROWS = 20_000
+SHARD_ROWS = 2_000
 SEED = 17
 SLACK = 1e-9  # widens the levels against rounding; the ranked seats decide
 
@@ -149,7 +149,7 @@ spots AS (
 quotas AS (SELECT pos, count(*) AS quota FROM spots, seats WHERE rank <= n GROUP BY pos),
 named AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, t.pos, coalesce(q.quota, 0) AS quota,
-    CAST(ceil(t.n_rows / 20000) AS BIGINT) AS shards,
+    CAST(ceil(t.n_rows / 2000) AS BIGINT) AS shards,
     CAST('0x' || substr(md5('17:' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS place
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN quotas q ON q.pos = t.pos),
 sharded AS (SELECT *, (place // 7) % shards AS shard FROM named),
