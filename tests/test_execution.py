@@ -139,3 +139,17 @@ def test_bootstrap_is_reproducible_and_centred(spark):
     a = P.month_bootstrap(df, "v", 400, 7).first()
     b = P.month_bootstrap(df.repartition(5), "v", 400, 7).first()
     assert a == b and a.observed_bps == 78.0 and a.p05_bps < 78.0 < a.p95_bps and a.samples == 400
+
+
+def test_replay_gives_rows_without_industry_nothing_and_refill_does(spark):
+    from tickloom.operators.execution import Execution, replay, visible_refill
+
+    rows = [("p", "d", 1, "a", None, 100.0, 1, 0.9), ("p", "d", 1, "b", "tech", 100.0, 2, 0.8)]
+    names = "pool string, date string, decision int, symbol string, industry string, allocated_notional double, rank int, score double"
+    df = spark.createDataFrame(rows, names).withColumns(
+        {"target_notional": F.lit(1000.0), "row_limit": F.lit(100.0)}
+    )
+    rules = Execution(industry_cap=500.0, industry="industry")
+    assert {r.symbol: r.allocated_notional for r in replay(df, rules).collect()} == {"b": 100.0}
+    refilled = visible_refill(df, rules, 1000.0, "score").collect()
+    assert {r.symbol: r.allocated_notional for r in refilled} == {"a": 100.0, "b": 100.0}

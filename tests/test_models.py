@@ -123,3 +123,15 @@ def test_sample_is_independent_of_partitioning(frame):
     a = {r.symbol for r in keyed_sample(frame, ["g"], ["symbol"], 3, 9).collect()}
     b = {r.symbol for r in keyed_sample(frame.repartition(9, F.col("y")), ["g"], ["symbol"], 3, 9).collect()}
     assert a == b and len(a) == 30
+
+
+def test_long_correlation_chains_are_one_component(spark):
+    from pyspark.sql import functions as F
+
+    from tickloom.operators.hygiene import components
+
+    pairs = spark.range(1000).select(
+        F.format_string("f%04d", F.col("id")).alias("feature_a"), F.format_string("f%04d", F.col("id") + 1).alias("feature_b")
+    )
+    got = components(pairs).collect()
+    assert len(got) == 1001 and {r.component for r in got} == {"f0000"}

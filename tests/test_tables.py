@@ -131,3 +131,22 @@ def test_leaky_columns_are_never_picked(frame):
     df = frame.withColumns({"label_short": F.lit(1.0), "feature_a": F.lit(1.0), "text": F.lit("x")})
     assert K.pick_columns(df, patterns=["."]) == ["id", "v", "feature_a"]
     assert K.label_columns(df.columns) == ["label_short"]
+
+
+def test_published_days_read_back_with_their_partitions(spark, tmp_path):
+    from tickloom.sources.sinks import publish_days
+
+    rows = [(f"2024-0{m}-01", f"s{m}", float(m)) for m in range(1, 5)]
+    publish_days(spark.createDataFrame(rows, "date string, symbol string, v double"), str(tmp_path / "days"))
+    got = S.read_table(spark, str(tmp_path / "days"), filters=[("date", ">=", "2024-03-01")])
+    assert {"year", "date", "symbol", "v"} <= set(got.columns) and got.count() == 2
+    assert "PartitionFilters: [" in got._jdf.queryExecution().toString().replace("PartitionFilters: []", "")
+
+
+def test_duplicates_resolve_alike_under_any_partitioning(spark):
+    from tickloom.operators.reference import one_per_key
+
+    rows = [(k % 5, v) for k in range(20) for v in (3, 1, 2, None)]
+    df = spark.createDataFrame(rows, "k int, v int")
+    results = [sorted(map(tuple, one_per_key(df.repartition(n), ["k"]).collect())) for n in (1, 7)]
+    assert results[0] == results[1] == [(k, 3) for k in range(5)]

@@ -104,7 +104,8 @@ def correlation(a: Column | str, b: Column | str, min_count: int = 2) -> Column:
     x, y = F.when(both, x), F.when(both, y)
     spread = F.stddev_pop(x) * F.stddev_pop(y)
     value = F.try_divide(F.covar_pop(x, y), spread)
-    return F.when((F.count(x) >= min_count) & (spread > 1e-18), value)
+    varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when((F.count(x) >= min_count) & varied, value)
 
 
 def weighted_mean(v: Column | str, w: Column | str) -> Column:

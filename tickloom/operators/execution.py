@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -185,7 +185,10 @@ def replay(
     symbol: str = "symbol",
     **eligibility,
 ) -> DataFrame:
-    """Replay given allocations in rank order; what does not fit is lost, nothing refills it."""
+    """Replay given allocations in rank order; what does not fit is lost, nothing refills it.
+
+    Under an industry cap a row without an industry has no budget and gets nothing.
+    """
     rows = selected.withColumns(
         {
             "original_allocated_notional": F.col("allocated_notional"),
@@ -198,6 +201,9 @@ def replay(
         F.min_by(finite("target_notional"), F.struct("_r", "_s", symbol)).alias("_group_target")
     )
     rows = attach(rows, first, [*day, decision])
+    if rules.industry_cap > 0 and rules.industry:
+        # only industries that are named have a budget here
+        rows = rows.where(F.col(rules.industry).isNotNull())
     done = sequential_allocation(
         rows, rules, day, decision, ["_r", "_s", symbol], "allocated_notional", "_group_target", symbol
     )
@@ -216,7 +222,11 @@ def visible_refill(
     unique: Sequence[str] = (),
     **eligibility,
 ) -> DataFrame:
-    """Allocate from the full visible ranking of eligible candidates, with day-level budgets."""
+    """Allocate from the full visible ranking of eligible candidates, with day-level budgets.
+
+    Rows without an industry share one industry budget; a target counts as filled from 1e-9 left on.
+    """
+    rules = replace(rules, stop_at=max(rules.stop_at, 1e-9))
     rows = candidates.dropna(subset=[score]).withColumn("_s", -F.col(score))
     tie = list(unique) or [symbol]
     ranked = position(rows, [*day, decision], ["_s", *tie], out="candidate_rank")

@@ -87,9 +87,19 @@ def tick_features(
 
 # fixed list: columns followed over the minutes after the open
 DYNAMIC = (
-    "ask_volume_1 bid_volume_1 ask_depth_10 bid_depth_10 depth_imbalance_1 depth_imbalance_10 "
-    "spread_bps mid_price ask_price_1 bid_price_1 volume turnover"
-).split()
+    "ask_volume_1",
+    "bid_volume_1",
+    "ask_depth_10",
+    "bid_depth_10",
+    "depth_imbalance_1",
+    "depth_imbalance_10",
+    "spread_bps",
+    "mid_price",
+    "ask_price_1",
+    "bid_price_1",
+    "volume",
+    "turnover",
+)
 
 
 def change_columns(columns: Sequence[str], windows: Sequence[int], prefix: str) -> dict[str, Column]:

@@ -90,22 +90,24 @@ def correlated_pairs(
     return pairs.withColumn("abs_corr", F.abs("corr")).where(F.col("abs_corr") >= threshold)
 
 
-def components(pairs: DataFrame, a: str = "feature_a", b: str = "feature_b", max_rounds: int = 50) -> DataFrame:
+def components(pairs: DataFrame, a: str = "feature_a", b: str = "feature_b") -> DataFrame:
     """Connected components of the pair graph: (feature, component), the component named by its least member.
 
-    Labels spread by joins until nothing changes; each round is cut from its lineage.
+    A round takes the least label among the neighbours and then the label of that label, so paths halve; rounds
+    repeat until nothing changes, and each is cut from its lineage.
     """
     edges = pairs.select(F.col(a).alias("x"), F.col(b).alias("y"))
     edges = checkpoint(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     labels = checkpoint(edges.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")))
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("label").alias("_near"))
-        moved = labels.join(near, "x").select("x", F.least("label", "_near").alias("label"), (F.col("_near") < F.col("label")).alias("_moved"))
+        lower = labels.join(near, "x").select("x", "label", F.least("label", "_near").alias("_low"))
+        hop = lower.select(F.col("x").alias("_low"), F.col("_low").alias("_next"))
+        moved = lower.join(hop, "_low").select("x", F.col("_next").alias("label"), (F.col("_next") < F.col("label")).alias("_moved"))
         moved = checkpoint(moved)
         labels = moved.drop("_moved")
         if moved.where("_moved").isEmpty():
             return labels.select(F.col("x").alias("feature"), F.col("label").alias("component"))
-    raise RuntimeError("components did not settle")
 
 
 def prune_report(

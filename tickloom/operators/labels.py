@@ -13,7 +13,7 @@ from tickloom.operators.asof import asof
 from tickloom.operators.cross import mixed_target
 from tickloom.operators.decision import PATH, SECOND, nth_next, state_at
 from tickloom.operators.groups import attach
-from tickloom.operators.reference import next_session, with_next_session
+from tickloom.operators.reference import next_session, one_per_key, with_next_session
 
 
 def allowed(c: Column | str, statuses: Sequence[str]) -> Column:
@@ -226,10 +226,10 @@ def recovered_close_labels(
 
 
 def normal_labels(labels: DataFrame, keys: Sequence[str], label: str, newest: Sequence[str] = ()) -> DataFrame:
-    """External label table: finite values only, no missing keys, one row per key (the newest)."""
+    """External label table: finite values only, no missing keys, one row per key (the newest, else the greatest)."""
     rows = labels.withColumn(label, finite(label)).dropna(subset=[*keys, label])
     if not newest:
-        return rows.dropDuplicates(list(keys))
+        return one_per_key(rows, keys)
     place = F.struct(*[F.col(c) for c in newest])
     return rows.groupBy(*keys).agg(F.max_by(label, place).alias(label))
 

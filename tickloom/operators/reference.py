@@ -168,11 +168,19 @@ def last_per_key(df: DataFrame, keys: Sequence[str], newest: Sequence[str]) -> D
     return top_rows(df, keys, [F.col(c).desc_nulls_last() for c in newest], 1, "_place").drop("_place")
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key: of duplicates the one whose other columns, in their order, are greatest."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*df.columns)
+
+
 def merge_support(
     rows: DataFrame, support: DataFrame, keys: Sequence[str], newest: Sequence[str] = (), prefer: str = "rows"
 ) -> DataFrame:
     """Left join of support columns (newest duplicate wins); overlaps are filled from the other side."""
-    side = last_per_key(support, keys, newest) if newest else support.dropDuplicates(list(keys))
+    side = last_per_key(support, keys, newest) if newest else one_per_key(support, keys)
     extra = [c for c in side.columns if c not in keys and c not in newest]
     renamed = side.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in extra])
     joined = attach(rows, renamed, keys)

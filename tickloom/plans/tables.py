@@ -34,10 +34,10 @@ def _(t):
     doubles="amount",
 )
 def _(t):
-    a = S.read_table(t.spark, t.path("orders")).select(
+    a = S.read_table(t.spark, t.path("orders"), merge_schema=False).select(
         F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"), F.col("o_orderstatus").alias("status")
     )
-    b = S.read_table(t.spark, t.path("customer")).select(
+    b = S.read_table(t.spark, t.path("customer"), merge_schema=False).select(
         F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("amount"), F.col("c_mktsegment").alias("segment")
     )
     return S.union_tables([a, b])

@@ -21,17 +21,21 @@ def read_table(
     filters: Sequence[tuple] = (),
     kind: str = "parquet",
     schema: T.StructType | str | None = None,
+    merge_schema: bool = True,
 ) -> DataFrame:
-    """Scan files or folders (recursively) with a column list and pushed-down filters.
+    """Scan files or folders with a column list and pushed-down filters.
 
     ``kind`` is parquet or csv (``.csv.gz`` included). The filter runs on the scan
-    before the projection, so it may use columns that are not returned.
+    before the projection, so it may use columns that are not returned. Folders named ``column=value`` become
+    columns, and filters on them choose folders; other folders are read recursively. The union of
+    all files' columns is read, as files of older years may lack some; that opens every file's footer first, so give
+    a ``schema`` or switch ``merge_schema`` off where the files are alike.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    reader = spark.read.option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", not any(is_partitioned(spark, p) for p in paths))
     if kind == "parquet":
-        # files of older years may lack columns: the union of all schemas is read
-        df = reader.option("mergeSchema", True).option("pathGlobFilter", "*.parquet").parquet(*paths)
+        reader = reader.schema(schema) if schema is not None else reader.option("mergeSchema", merge_schema)
+        df = reader.option("pathGlobFilter", "*.parquet").parquet(*paths)
     elif kind == "csv":
         reader = reader.option("header", True)
         df = (reader.schema(schema) if schema is not None else reader).csv(paths)
@@ -42,6 +46,15 @@ def read_table(
     return df.select(*columns) if columns is not None else df
 
 
+def is_partitioned(spark: SparkSession, path: str) -> bool:
+    """Whether a folder's own folders are named ``column=value``."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(place) or []
+    inner = [c for s in found if s.isDirectory() for c in files.listStatus(s.getPath())]
+    return any(c.isDirectory() and "=" in c.getPath().getName() for c in inner)
+
+
 def condition(df: DataFrame, filters: Sequence[tuple]) -> Column:
     """Conjunction of (column, operator, value); an unknown column is an error."""
     tests = []
@@ -245,13 +258,14 @@ def selected_allocations(
     parts: Sequence[DataFrame], labels: DataFrame, required: Sequence[str], optional: Sequence[str], keys: Sequence[str],
     amount: str = "allocated_notional", date: str = "date",
 ) -> tuple[DataFrame, DataFrame]:
-    """Positive allocations of several files, and the labels cut to their dates (last duplicate wins)."""
+    """Positive allocations of several files, and the labels cut to their dates (of duplicates the greatest row)."""
     from tickloom.functions.numeric import parse_finite
+    from tickloom.operators.reference import one_per_key
 
     rows = project(union_tables(parts), required, optional).withColumn(amount, parse_finite(amount))
     rows = rows.where(F.col(amount) > 0)
     cut = labels.join(rows.select(date).distinct(), date, "left_semi")
-    return rows, cut.dropDuplicates(list(keys))
+    return rows, one_per_key(cut, keys)
 
 
 def jdbc_day_window(spark: SparkSession, url: str, table: str, day: str, start_us: int, end_us: int, options: dict | None = None) -> DataFrame:
