@@ -41,8 +41,11 @@ class Forest:
         lengths = np.sqrt(((vectors - self.centre) ** 2).sum(axis=1))
         self.lengths = np.quantile(lengths, np.linspace(0.05, 0.95, 10))
         keys = self.strings(vectors)
-        self.order = np.argsort(keys, axis=1, kind="stable").astype(np.int32)
-        self.keys = np.take_along_axis(keys, self.order, axis=1)
+        order = np.argsort(keys, axis=1, kind="stable")
+        # the trees' sorted arrays one after the other; the tree's number leads each key, so one search serves all trees
+        self.roots = np.arange(trees, dtype=np.uint64) << np.uint64(bits)
+        self.keys = (np.take_along_axis(keys, order, axis=1).astype(np.uint64) | self.roots[:, None]).ravel()
+        self.order = order.astype(np.int32).ravel()
 
     def strings(self, vectors: np.ndarray) -> np.ndarray:
         """One row of bit strings per tree, as integers whose leading bits come first."""
@@ -67,18 +70,23 @@ class Forest:
         if skip >= 0:
             known[skip] = True
         places, distances = np.zeros(0, np.int64), np.zeros(0)
-        low = high = None
         length = float(np.sqrt(((query - self.centre) ** 2).sum()))
+        rooted = self.roots | strings.astype(np.uint64)
+        low = high = np.searchsorted(self.keys, rooted)
+        met = np.zeros(len(self.vectors), bool)
         for depth in range(self.bits, -1, -1):
-            shift = self.bits - depth
-            first, last = (strings >> shift) << shift, ((strings >> shift) + 1) << shift
-            spans = [(np.searchsorted(self.keys[t], first[t]), np.searchsorted(self.keys[t], last[t])) for t in range(self.trees)]
-            if depth and (low, high) == ([a for a, _ in spans], [b for _, b in spans]):
-                continue
-            low, high = [a for a, _ in spans], [b for _, b in spans]
-            fresh = np.concatenate([self.order[t, a:b] for t, (a, b) in enumerate(spans)])
-            fresh = np.unique(fresh[~known[fresh]])
-            if len(fresh):
+            shift = np.uint64(self.bits - depth)
+            first = rooted >> shift << shift
+            was_low, was_high = low, high
+            low = np.searchsorted(self.keys, first)
+            high = np.searchsorted(self.keys, first + (np.uint64(1) << shift))
+            grown = np.flatnonzero((low < was_low) | (high > was_high))
+            if len(grown):
+                # what the ascent by one bit adds on either side
+                for t in grown:
+                    met[self.order[low[t] : was_low[t]]] = True
+                    met[self.order[was_high[t] : high[t]]] = True
+                fresh = np.flatnonzero(met & ~known)
                 known[fresh] = True
                 away = np.sqrt(((self.vectors[fresh] - query) ** 2).sum(axis=1))
                 places, distances = np.concatenate([places, fresh]), np.concatenate([distances, away])
