@@ -115,6 +115,11 @@ def weighted_mean(v: Column | str, w: Column | str) -> Column:
     return F.try_divide(F.sum(F.when(used, value * weight)), F.sum(F.when(used, weight)))
 
 
+def drawn(seed: int, *columns: Column | str) -> Column:
+    """Hash that stands for a random draw: the MD5 of seed and columns as text, which other engines compute alike."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in columns]))
+
+
 # differences of means (excess returns, correlations) that are truly zero come out as noise of either sign
 NOISE = 1e-9
 

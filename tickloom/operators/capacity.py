@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import clock as C
-from tickloom.functions.numeric import BPS, clip, finite, least_all, safe_div, share
+from tickloom.functions.numeric import BPS, clip, drawn, finite, least_all, safe_div, share
 from tickloom.operators.groups import attach, carry, over, position, quantiles, running, top_rows
 from tickloom.operators.summaries import concentration
 
@@ -415,12 +415,13 @@ def month_bootstrap(
         {"_k": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(over(list(by)))}
     )
     sizes = numbered.groupBy(*by).agg(F.max("_n").alias("_n"), F.sum("_v").alias("observed_bps"))
-    drawn = (
+    draw = F.conv(F.substring(drawn(seed, "_sample", "_slot", *by), 1, 8), 16, 10).cast("long")
+    draws = (
         sizes.withColumn("_sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
         .withColumn("_slot", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-        .withColumn("_k", F.pmod(F.xxhash64(F.lit(seed), "_sample", "_slot", *by), F.col("_n")).cast("int"))
+        .withColumn("_k", F.pmod(draw, F.col("_n")).cast("int"))
     )
-    sums = drawn.join(numbered.select(*by, "_k", "_v"), [*by, "_k"]).groupBy(*by, "_sample").agg(F.sum("_v").alias("_t"))
+    sums = draws.join(numbered.select(*by, "_k", "_v"), [*by, "_k"]).groupBy(*by, "_sample").agg(F.sum("_v").alias("_t"))
     cuts = quantiles(sums, list(by), "_t", {"p05_bps": 0.05, "median_bps": 0.5, "p95_bps": 0.95})
     positive = sums.groupBy(*by).agg(F.count(F.lit(1)).alias("samples"), share(F.col("_t") > 0).alias("positive_probability"))
     return attach(attach(sizes.withColumnRenamed("_n", "blocks"), cuts, by), positive, by)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.numeric import BPS, finite, safe_div, share, truthy, weighted_mean
+from tickloom.functions.numeric import BPS, drawn, finite, safe_div, share, truthy, weighted_mean
 from tickloom.operators.groups import attach, over, quantiles, top_rows
 
 
@@ -196,7 +196,7 @@ def mergeable_moments(df: DataFrame, variables: Sequence[str], state: str, by: S
 
 def keyed_sample(df: DataFrame, by: Sequence[str], unique: Sequence[str], n: int, seed: int) -> DataFrame:
     """At most n rows per group, the same for a given seed whatever the partitioning."""
-    order = F.xxhash64(F.lit(seed), *[F.col(c) for c in unique])
+    order = drawn(seed, *unique)
     return top_rows(df, by, [order, *[F.col(c) for c in unique]], n, "_p").drop("_p")
 
 

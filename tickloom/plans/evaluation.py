@@ -325,7 +325,7 @@ def _(t):
 @query(
     "aligned_series", "EVAL-22 EVAL-19",
     """WITH s AS (SELECT o_orderstatus AS st, strftime(o_orderdate, '%Y-%m-%d') AS d, sum(o_totalprice) / 1e6 AS v FROM orders GROUP BY ALL),
-    j AS (SELECT a.d, a.v AS left_value, b.v AS right_value, a.v - b.v AS difference FROM s a JOIN s b ON a.d = b.d AND a.st = 'F' AND b.st = 'O')
+    j AS (SELECT a.d, a.v AS left_value, b.v AS right_value, a.v - b.v AS difference FROM (SELECT d, sum(v) AS v FROM s GROUP BY d) a JOIN s b ON a.d = b.d AND b.st = 'O')
     SELECT *, sum(difference) OVER (ORDER BY d) AS cumulative_difference FROM j""",
     doubles="left_value right_value difference cumulative_difference", digits=5,
 )
@@ -333,7 +333,7 @@ def _(t):
     series = t.orders.groupBy(F.col("o_orderstatus").alias("st"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d")).agg(
         (F.sum("o_totalprice") / 1e6).alias("v")
     )
-    return E.align_series(series.where("st = 'F'"), series.where("st = 'O'"), "d", "v")
+    return E.align_series(series.groupBy("d").agg(F.sum("v").alias("v")), series.where("st = 'O'"), "d", "v")
 
 
 @query(
@@ -346,7 +346,13 @@ def _(t):
     return E.daily_symbol_score(rows, "prediction", "last", "at")
 
 
-@query("shuffled_features", "EVAL-21")
+@query(
+    "shuffled_features", "EVAL-21",
+    f"""WITH {PANEL}, a AS (SELECT date, clock, rid, turnover, row_number() OVER (PARTITION BY date, clock ORDER BY symbol, rid, turnover) AS k FROM panel),
+    b AS (SELECT date, clock, volume, score, row_number() OVER (PARTITION BY date, clock ORDER BY md5('11|' || symbol || '|' || rid || '|' || turnover), symbol, rid, turnover) AS k FROM panel)
+    SELECT date, clock, rid, turnover, volume, score FROM a JOIN b USING (date, clock, k)""",
+    doubles="turnover volume score",
+)
 def _(t):
     rows = t.panel.select(*XS, *TIE, "volume", "score")
     return E.shuffle_within_groups(rows, ["volume", "score"], XS, TIE, 11).drop("symbol")
@@ -504,7 +510,12 @@ def _(t):
     return A.mergeable_moments(t.panel, ["label_short", "score"], "industry")
 
 
-@query("keyed_sample", "AGG-14")
+@query(
+    "keyed_sample", "AGG-14",
+    f"""WITH {PANEL} SELECT industry, substr(date, 1, 4) AS year, rid, turnover FROM panel
+    QUALIFY row_number() OVER (PARTITION BY industry, substr(date, 1, 4) ORDER BY md5('5|' || symbol || '|' || rid || '|' || turnover), symbol, rid, turnover) <= 20""",
+    doubles="turnover",
+)
 def _(t):
     rows = t.panel.withColumn("year", F.substring("date", 1, 4))
     return A.keyed_sample(rows, ["industry", "year"], TIE, 20, 5).select("industry", "year", "rid", "turnover")

@@ -233,7 +233,16 @@ def _(t):
     return P.top_contributors(rows, targets(rows))
 
 
-@query("block_bootstrap", "CAP-12")
+@query(
+    "block_bootstrap", "CAP-12",
+    f"""WITH {PANEL}, {LIMITS}, {RET}, b AS (SELECT substr(date, 1, 7) AS m, sum(capital_net_return_bps) AS v FROM daily GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (ORDER BY m) - 1 AS k, count(*) OVER () AS n FROM b),
+    d AS (SELECT s, CAST('0x' || substr(md5('20260722|' || s || '|' || j || '|base|all'), 1, 8) AS BIGINT) % (SELECT count(*) FROM b) AS k FROM range(1, 501) a(s), range(1, (SELECT count(*) + 1 FROM b)) c(j)),
+    u AS (SELECT s, sum(v) AS t FROM d JOIN k USING (k) GROUP BY s)
+    SELECT 'base' AS policy, 'all' AS pool, (SELECT count(*) FROM b) AS blocks, (SELECT sum(v) FROM b) AS observed_bps, quantile_cont(t, 0.05) AS p05_bps, quantile_cont(t, 0.5) AS median_bps,
+      quantile_cont(t, 0.95) AS p95_bps, count(*) AS samples, avg(CAST(t > 0 AS DOUBLE)) AS positive_probability FROM u""",
+    doubles="observed_bps p05_bps median_bps p95_bps positive_probability", digits=3,
+)
 def _(t):
     rows = daily(t).withColumn("policy", F.lit("base"))
     return P.month_bootstrap(rows, "capital_net_return_bps", 500, 20260722)
@@ -623,13 +632,13 @@ def _(t):
 
 @query(
     "series_union", "SET-03 EVAL-23 EVAL-24",
-    """WITH s AS (SELECT o_orderstatus AS series, strftime(o_orderdate, '%Y-%m') AS month, sum(o_totalprice) / 1e6 AS v FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY ALL),
+    """WITH s AS (SELECT o_orderstatus AS series, strftime(o_orderdate, '%Y-%m') AS month, sum(o_totalprice) / 1e6 AS v FROM orders GROUP BY ALL),
     a AS (SELECT * FROM s UNION ALL SELECT 'background', month, v * 0.5 FROM s WHERE series = 'F' UNION ALL SELECT series, 'Mean', avg(v) FROM s GROUP BY series)
     SELECT series, month, v, CASE WHEN month <> 'Mean' THEN sum(v) OVER (PARTITION BY series, month = 'Mean' ORDER BY month) END AS cumulative FROM a""",
     doubles="v cumulative", digits=5,
 )
 def _(t):
-    s = t.orders.where("o_orderstatus in ('F', 'O')").groupBy(F.col("o_orderstatus").alias("series"), F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
+    s = t.orders.groupBy(F.col("o_orderstatus").alias("series"), F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
         (F.sum("o_totalprice") / 1e6).alias("v")
     )
     background = s.where("series = 'F'").select(F.lit("background").alias("series"), "month", (F.col("v") * 0.5).alias("v"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import clock as C
 from tickloom.functions import numeric as N
 from tickloom.operators import checks as K
+from tickloom.operators import groups as G
 from tickloom.operators import reference as R
 from tickloom.plans.base import PANEL, TICKS, query
 from tickloom.sources import sinks as W
@@ -134,7 +135,7 @@ def _(t):
 
 @query(
     "exposure_inputs", "SRC-16",
-    """WITH keys AS (SELECT DISTINCT o_orderdate AS d, o_custkey AS s FROM orders WHERE o_orderstatus = 'P'),
+    """WITH keys AS (SELECT DISTINCT o_orderdate AS d, o_custkey AS s FROM orders),
     bars AS (SELECT o_orderdate AS d, o_custkey AS s, sum(o_totalprice) AS cap FROM orders WHERE o_totalprice > 200000 GROUP BY ALL),
     ind AS (SELECT o_orderdate AS d, o_custkey AS s, min(o_orderpriority) AS industry FROM orders GROUP BY ALL)
     SELECT strftime(k.d, '%Y-%m-%d') AS d, k.s, b.cap, i.industry FROM keys k LEFT JOIN bars b USING (d, s) LEFT JOIN ind i USING (d, s)""",
@@ -146,7 +147,7 @@ def _(t):
     )
     bars = o.where("o_totalprice > 200000").groupBy("d", "s").agg(F.sum("o_totalprice").alias("cap"))
     industries = o.groupBy("d", "s").agg(F.min("o_orderpriority").alias("industry"))
-    return R.exposure_inputs(o.where("o_orderstatus = 'P'"), bars, industries, ["d", "s"])
+    return R.exposure_inputs(o, bars, industries, ["d", "s"])
 
 
 POOL = """pool AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS date, o_custkey AS symbol FROM orders WHERE o_orderstatus = 'O')"""
@@ -283,20 +284,33 @@ def _(t):
     return S.date_bounds(t.panel, windows, year=1997).select("rid", "turnover")
 
 
-@query("history_context_sample", "SRC-26")
+@query(
+    "history_context_sample", "SRC-26",
+    f"""WITH {PANEL}, ch AS (SELECT date, symbol, rid, turnover FROM panel QUALIFY row_number() OVER (PARTITION BY date ORDER BY md5('17|' || symbol || '|' || rid || '|' || turnover), symbol, rid, turnover) <= 3),
+    cx AS (SELECT * FROM panel p WHERE EXISTS (SELECT 1 FROM ch WHERE ch.symbol = p.symbol AND CAST(p.date AS DATE) BETWEEN CAST(ch.date AS DATE) - 10 AND CAST(ch.date AS DATE))),
+    f AS (SELECT *, row_number() OVER w AS seen, sum(volume) OVER (w ROWS UNBOUNDED PRECEDING) AS volume_so_far FROM cx WINDOW w AS (PARTITION BY symbol ORDER BY date, clock, rid, turnover))
+    SELECT date, symbol, rid, turnover, seen, volume_so_far FROM f SEMI JOIN ch USING (date, symbol, rid, turnover)""",
+    doubles="turnover volume_so_far",
+)
 def _(t):
-    chosen, context = S.sample_with_history(t.panel, ["symbol", "rid", "turnover"], 3, 17, 10)
-    return context.join(chosen.select("date").distinct(), "date", "left_semi").select("date", "symbol", "rid", "turnover")
+    order = ["date", "clock", "rid", "turnover"]
+
+    def features(rows):
+        counted = G.position(rows, ["symbol"], order, out="seen")
+        return G.running(counted, ["symbol"], order, {"volume_so_far": ("sum", "volume")})
+
+    rows = S.sample_with_features(t.panel, ["symbol", "rid", "turnover"], 3, 17, 10, features)
+    return rows.select("date", "symbol", "rid", "turnover", "seen", "volume_so_far")
 
 
 @query(
     "allocation_inputs", "SRC-28",
-    """WITH s AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, o_custkey AS symbol, o_totalprice - 250000 AS amount FROM orders WHERE o_orderstatus = 'F')
+    """WITH s AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, o_custkey AS symbol, o_totalprice - 250000 AS amount FROM orders)
     SELECT o_orderkey, date, symbol, amount AS allocated_notional FROM s WHERE amount > 0""",
     doubles="allocated_notional", digits=2,
 )
 def _(t):
-    rows = t.orders.where("o_orderstatus = 'F'").select(
+    rows = t.orders.select(
         "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_custkey").alias("symbol"),
         (F.col("o_totalprice") - 250000).cast("string").alias("allocated_notional"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -244,9 +244,10 @@ def sample_with_history(
     rows: DataFrame, keys: Sequence[str], per_day: int, seed: int, lookback_days: int, date: str = "date", symbol: str = "symbol"
 ) -> tuple[DataFrame, DataFrame]:
     """(seeded sample of rows per day, all rows the sampled symbols have in the look-back before it)."""
+    from tickloom.functions.numeric import drawn
     from tickloom.operators.groups import top_rows
 
-    order = F.xxhash64(F.lit(seed), *keys)
+    order = drawn(seed, *keys)
     chosen = top_rows(rows, [date], [order, *[F.col(k) for k in keys]], per_day, "_place").drop("_place")
     spans = chosen.select(
         symbol, F.explode(F.sequence(F.date_sub(F.col(date).cast("date"), lookback_days), F.col(date).cast("date"))).alias("_d")
@@ -254,6 +255,15 @@ def sample_with_history(
     return chosen, rows.join(spans, [symbol, date], "left_semi")
 
 
+def sample_with_features(
+    rows: DataFrame, keys: Sequence[str], per_day: int, seed: int, lookback_days: int, build: Callable[[DataFrame], DataFrame],
+    date: str = "date", symbol: str = "symbol",
+) -> DataFrame:
+    """Sampled rows with features that ``build`` derives anew from their look-back: features first, then cut back to the sample."""
+    chosen, context = sample_with_history(rows, keys, per_day, seed, lookback_days, date, symbol)
+    return build(context).join(chosen.select(date, *keys), [date, *keys], "left_semi")
+
+
 def selected_allocations(
     parts: Sequence[DataFrame], labels: DataFrame, required: Sequence[str], optional: Sequence[str], keys: Sequence[str],
     amount: str = "allocated_notional", date: str = "date",
