@@ -135,3 +135,23 @@ def test_long_correlation_chains_are_one_component(spark):
     )
     got = components(pairs).collect()
     assert len(got) == 1001 and {r.component for r in got} == {"f0000"}
+
+
+def test_pairs_of_many_features_with_gaps(spark):
+    rng = np.random.default_rng(3)
+    n, k = 240, 350
+    data = rng.normal(size=(n, k)) + 50
+    data[:, 1] = data[:, 0] * 3 - 2
+    data[:, 2] = 7.1  # constant
+    gaps = rng.random((n, k)) < 0.1
+    names = [f"f{i}" for i in range(k)]
+    wide = spark.createDataFrame([([None if g else float(v) for v, g in zip(*r)],) for r in zip(data, gaps)], "v array<double>")
+    got = H.correlated_pairs(wide.repartition(5).select(*[F.col("v")[i].alias(c) for i, c in enumerate(names)]), names, 0.0).toPandas()
+    assert len(got) == (k - 1) * (k - 2) // 2 and not {"f2"} & {*got.feature_a, *got.feature_b}
+    for a, b, corr in got.sample(200, random_state=1)[["feature_a", "feature_b", "corr"]].itertuples(index=False):
+        i, j = int(a[1:]), int(b[1:])
+        both = ~gaps[:, i] & ~gaps[:, j]
+        assert corr == pytest.approx(np.corrcoef(data[both, i], data[both, j])[0, 1], abs=1e-9)
+    assert got[(got.feature_a == "f0") & (got.feature_b == "f1")]["corr"].item() == pytest.approx(1.0)
+    fewer = H.correlated_pairs(wide.select(F.col("v")[0].alias("a"), F.col("v")[1].alias("b"), F.lit(None).cast("double").alias("c")), ["a", "b", "c"], 0.5)
+    assert [(r.feature_a, r.feature_b) for r in fewer.collect()] == [("a", "b")]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.numeric import correlation, finite, safe_div
+from tickloom.functions.numeric import finite, safe_div
 from tickloom.operators.groups import attach, quantiles, ranks
 from tickloom.session import checkpoint
 
@@ -60,6 +62,52 @@ def feature_hygiene(
     )
 
 
+PAIR_SUMS = ("n", "x", "y", "xx", "yy", "xy")  # over rows where both features have a value
+ROUNDING = 1e-12
+
+
+def _values(batch: pa.RecordBatch, k: int) -> np.ndarray:
+    """Rows by features; what is missing or infinite is NaN."""
+    v = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, k)
+    v[~np.isfinite(v)] = np.nan
+    return v
+
+
+def _feature_sums(k: int):
+    """Task function: count and sum of each feature over the task's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(k, np.int64), np.zeros(k)
+        for batch in batches:
+            v = _values(batch, k)
+            n += (~np.isnan(v)).sum(axis=0)
+            total += np.nansum(v, axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(n), pa.array(total)], names=["i", "n", "total"])
+
+    return run
+
+
+def _pair_sums(means: np.ndarray, left: np.ndarray, right: np.ndarray):
+    """Task function: sums over the task's rows, less ``means``, for the pairs ``left[i], right[i]`` of features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            v = _values(batch, len(means)) - means
+            there = ~np.isnan(v)
+            v[~there] = 0.0
+            there = there.astype(float)
+            new = np.stack([there.T @ there, v.T @ there, (v * v).T @ there, v.T @ v])
+            total = new if total is None else total + new
+        if total is not None:
+            n, x, xx, xy = total
+            sums = [n[left, right], x[left, right], x[right, left], xx[left, right], xx[right, left], xy[left, right]]
+            ends = [pa.array(left, pa.int32()), pa.array(right, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*ends, *map(pa.array, sums)], names=["a", "b", "n", "x", "y", "xx", "yy", "xy"])
+
+    return run
+
+
 def correlated_pairs(
     df: DataFrame,
     features: Sequence[str],
@@ -71,22 +119,37 @@ def correlated_pairs(
 ) -> DataFrame:
     """Feature pairs with |correlation| at or above the threshold, on complete pairs.
 
-    One row of mergeable moments over all pairs; the pair list grows with the
-    square of the feature count, never with the data.
+    Every task adds up products of its rows, centred on the feature means, in matrices of features by features; one row
+    per pair and task is then summed by Spark. A pair is constant, and has no correlation, where its spread is below
+    rounding noise. The pair list grows with the square of the feature count, never with the data.
     """
     kind = groups or {}
-    work = df.select(*[finite(c).alias(c) for c in features])
+    names = list(features)
+    work = df
     if method == "spearman":
-        for c in features:
+        work = df.select(*[finite(c).alias(c) for c in names])
+        for c in names:
             work = ranks(work, [], c, {f"_r_{c}": "average"})
-        work = work.select(*[F.col(f"_r_{c}").alias(c) for c in features])
-    cells = [
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), correlation(a, b, min_count).alias("corr"))
-        for i, a in enumerate(features)
-        for b in features[i + 1 :]
-        if not same_group_only or kind.get(a, "other") == kind.get(b, "other")
-    ]
-    pairs = work.agg(F.array(*cells).alias("_p")).select(F.inline("_p"))
+        work = work.select(*[F.col(f"_r_{c}").alias(c) for c in names])
+    work = work.select(F.array(*[F.col(c).cast("double") for c in names]))
+    # one row per feature reaches the driver
+    sums = work.mapInArrow(_feature_sums(len(names)), "i int, n long, total double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    means = np.zeros(len(names))
+    for r in sums.collect():
+        means[r["i"]] = r["total"] / max(1, r["n"])
+    left, right = np.triu_indices(len(names), 1)
+    if same_group_only:
+        group = np.array([kind.get(c, "other") for c in names])
+        same = group[left] == group[right]
+        left, right = left[same], right[same]
+    moments = work.mapInArrow(_pair_sums(means, left, right), "a int, b int, " + ", ".join(f"{c} double" for c in PAIR_SUMS))
+    t = moments.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in PAIR_SUMS])
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    spread_x, spread_y = F.col("xx") - x * x / n, F.col("yy") - y * y / n
+    varied = (spread_x > ROUNDING * F.col("xx")) & (spread_y > ROUNDING * F.col("yy"))
+    corr = F.when((n >= min_count) & varied, (F.col("xy") - x * y / n) / F.sqrt(spread_x) / F.sqrt(spread_y))
+    label = F.array(*map(F.lit, names))
+    pairs = t.where("n > 0").select(label[F.col("a")].alias("feature_a"), label[F.col("b")].alias("feature_b"), corr.alias("corr"))
     return pairs.withColumn("abs_corr", F.abs("corr")).where(F.col("abs_corr") >= threshold)
 
 

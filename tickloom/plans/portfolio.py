@@ -669,7 +669,7 @@ def _(t):
     return H.feature_hygiene(rows, [*HFEATURES, "flat"], {"l_tax": "price"})
 
 
-EMB = 8
+EMB = 64
 
 
 def embedded(t):
@@ -679,9 +679,8 @@ def embedded(t):
 
 EFEATURES = [*[f"f{i}" for i in range(EMB)], "g0", "g1"]
 EMB_SQL = f"em AS (SELECT {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}' for i in range(EMB))} FROM embeddings), ex AS (SELECT *, f0 * 2 + 1 AS g0, f1 + f2 * 0.05 AS g1 FROM em)"
-PAIRS_SQL = " UNION ALL ".join(
-    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {corr(a, b, 100)} AS corr FROM ex" for i, a in enumerate(EFEATURES) for b in EFEATURES[i + 1 :]
-)
+PAIRS_SQL = f"""SELECT ['{"', '".join(EFEATURES)}'][i] AS feature_a, ['{"', '".join(EFEATURES)}'][j] AS feature_b, {corr('e[i]', 'e[j]', 100)} AS corr
+  FROM (SELECT [{', '.join(EFEATURES)}] AS e FROM ex), range(1, {len(EFEATURES) + 1}) fa(i), range(1, {len(EFEATURES) + 1}) fb(j) WHERE i < j GROUP BY i, j"""
 
 
 @query(
@@ -710,8 +709,8 @@ def _(t):
 
 @query(
     "feature_components", "ML-04",
-    f"""WITH {EMB_SQL}, p AS ({PAIRS_SQL}) SELECT 'f0' AS feature, 'f0' AS component UNION ALL SELECT 'g0', 'f0' UNION ALL SELECT 'f1', 'f1' UNION ALL SELECT 'g1', 'f1'
-    WHERE (SELECT count(*) FROM p WHERE abs(corr) >= 0.9) = 2""",
+    f"""WITH RECURSIVE {EMB_SQL}, p AS ({PAIRS_SQL}), e AS (SELECT feature_a AS x, feature_b AS y FROM p WHERE abs(corr) >= 0.9 UNION SELECT feature_b, feature_a FROM p WHERE abs(corr) >= 0.9),
+    r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT x AS feature, least(x, min(y)) AS component FROM r GROUP BY x""",
 )
 def _(t):
     return H.components(H.correlated_pairs(embedded(t), EFEATURES, 0.9))
