@@ -133,3 +133,16 @@ def test_result_does_not_depend_on_partitioning(spark, frame, small_groups):
     one = G.ranks(frame.coalesce(1), ["k"], "v", {"r": "average"}).select("id", "r").collect()
     many = G.ranks(frame.repartition(8, "id"), ["k"], "v", {"r": "average"}).select("id", "r").collect()
     assert sorted(one) == sorted(many)
+
+
+def test_levels_of_cut_points_keep_blocks_small_and_in_order(spark, frame, small_groups, monkeypatch):
+    monkeypatch.setattr(G, "FAN", 2)
+    pieces = G.cut(frame, ["k"], ["t", "id"], G.hot_groups(frame, ["k"])).toPandas().sort_values(["k", "t", "id"])
+    assert len(pieces) == 240
+    for _, group in pieces.groupby("k"):
+        assert group[G.BLOCK].is_monotonic_increasing
+    assert pieces[pieces.k == "hot"].groupby(G.BLOCK).size().max() < 40
+    got = G.position(frame, ["k"], ["t", "id"]).select("id", "_pos").collect()
+    want = pd.DataFrame(rows(), columns=["k", "id", "t", "v"]).sort_values(["k", "t", "id"])
+    want["p"] = want.groupby("k").cumcount() + 1
+    assert {tuple(r) for r in got} == set(zip(want.id, want.p))

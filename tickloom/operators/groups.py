@@ -21,9 +21,8 @@ from tickloom.session import checkpoint
 
 GROUP_ROWS = "tickloom.groupRows"
 DEFAULT_GROUP_ROWS = 5_000_000
-MAX_BLOCKS = 512
+FAN = 256  # blocks' worth of rows that one level of cut points parts
 SAMPLES_PER_BLOCK = 16
-HOT_GROUPS_BROADCAST = 2_000
 # Spark's default spark.sql.optimizer.windowGroupLimitThreshold
 GROUP_LIMIT = 1_000
 # internal column names share a prefix that callers do not use
@@ -76,24 +75,40 @@ def attach(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left
 def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame) -> DataFrame:
     """Add ``_block``: consecutive pieces of each hot group along ``order`` (ascending).
 
-    The cut points are taken from a hashed sample of bounded size per group, so
-    they only shape the pieces; results do not depend on them.
+    Pieces are cut in levels of at most ``2 * FAN`` cut points, so that neither a row nor a task ever sees more points than
+    that times ``SAMPLES_PER_BLOCK``; a group of any size gets as many levels as it needs. The points come from a hashed
+    sample of the group, so they only shape the pieces; results do not depend on them.
     """
     limit = group_rows(df)
     # read several times below and by the caller: compute it once, through the shared folder
     df = checkpoint(df)
-    wanted = F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("_gk_rows") / limit) * 2)
-    plan = hot.withColumn("_gk_blocks", wanted.cast("long")).withColumn(
+    hot = checkpoint(hot)
+    out = _split(df, keys, order, hot, limit).withColumn(BLOCK, F.coalesce(BLOCK, F.lit(0)).cast("long"))
+    largest = hot.agg(F.max(ROWS)).first()[0]
+    finer = [*keys, "_gk_coarse"]
+    while largest > FAN * limit:
+        coarse = checkpoint(out.withColumnRenamed(BLOCK, "_gk_coarse"))
+        large = checkpoint(coarse.groupBy(*finer).agg(F.count(F.lit(1)).alias(ROWS)).where(F.col(ROWS) > FAN * limit))
+        before, largest = largest, large.agg(F.max(ROWS)).first()[0] or 0
+        if largest in (0, before):  # nothing is too large, or equal places cannot be parted
+            break
+        code = F.col("_gk_coarse") * (2 * FAN + 1) + F.coalesce(BLOCK, F.lit(0))
+        out = _split(coarse, finer, order, large, limit).withColumn(BLOCK, code).drop("_gk_coarse")
+    return out
+
+
+def _split(df: DataFrame, keys: Sequence[str], order: Sequence[str], large: DataFrame, limit: int) -> DataFrame:
+    """Cut the groups of ``large(keys, rows)`` once, at no more than ``2 * FAN`` points; other rows have no block."""
+    wanted = F.least(F.lit(FAN), F.ceil(F.col(ROWS) / limit)) * 2
+    plan = large.withColumn("_gk_blocks", wanted.cast("long")).withColumn(
         "_gk_every",
-        F.greatest(F.lit(1), F.floor(F.col("_gk_rows") / (F.col("_gk_blocks") * SAMPLES_PER_BLOCK))),
+        F.greatest(F.lit(1), F.floor(F.col(ROWS) / (F.col("_gk_blocks") * SAMPLES_PER_BLOCK))),
     )
-    small = plan.limit(HOT_GROUPS_BROADCAST + 1).count() <= HOT_GROUPS_BROADCAST
-    hint = F.broadcast if small else (lambda side: side)
-    rows = attach(df.select(*keys, *order), hint(plan), keys, "inner")
+    rows = attach(df.select(*keys, *order), plan, keys, "inner")
     points = rows.where(F.pmod(F.xxhash64(*order), F.col("_gk_every")) == 0)
     listed = F.sort_array(F.collect_set(F.struct(*order)))
     bounds = points.groupBy(*keys).agg(listed.alias("_gk_points"), F.max("_gk_blocks").alias("_gk_blocks"))
-    step = F.greatest(F.lit(1), F.floor(F.size("_gk_points") / F.col("_gk_blocks")).cast("int"))
+    step = F.greatest(F.lit(1), F.ceil(F.size("_gk_points") / F.col("_gk_blocks")).cast("int"))
     bounds = checkpoint(
         bounds.withColumn("_gk_step", step).select(
             *keys,
@@ -102,11 +117,7 @@ def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame
     )
     here = F.struct(*order)
     block = F.size(F.filter("_gk_bounds", lambda b: b <= here))
-    return (
-        attach(df, hint(bounds), keys)
-        .withColumn(BLOCK, F.coalesce(block, F.lit(0)))
-        .drop("_gk_bounds")
-    )
+    return attach(df, bounds, keys).withColumn(BLOCK, F.when(F.col("_gk_bounds").isNotNull(), block)).drop("_gk_bounds")
 
 
 def group_columns(
@@ -144,7 +155,7 @@ def position(
     sizes = pieces.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_gk_size"))
     along = F.col(BLOCK).desc() if reverse else F.col(BLOCK).asc()
     earlier = over(keys, [along]).rowsBetween(Window.unboundedPreceding, -1)
-    # one row per block and group: at most MAX_BLOCKS rows in a window
+    # one row per block and group
     offsets = sizes.select(
         *keys,
         BLOCK,
@@ -401,7 +412,9 @@ def top_rows(
         return best.withColumn(out, F.row_number().over(Window.orderBy(*order)))
     if n > GROUP_LIMIT and hot_groups(df, keys) is not None:
         plain = [c for c, kind in df.dtypes if not kind.startswith("map")]
-        share = F.pmod(F.xxhash64(*plain), F.lit(MAX_BLOCKS))
+        # as many shares as keep one within the limit: the largest group's size decides for all
+        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+        share = F.pmod(F.xxhash64(*plain), F.lit(2 * -(-largest // group_rows(df))))
         spread = df.withColumn("_gk_share", share)
         within = spread.withColumn("_gk_p", F.row_number().over(over([*keys, "_gk_share"], list(order))))
         df = within.where(F.col("_gk_p") <= n).drop("_gk_p", "_gk_share")
