@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -166,6 +167,28 @@ def test_toxicity_without_marks_and_pieces(spark, make_docs, monkeypatch):
     assert np.allclose(whole, net.logits(texts, net.projected()), atol=1e-4)
 
 
+@pytest.mark.parametrize("kinds", [(0,), (1,), (0, 1)])
+def test_toxicity_sample_passes_over_long_texts(spark, make_docs, monkeypatch, kinds):
+    r = np.random.default_rng(3)
+    marks = {i: i % 2 for i in range(60)}
+    # one long text of each kind in the front half of every order, and an id that a third of the rows repeat
+    order = sorted(marks, key=lambda i: hashlib.md5(f"{toxicity.SEED}:{i}".encode()).hexdigest())
+    long = {next(i for i in order if marks[i] == k and zlib.crc32(str(i).encode()) % 5 > 1) for k in kinds}
+    rows = [(i, " ".join(words(r, 900 if i in long else 10))) for i in marks]
+    again = next(i for i in order if i not in long and zlib.crc32(str(i).encode()) % 5 > 1)
+    rows += [(again, rows[again][1])] * 30
+    labels = spark.createDataFrame(list(marks.items()), "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.append(([len(t) for t in texts], y.tolist())))
+    toxicity.fit_toxicity(make_docs(rows), labels, sample_words=400)
+    (sizes, y), fit = seen[0], [i for i in marks if zlib.crc32(str(i).encode()) % 5 > 1 and i not in long]
+    assert len(sizes) == min(40, len(fit)) and set(sizes) == {10} and set(y) == {0, 1}
+    # a kind of long texts alone still takes part
+    rows = [(i, " ".join(words(r, 900 if marks[i] else 10))) for i in marks]
+    toxicity.fit_toxicity(make_docs(rows), labels, sample_words=400)
+    assert [n for n, y in zip(*seen[1], strict=True) if y] == [900] and seen[1][1].count(0) > 5
+
+
 # ---- nearest neighbours
 
 

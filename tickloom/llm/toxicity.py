@@ -31,6 +31,7 @@ MIN_DOCS = 3  # sample documents a bucket must occur in to be trained
 SEED = 5
 SAMPLE_DOCS = 4000  # labelled documents in the training sample, half of them toxic where there are as many
 SAMPLE_WORDS = 3_000_000  # words in the training sample
+PARTS = 8  # one document holds at most this part of the training sample
 PIECE = 20_000  # words convolved at once
 EDGES = " \t.,;:!?\"'()[]{}<>*#$%&|~^`=+-_/\\@"
 
@@ -183,16 +184,48 @@ def train(texts: list[np.ndarray], y: np.ndarray) -> Network:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Network | None:
     """Train on a sample of the marked rows of buckets 2 to 4: at most ``sample_docs`` documents and, in order of a
-    hash of the id, ``sample_words`` words. Without marks of both kinds there is no model."""
+    hash of the id, ``sample_words`` words. A document that does not fit is passed over, one of more than a
+    :data:`PARTS` th of the words gives its place to another; only where a kind has no other document does its shortest
+    one come in, whatever its length. Without marked documents of both kinds there is no model."""
     marks = _marks(labels, (2, 3, 4)).withColumn("y", (F.col("toxic") >= 0.5).cast("int"))
+    share = max(1, sample_words // PARTS)
+    hashed, sizes = _hashed_sample(docs, marks, sample_docs)
+    if any(n > share for _, _, n in sizes):  # documents too long for a sample give their place to others
+        hashed, sizes = _hashed_sample(docs, marks.join(_long_ids(docs, share), "doc_id", "left_anti"), sample_docs)
+        missing = [k for k in (0, 1) if k not in {y for _, y, _ in sizes}]
+        for k in missing:  # a kind with long documents alone: its shortest one
+            more, size = _hashed_sample(docs, _shortest(docs, marks.where(F.col("y") == k)), 2)
+            hashed, sizes = hashed.unionByName(more), sizes + size
+    if len({y for _, y, _ in sizes}) < 2:
+        return None
+    # both kinds in turn; a document that does not fit is passed over
+    turn = {0: 0, 1: 0}
+    ranked = []
+    for doc, y, n in sorted(sizes, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0])):
+        ranked.append((turn[y], y, doc, n))
+        turn[y] += 1
+    held, within = 0, set()
+    for _, _, doc, n in sorted(ranked):
+        if n > share:  # the only one of its kind, besides the words of the others
+            within.add(doc)
+        elif held + n <= sample_words:
+            held += n
+            within.add(doc)
+    keep = F.broadcast(docs.sparkSession.createDataFrame([(int(d),) for d in sorted(within)], "id long"))
+    got = sorted(hashed.join(keep, "id").select("id", "y", "ids").collect(), key=lambda r: r["id"])  # one row per id
+    return train([np.array(r["ids"], np.int32).reshape(-1, 2) for r in got], np.array([r["y"] for r in got]))
+
+
+def _hashed_sample(docs: DataFrame, marks: DataFrame, sample_docs: int) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """``id, y, ids, n`` of the first marked documents of each kind in order of a hash of the id, and their ``(id, y,
+    n)``. Rows that repeat an id are one document, the shortest of them."""
     order = F.md5(F.concat(F.lit(f"{SEED}:"), F.col("doc_id").cast("string")))
     chosen = [marks.where(F.col("y") == k).orderBy(order).limit(sample_docs // 2) for k in (0, 1)]
     ids = chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("id"), "y").collect()  # at most sample_docs
-    if len({r["y"] for r in ids}) < 2:
-        return None
-    spark = docs.sparkSession
-    wanted = F.broadcast(spark.createDataFrame(ids, "id long, y int"))
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id")).select("id", "y", "text")
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(ids, "id long, y int"))
+    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"))
+    first = F.min(F.struct(F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), "text")).alias("first")
+    rows = rows.groupBy("id", "y").agg(first).select("id", "y", "first.text")
 
     def start():
         memory = Buckets()
@@ -204,25 +237,29 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_D
 
     hashed = map_text(rows, [F.col("id"), F.col("y")], F.col("text"), {"ids": "array<int>"}, start)
     hashed = checkpoint(hashed.withColumn("n", (F.size("ids") / 2).cast("long")))
-    # both kinds in turn, until the words are spent
-    sizes = sorted(hashed.select("id", "y", "n").collect(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["n"]))
-    turn = {0: 0, 1: 0}
-    ranked = []
-    for r in sizes:
-        ranked.append((turn[r["y"]], r["y"], r["id"], r["n"]))
-        turn[r["y"]] += 1
-    held, within = 0, set()
-    for _, _, doc, n in sorted(ranked):
-        if held + n > sample_words:
-            break
-        held += n
-        within.add(doc)
-    keep = F.broadcast(spark.createDataFrame([(int(d),) for d in sorted(within)], "id long"))
-    got = sorted(hashed.join(keep, "id").select("id", "y", "ids").collect(), key=lambda r: (r["id"], len(r["ids"])))
-    y = np.array([r["y"] for r in got])
-    if len(set(y.tolist())) < 2:
-        return None
-    return train([np.array(r["ids"], np.int32).reshape(-1, 2) for r in got], y)
+    return hashed, [tuple(r) for r in hashed.select("id", "y", "n").collect()]
+
+
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """``doc_id, n``: words of the shortest row of each id."""
+
+    def start():
+        return lambda texts: [[len(t.split()) for t in texts]]
+
+    counts = map_text(docs.where("doc_id IS NOT NULL"), [F.col("doc_id")], F.col("text"), {"n": "long"}, start)
+    return counts.groupBy("doc_id").agg(F.min("n").alias("n"))
+
+
+def _long_ids(docs: DataFrame, share: int) -> DataFrame:
+    """Ids of documents of more than ``share`` words, whichever row of theirs counts."""
+    short = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) < 2 * share).select("doc_id")  # cannot hold more
+    long = docs.where(F.octet_length("text") >= 2 * share).join(short, "doc_id", "left_anti")
+    return _word_counts(long).where(F.col("n") > share).select("doc_id")
+
+
+def _shortest(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The mark of the document with the fewest words."""
+    return marks.join(_word_counts(docs), "doc_id").orderBy("n", "doc_id").limit(1).drop("n")
 
 
 def _marks(labels: DataFrame, buckets: tuple[int, ...]) -> DataFrame:
