@@ -180,6 +180,25 @@ def test_recurring_lines_and_generalised_fields(spark, make_docs):
     assert got[24].text is None and (got[24].n_lines, got[25].n_lines) == (0, 1)
 
 
+@pytest.mark.parametrize("n", [10, 31, 97])
+@pytest.mark.parametrize("change", ["two words", "leading word", "one more", "one less", "short"])
+def test_lines_match_with_scattered_changes(spark, make_docs, n, change):
+    rows = []
+    for i in range(8):
+        line, r = prose(7 if change == "short" else n, 4000 + n).split(), random.Random(f"{change}{i}")
+        at = {"two words": [n // 6, n - 2], "leading word": [0], "short": [3]}.get(change, [])
+        for k in at:
+            line[k] = f"other{'abcdefgh'[i]}"
+        if change == "one more" and i % 2:
+            line.insert(r.randrange(len(line)), "inserted")
+        if change == "one less" and i % 2:
+            del line[r.randrange(len(line))]
+        rows.append((i, f"{prose(12, 70 + i)}\n{' '.join(line)}"))
+    got = {r.doc_id: r.n_dropped for r in lines.dedup_lines(make_docs(rows)).collect()}
+    # a document stays first for what only the later ones share with it
+    assert got == {0: 0, **{i: 1 for i in range(1, 8)}}
+
+
 def plain_dedup(rows):
     """Counts every template over all rows and drops lines template by template."""
     seen = {}

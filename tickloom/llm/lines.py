@@ -1,10 +1,12 @@
-"""Line dedup with a log-template tree of fixed depth.
+"""Line dedup with log templates.
 
-A line descends by its number of tokens and its leading tokens, tokens with digits being fields. The rest of the
-line is cut into ``BANDS`` stretches; its templates are the line itself and the line with any one stretch generalised
-to a field, so lines that differ in digits anywhere, or in one stretch, share a template. Templates are counted over
-all documents at once: the tree has no state that depends on the order of lines, and a hot node is a key whose counts
-are summed before the shuffle.
+Tokens with digits are fields. The templates of a line are the line itself, the line with its leading tokens or a third
+of the rest generalised to a field, and the line with any two of ``BANDS`` stretches generalised. Where what is left out
+lies side by side, the rest is counted from the end of the line, and the line counts both as one of its own number of
+tokens and as one of one token less: so a token more or less does not part two lines. Lines that differ in digits
+anywhere, in one or two stretches, or by one token thus share a template. Templates are counted over all
+documents at once: no state depends on the order of lines, and a hot template is a key whose counts are summed before
+the shuffle.
 
 A template recurs when the tokens it repeats, constant tokens times documents, reach ``MIN_REPEATED`` in at least two
 documents. Lines of recurring templates are dropped from every document but the first (smallest id) that has them, so
@@ -14,6 +16,7 @@ whole copies keep one copy.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -23,17 +26,23 @@ from pyspark.sql import functions as F
 from tickloom.llm.text import map_text
 
 DEPTH = 2  # leading tokens
-BANDS = 3
+BANDS = 4
 MIN_REPEATED = 24
 MIN_CONSTANT = 3
-MIN_GENERAL = 8  # tokens from which stretches are generalised
+MIN_GENERAL = 5  # tokens from which one stretch is generalised
+MIN_PAIRS = 8  # tokens from which two stretches are generalised
 
 DIGIT = re.compile(r"\d")
 FIELD = "\x00"
+APART = [(i, j) for i in range(BANDS) for j in range(i + 2, BANDS)]  # pairs of stretches not side by side
 
 
 def templates_of(line: str) -> list[tuple[int, int]]:
-    """``(key, constant tokens)`` of the line's templates, the most special first."""
+    """``(key, constant tokens)`` of the line's templates, the most special first.
+
+    Where every template with two stretches left out has tokens enough to recur in two documents, the others could only
+    find what these find too and are left out.
+    """
     tokens = line.split()
     n = len(tokens)
     fields = 0
@@ -43,19 +52,29 @@ def templates_of(line: str) -> list[tuple[int, int]]:
     if n - fields < MIN_CONSTANT:
         return []
     digest = xxhash.xxh64_intdigest
-    lead = digest(f"{n} {' '.join(tokens[:DEPTH])}")
+    whole = (digest(" ".join(tokens), n), n - fields)
     if n < MIN_GENERAL:
-        return [(digest(" ".join(tokens[DEPTH:]), lead), n - fields)]
-    cuts = [DEPTH + (n - DEPTH) * i // BANDS for i in range(BANDS + 1)]
-    bands = [tokens[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    codes = [digest(" ".join(b)) for b in bands]
-    found = [(digest(np.array(codes, np.uint64).tobytes(), lead), n - fields)]
-    for i, band in enumerate(bands):
-        constant = n - fields - len(band) + band.count(FIELD)
-        code = np.array([*codes[:i], i, *codes[i + 1 :]], np.uint64)
-        if constant >= MIN_CONSTANT:
-            found.append((digest(code.tobytes(), lead ^ (i + 1)), constant))
-    return found
+        return [whole]
+    one, two = [], []
+    for m in (n, n - 1):
+        # a stretch: the leading tokens or a third of the rest; or two quarters of the line, side by side
+        thirds = [0, *(DEPTH + (m - DEPTH) * i // 3 for i in range(4))]
+        quarters = [m * i // BANDS for i in range(BANDS + 1)]
+        for step, cuts, to in ((1, thirds, one), (2, quarters, two)):
+            if step == 1 or n >= MIN_PAIRS:
+                for a, b in zip(cuts, cuts[step:], strict=False):
+                    head, tail = tokens[:a], tokens[n - m + b :]
+                    constant = len(head) + len(tail) - (head.count(FIELD) + tail.count(FIELD) if fields else 0)
+                    to.append((digest(f"{m} {a} {b} {' '.join(head)} {FIELD}{FIELD} {' '.join(tail)}"), constant))
+        if m == n and n >= MIN_PAIRS:
+            bands = [tokens[a:b] for a, b in zip(quarters, quarters[1:], strict=False)]
+            for i, j in APART:
+                kept = [[FIELD + FIELD] if k in (i, j) else band for k, band in enumerate(bands)]
+                gone = sum(len(bands[k]) - bands[k].count(FIELD) for k in (i, j))
+                two.append((digest(f"{m} {i},{j} {' '.join(chain(*kept))}"), n - fields - gone))
+    if two and min(c for _, c in two) * 2 >= MIN_REPEATED:
+        return two
+    return [whole, *(t for t in one + two if t[1] >= MIN_CONSTANT)]
 
 
 def _keys(docs: DataFrame) -> DataFrame:
