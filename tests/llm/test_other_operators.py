@@ -32,6 +32,25 @@ PAGES = {
 }
 
 
+LONG = "words " * 30
+LINKED = "".join(f"<li><a href={i}>part {i}</a></li>" for i in range(5))
+WHOLE_PAGES = {
+    f"<article><p>begin</p><ul>{LINKED}</ul><p>the longer end</p></article>": "begin the longer end",
+    f"<article><p>begin</p><ol>{LINKED.replace('</li>', ' says much more about it than the link</li>')}</ol><p>end</p></article>": "begin "
+    + "".join(f"part {i} says much more about it than the link " for i in range(5))
+    + "end",
+    "<article><h1><a href=1>Title</a></h1><p><a href=2>A paragraph of links</a></p><p>end</p></article>": "Title A paragraph of links end",
+    "<main><p>lead</p><article><p>one is long</p></article><article><p>two</p></article></main>": "lead one is long two",
+    "<article><p>one</p></article><article class=comment><p>no</p></article><article class='news-card'><p>no</p></article>": "one",
+    f"<div><p>{LONG}</p><p class=ad>x</p><p class=ad>x</p><p class=ad>x</p><p>{LONG}</p></div>": f"{LONG}{LONG}".strip(),
+}
+
+
+@pytest.mark.parametrize("page", WHOLE_PAGES)
+def test_all_main_text(page):
+    assert html.main_text(page) == WHOLE_PAGES[page]
+
+
 @pytest.mark.parametrize("page", PAGES)
 def test_main_text(page):
     assert html.main_text(page) == PAGES[page]

@@ -3,8 +3,10 @@
 Markup is stripped into lines, one per block element. Menus, forms, notices and the like count as empty lines,
 by their element, role or class, and so do lines that are mostly links. Text lengths are summed over a sliding
 window of lines: where the sum rises from nothing is a surge point, where it falls back to nothing a dive point, and
-the stretch with the most text between a surge and its dive is the main text. Where a page names its article, lines
-outside of it count as empty; of several the one with the most text is taken.
+the largest stretch between a surge and its dive and all others of at least ``ENOUGH`` characters are the main text. Where a page names its
+article, every line in it is main text and lines outside of it count as empty; sibling articles that are neither
+teasers nor comments belong together. Lists that are mostly links are navigation, single linked paragraphs in an article
+are not.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 from tickloom.llm.text import map_text
 
 WINDOW = 3  # lines summed
-LINKS = 0.6  # share of link text from which a line is navigation
+LINKS = 0.6  # share of link text from which a line, and a list in an article, is navigation
+ENOUGH = 100  # characters from which a stretch outside of articles is main text beside the largest one
 
 SKIPPED = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(script|style|noscript|template|iframe|svg|textarea|object|canvas|math|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I
@@ -33,6 +36,7 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LEFT_OUT = frozenset("head nav aside footer form menu dialog select button fieldset datalist".split())
 HOLDERS = frozenset("article main".split())
+LISTS = frozenset("ul ol dl".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar tablist".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 # words of class and id names that mark what is not the article
@@ -42,6 +46,8 @@ NAMES = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments reply replies "
     "responses discussion talkback disqus respond widget toolbar pagination pager skip toc copyright disclaimer".split()
 )
+# such words of article elements alone
+TEASERS = frozenset("teaser teasers card preview excerpt snippet".split())
 # names that mark the article in other elements than its own
 ARTICLE = re.compile(r"(^|[\s_-])(article|post|entry|story|main|page)[_-]?(body|content|text)\b|\barticlebody\b", re.I)
 
@@ -63,17 +69,19 @@ def _left_out(tag: str, attributes: str, inside: bool, by_name: bool) -> bool:
             for part in value.split():
                 words = [w.lower() for w in WORDS.findall(part)]
                 # has-sidebar and the like name a wrapper
-                if words and words[0] not in ("has", "with", "no") and NAMES.intersection(words):
+                if words and words[0] not in ("has", "with", "no") and (NAMES.intersection(words) or tag == "article" and TEASERS.intersection(words)):
                     return True
     return False
 
 
 class Lines:
-    """Lines of a page with their link share and the article they stand in (0: none)."""
+    """Lines of a page, whether they are mostly links, and the article and the list in it they stand in (0: none)."""
 
     def __init__(self):
         self.text: list[str] = []
+        self.linked: list[bool] = []
         self.holder: list[int] = []
+        self.list: list[int] = []
         self._parts: list[str] = []
         self._linked = 0
         self._size = 0
@@ -84,31 +92,35 @@ class Lines:
         self._size += n
         self._linked += n * linked
 
-    def close(self, holder: int) -> None:
+    def close(self, holder: int, listed: int) -> None:
         if self._parts:
             text = " ".join("".join(self._parts).split())
             navigation = self._linked > LINKS * max(1, self._size)
             if text:
-                self.text.append("" if navigation else text)
-                self.holder.append(holder)
+                self._append(text, navigation, holder, listed)
             self._parts, self._linked, self._size = [], 0, 0
 
     def empty(self, holder: int) -> None:
         """Left-out content keeps its place outside of an article and leaves no gap within one."""
         if not holder:
-            self.text.append("")
-            self.holder.append(0)
+            self._append("", False, 0, 0)
+
+    def _append(self, text: str, linked: bool, holder: int, listed: int) -> None:
+        self.text.append(text)
+        self.linked.append(linked)
+        self.holder.append(holder)
+        self.list.append(listed)
 
 
 def lines_of(page: str, by_name: bool = True) -> Lines:
     """Cut a page into lines; what is left out appears as empty lines. ``by_name``: class and id names count too."""
     page = SKIPPED.sub("", page)
     lines = Lines()
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]  # open block elements: tag, left out, article
-    links, count, at = 0, 0, 0
+    stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]  # open block elements: tag, left out, article, list in it
+    links, count, lists, at = 0, 0, 0, 0
     articles = {0: False}  # whether a holder is an article element
     for m in [*TAG.finditer(page), None]:
-        out, holder = stack[-1][1], stack[-1][2]
+        _, out, holder, listed = stack[-1]
         if not out and (raw := page[at : m.start() if m else len(page)]):
             lines.add(html.unescape(raw), links > 0)
         if m is None:
@@ -123,7 +135,7 @@ def lines_of(page: str, by_name: bool = True) -> Lines:
                 links = 0 if closing else 1
             elif not closing and tag not in VOID and attributes and not out and _left_out(tag, attributes, holder > 0, by_name):
                 # a left-out inline element lasts until it closes
-                stack.append((tag, True, holder))
+                stack.append((tag, True, holder, listed))
                 continue
             if closing and stack[-1][0] == tag:
                 stack.pop()
@@ -133,9 +145,9 @@ def lines_of(page: str, by_name: bool = True) -> Lines:
                 if not out:
                     lines.add(" ", False)
             else:
-                lines.close(holder)
+                lines.close(holder, listed)
             continue
-        lines.close(holder)
+        lines.close(holder, listed)
         links = 0
         if closing:
             for depth in range(len(stack) - 1, 0, -1):
@@ -147,17 +159,20 @@ def lines_of(page: str, by_name: bool = True) -> Lines:
             # closed by the next of their kind, often without saying so
             if stack[-1][0] == tag:
                 stack.pop()
-            out, holder = stack[-1][1], stack[-1][2]
+            _, out, holder, listed = stack[-1]
         gone = out or _left_out(tag, attributes, holder > 0, by_name)
         names = tag in HOLDERS or ARTICLE.search(attributes) or 'role="main"' in attributes
         if not gone and (tag == "article" and not articles[holder] or names and not holder):
             count += 1
-            holder = count
+            holder, listed = count, 0
             articles[holder] = tag == "article"
         if gone and not out:
             lines.empty(holder)
-        stack.append((tag, gone, holder))
-    lines.close(stack[-1][2])
+        if tag in LISTS and holder and not listed:
+            lists += 1
+            listed = lists
+        stack.append((tag, gone, holder, listed))
+    lines.close(*stack[-1][2:])
     return lines
 
 
@@ -167,29 +182,29 @@ def main_text(page: str) -> str:
 
 
 def _main_text(lines: Lines) -> str:
-    held_by: dict[int, int] = {}
-    for t, h in zip(lines.text, lines.holder, strict=True):
-        held_by[h] = held_by.get(h, 0) + len(t)
-    named = {h: n for h, n in held_by.items() if h and n}
-    holder = max(named, key=lambda h: (named[h], -h)) if named else 0
-    text = [t if h == holder else "" for t, h in zip(lines.text, lines.holder, strict=True)]
+    rows = list(zip(lines.text, lines.linked, lines.holder, lines.list, strict=True))
+    size, links = {}, {}
+    for t, linked, _, n in rows:
+        size[n] = size.get(n, 0) + len(t)
+        links[n] = links.get(n, 0) + linked * len(t)
+    held = [t for t, linked, holder, n in rows if holder and not (linked and n and links[n] > LINKS * size[n])]
+    if held:
+        return " ".join(held)
+    text = ["" if linked or holder else t for t, linked, holder, _ in rows]
     sizes = [len(t) for t in text]
-    sums, held = [], 0
+    sums, total = [], 0
     for i, n in enumerate(sizes):  # sums of the window that ends at each line
-        held += n - (sizes[i - WINDOW] if i >= WINDOW else 0)
-        sums.append(held)
-    best, start = (0, 0, 0), None
-    total = 0
-    for i, s in enumerate([*sums, 0]):
-        if s > 0 and start is None:
-            start, total = i, 0  # surge
-        if start is not None and i < len(sizes):
-            total += sizes[i]
-        if s == 0 and start is not None:  # dive
-            if total > best[0]:
-                best = (total, start, i)
+        total += n - (sizes[i - WINDOW] if i >= WINDOW else 0)
+        sums.append(total)
+    stretches, start = [], None
+    for i, n in enumerate([*sums, 0]):
+        if n > 0 and start is None:
+            start = i  # surge
+        if n == 0 and start is not None:  # dive
+            stretches.append((sum(sizes[start:i]), start, i))
             start = None
-    return " ".join(t for t in text[best[1] : best[2]] if t)
+    largest = max((n for n, _, _ in stretches), default=0)
+    return " ".join(t for n, a, b in stretches if n >= min(ENOUGH, largest) for t in text[a:b] if t)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
