@@ -321,3 +321,22 @@ def test_secret_scan_adds_random_tokens_and_keeps_base(spark, make_docs):
     assert sum(spans[i].startswith("random:") for i in range(20)) >= 18
     assert sorted(x.n_assign for x in got)[-2:] == [1, 1]
     assert secrets.digests(secrets.find_secrets(make_docs([]))).count() == 0
+
+
+def test_secret_scan_finds_keys_of_one_kind(spark, make_docs):
+    r = random.Random(7)
+    language = ["the", "and", "ing", "tion", "er", "en", "re", "on", "an", "st", "le", "sh", "ou", "de", "mo", "ra", "li", "pe", "ca", "va"]
+    said = lambda n, seed: " ".join("".join(random.Random(seed * 9999 + i).choices(language, k=3)) for i in range(n))
+    pick = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    low, up = (secrets.ENCODINGS[k] for k in ("lower", "upper"))
+    make = {"lower": lambda: pick(low, 40), "upper": lambda: pick(up, 40)}
+    rows, kinds = [(i, said(4000, i)) for i in range(20)], {}
+    for k, (name, key) in enumerate(make.items()):
+        for i in range(20):
+            kinds[100 * (k + 1) + i] = name
+            rows.append((100 * (k + 1) + i, f"{said(30, i)} {key()} end"))
+    rows += [(900 + i, f"{''.join(r.choices(language, k=15))} end") for i in range(20)]
+    spans = {x.doc_id: x.spans for x in secrets.digests(secrets.find_secrets(make_docs(rows))).collect()}
+    assert sum("random" in spans[i] for i in kinds if kinds[i] == "lower") >= 17
+    assert sum("random" in spans[i] for i in kinds if kinds[i] == "upper") >= 17
+    assert not any("random" in spans[i] for i in range(20)) and not any("random" in spans[900 + i] for i in range(20))

@@ -2,9 +2,11 @@
 
 A candidate is a maximal run of token characters that no pattern has claimed. Its encoding is inferred from the
 characters it uses, and the tests run over their places in that alphabet: a chi-squared test of even use, a runs test
-about the middle and the serial correlation of neighbours. Text fails these; a key passes. A fourth number says how
-likely ordinary text would switch between letters, capitals and digits as often; that is the p-value the
-false-discovery control works on. It is held per class of length over the whole corpus (Benjamini-Hochberg), because
+about the middle and the serial correlation of neighbours. What fails them is not random. Two more numbers hold the
+token against ordinary text: how likely its letters, each after the one before, are with the letter pairs counted over
+the corpus rather than with even use, which bounds a p-value; and how likely text would switch between letters, capitals
+and digits as often. Both combined by Fisher's method are the p-value the false-discovery control works on, so tokens of
+one kind of character count too. It is held per class of length over the whole corpus (Benjamini-Hochberg), because
 short tokens can give little evidence and would otherwise use up the allowance of long ones.
 """
 
@@ -12,12 +14,15 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.text import map_text
+from tickloom.llm.text import map_text, prepare
 from tickloom.session import checkpoint
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -33,9 +38,12 @@ ENCODINGS = {
     "decimal": DIGITS,
     "hex": DIGITS + "abcdef",
     "HEX": DIGITS + "ABCDEF",
+    "lower": LOWER,
+    "upper": UPPER,
     "base32": UPPER + "234567",
     "base36": DIGITS + LOWER,
     "BASE36": DIGITS + UPPER,
+    "letters": UPPER + LOWER,
     "base62": DIGITS + UPPER + LOWER,
     "base64": UPPER + LOWER + DIGITS + "+/",
     "base64url": UPPER + LOWER + DIGITS + "-_",
@@ -43,6 +51,10 @@ ENCODINGS = {
 }
 LENGTHS = (20, 24, 32, 48, 64)  # lower ends of the length classes
 SWITCH = 0.12  # how often neighbours in ordinary tokens differ in class
+# letters in a thousand of Western European text, a to z: what counts where the corpus says little
+COMMON = (80, 17, 33, 40, 140, 17, 19, 37, 70, 4, 8, 44, 28, 75, 58, 22, 6, 66, 70, 72, 45, 13, 12, 3, 8, 6)
+PRIOR = 1e5  # letters of a corpus that weigh as much
+UNSEEN = 0.2  # share of letters in ordinary tokens that follow no pair of the corpus
 EVEN = 1e-3  # a test below this speaks against randomness
 FALSE_SHARE = 0.01
 STEP = 10  # cells per power of ten of a p-value
@@ -68,13 +80,67 @@ def _binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in log))
 
 
+def _fisher(p: float, q: float) -> float:
+    """Two independent p-values as one."""
+    both = max(p * q, 1e-300)
+    return min(1.0, both * (1 - math.log(both)))
+
+
+def letter_counts(docs: DataFrame) -> np.ndarray:
+    """How often each letter follows each in the texts, case aside: 27 x 27, 0 for anything else. Long tokens are left
+    out, since they may be keys."""
+    rows = prepare(docs).select(F.coalesce("text", F.lit("")).alias("text"))
+    place = np.zeros(256, np.int64)
+    for i, c in enumerate(LOWER, 1):
+        place[[ord(c), ord(c.upper())]] = i
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(729, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                at = place[np.frombuffer(f" {TOKEN.sub(' ', text)} ".encode(), np.uint8)]
+                counts += np.bincount(at[:-1] * 27 + at[1:], minlength=729)
+        live = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(live, pa.int64()), pa.array(counts[live], pa.int64())], names=["pair", "n"])
+
+    found = np.zeros(729)
+    for r in rows.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most 729 rows
+        found[r["pair"]] = r["n"]
+    return found.reshape(27, 27)
+
+
+def letter_evidence(counts: np.ndarray) -> list[list[float]]:
+    """By letter before and letter, the logarithm of even use over the use in ordinary text."""
+    common = np.array(COMMON) / sum(COMMON)
+    pairs = counts[:, 1:]
+    usual = (1 - UNSEEN) * (pairs + PRIOR * common) / (pairs.sum(axis=1, keepdims=True) + PRIOR) + UNSEEN * common
+    return (-math.log(26) - np.log(usual)).tolist()
+
+
+NO_CORPUS = letter_evidence(np.zeros((27, 27)))
+
+
+def p_letters(token: str, evidence: list[list[float]]) -> float:
+    """Bound of the chance that ordinary text has letters as much closer to even use of 26 or, in hexadecimal digits, of
+    6: the mean of a ratio of likelihoods is 1, so one of two exceeds x with a chance of 2 / x at most."""
+    gain = math.log(26 / 6) if encoding_of(token) in ("hex", "HEX") else 0.0
+    before, total = 0, -math.log(2)
+    for c in token.lower():
+        at = ord(c) - 96 if "a" <= c <= "z" else 0
+        if at:
+            total += evidence[before][at - 1] + gain
+        before = at
+    return math.exp(-max(0.0, total))
+
+
 def encoding_of(token: str) -> str:
     used = set(token)
     return next(name for name, alphabet in ENCODINGS.items() if used <= set(alphabet))
 
 
-def battery(token: str) -> dict[str, float]:
-    """p-values: ``even``, ``runs``, ``serial`` under a random token; ``text`` under ordinary text."""
+def battery(token: str, evidence: list[list[float]] = NO_CORPUS) -> dict[str, float]:
+    """p-values: ``even``, ``runs``, ``serial`` under a random token; ``text`` (changes of kind), ``letters`` and
+    ``ordinary`` (both) under ordinary text."""
     alphabet = ENCODINGS[encoding_of(token)]
     at = [alphabet.index(c) for c in token]
     n, size = len(at), len(alphabet)
@@ -100,11 +166,14 @@ def battery(token: str) -> dict[str, float]:
     # signs between words are no switch
     kinds = ["a" if c.islower() else "A" if c.isupper() else "0" for c in token if c.isalnum()]
     switches = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+    text, letters = _binomial_tail(switches, max(1, len(kinds) - 1), SWITCH), p_letters(token, evidence)
     return {
         "even": even,
         "runs": p_runs,
         "serial": _two_sided((serial + 1 / n) * math.sqrt(n)),
-        "text": _binomial_tail(switches, max(1, len(kinds) - 1), SWITCH),
+        "text": text,
+        "letters": letters,
+        "ordinary": _fisher(text, letters),
     }
 
 
@@ -125,20 +194,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """``(start, end, length class, cell)`` of other tokens that use two kinds of characters and look random."""
+def candidates(text: str, base: list[tuple[int, int, int]], evidence: list[list[float]] = NO_CORPUS) -> list[tuple[int, int, int, int]]:
+    """``(start, end, length class, cell)`` of all other tokens."""
     if not any(len(w) >= 20 for w in text.split()):
         return []
     found = []
     for m in TOKEN.finditer(text):
         token = m.group()
-        kinds = any(c.islower() for c in token) + any(c.isupper() for c in token) + any(c.isdigit() for c in token)
-        if kinds < 2 or any(s < m.end() and m.start() < e for s, _, e in base):
+        if any(s < m.end() and m.start() < e for s, _, e in base):
             continue
-        p = battery(token)
+        p = battery(token, evidence)
         random = min(p["even"], p["runs"], p["serial"]) >= EVEN
         # a token that is surely not random stays in the count with the worst p-value
-        cell = min(FLOOR * STEP, int(-math.log10(max(p["text"], 10.0**-FLOOR)) * STEP)) if random else 0
+        cell = min(FLOOR * STEP, int(-math.log10(max(p["ordinary"], 10.0**-FLOOR)) * STEP)) if random else 0
         found.append((m.start(), m.end(), length_class(len(token)), cell))
     return found
 
@@ -171,10 +239,12 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     exclusive; kinds count through :data:`KINDS`. A null text is empty; repeated rows come back as often as given.
     """
 
+    evidence = letter_evidence(letter_counts(docs))
+
     def start():
         def work(texts: list[str]) -> list[list]:
             spans = [base_spans(t) for t in texts]
-            other = [candidates(t, b) for t, b in zip(texts, spans, strict=True)]
+            other = [candidates(t, b, evidence) for t, b in zip(texts, spans, strict=True)]
             return [[sum(s, ()) for s in spans], [sum(s, ()) for s in other]]
 
         return work
