@@ -152,6 +152,15 @@ def test_leaks_match_brute_force(spark, make_docs, block_chars):
     assert kept.columns == docs.columns
 
 
+def test_budget_is_one_edit_per_twenty_characters(spark, make_docs):
+    assert [decontaminate.budget("x" * n) for n in (19, 20, 39, 40, 100)] == [0, 1, 1, 2, 5]
+    item = "the quick brown foxes jump over seven lazy dogs while a sleepy night owl reads an old green book toda"
+    docs = make_docs([(1, f"said: {item.replace('green', 'fluid')} and more"), (2, "a short item of twenty chrs")])
+    bench = spark.createDataFrame([(1, item), (2, "short item of twenty chars")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.leaked_items(docs, bench).collect()}
+    assert got == {(1, 1, plain_distance(item, item.replace("green", "fluid"))), (2, 2, 1)}
+
+
 def test_leaks_of_empty_tables(spark, make_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaked_items(make_docs([(1, "a b")]), none).count() == 0

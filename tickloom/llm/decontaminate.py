@@ -32,7 +32,7 @@ def normal(text: str) -> str:
 
 def budget(item: str) -> int:
     """Allowed edits: one per :data:`PIECE` characters."""
-    return max(0, len(item) // PIECE - 1)
+    return len(item) // PIECE
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
