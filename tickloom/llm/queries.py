@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, decontaminate, html, lines, mixing, neighbours, quality, secrets, simhash, toxicity
+from tickloom.llm import (
+    chat,
+    decontaminate,
+    html,
+    lines,
+    mixing,
+    neighbours,
+    periods,
+    phrases,
+    pieces,
+    quality,
+    secrets,
+    simhash,
+    toxicity,
+)
 from tickloom.llm.base import LLM_QUERIES, llm_query
 from tickloom.llm.text import bucket_of
 from tickloom.session import tune
@@ -77,3 +91,21 @@ def op9_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @llm_query("op10_source_mix", mixing.SQL)
 def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
+
+
+@llm_query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    text = periods.planted(F.col("doc_id"), F.col("text"))
+    return periods.digests(periods.find_runs(table(spark, folder, "documents"), [F.col("doc_id")], text))
+
+
+@llm_query("op12_phrase_collocations", phrases.SQL)
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"), F.col("lang"), F.col("text"))
+
+
+@llm_query("op13_sentencepiece_chunks")
+def op13_sentencepiece_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    model = pieces.read_model()
+    encoded = pieces.encode(table(spark, folder, "documents"), [F.col("doc_id")], F.col("text"), model)
+    return pieces.digests(pieces.decode(encoded, model))
