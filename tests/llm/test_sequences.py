@@ -133,9 +133,15 @@ def plain_collocations(docs, least, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("open_edges", [200_000, 5])
-def test_collocations_against_brute_force(spark, monkeypatch, open_edges):
-    monkeypatch.setattr(phrases, "OPEN_EDGES", open_edges)
+@pytest.mark.parametrize(("held", "known", "bits"), [(1_000_000, 1_000_000, 23), (5, 3, 14), (1_000_000, 1_000_000, 2)])
+def test_collocations_against_brute_force(spark, monkeypatch, held, known, bits):
+    """With tables of few and many buckets: words and pairs that share one are never lost."""
+    monkeypatch.setattr(phrases, "HELD", held)
+    monkeypatch.setattr(phrases, "KNOWN", known)
+    whole = (phrases.possible, phrases.graph_edges)
+    monkeypatch.setattr(phrases, "possible", lambda *args: whole[0](*args, bits=bits))
+    monkeypatch.setattr(phrases, "graph_edges", lambda *args: whole[1](*args, bits=bits))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
     r = random.Random(5)
     vocabulary = ["a", "b", "B", "c\x01", "é", "日本", "d e", "of", " x", "f\x00", "\U0001f600"]
     docs = []
@@ -156,10 +162,11 @@ def test_collocations_of_nothing(spark, make_docs):
 
 
 def test_products_beyond_64_bits(spark):
-    edges = spark.createDataFrame([("en", "a b ", 9 * 10**15), ("en", "b ", 10**15 + 7)], "lang string, edge string, n long")
+    edges = spark.createDataFrame([("en", "a b ", 9 * 10**15), ("en", "b ", 10**15 + 7), ("en", "", 10**16 + 7)], "lang string, edge string, n long")
     counts = phrases.phrase_counts(edges, 1)
     row = phrases.scored_phrases(counts, 5).collect()[0]
     a, n, left, right = 9 * 10**15, 10**16 + 7, 9 * 10**15, 10**15 + 7
+    assert 1000 * a * n > 2**63
     assert tuple(row) == ("en", 1, "a b", a, left, right, n, 1000 * a * n // (left * right))
 
 

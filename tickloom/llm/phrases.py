@@ -2,7 +2,7 @@
 
 Texts fall into pieces and those into words. Nodes are phrases of four words, edges phrases of five, which join the two
 nodes that overlap in them; an edge's weight is how often it stands in the texts. Only edges are counted, and at the end of
-each piece the one to four words that no edge starts from. The count of a shorter phrase is what flows through it: the sum
+each piece its last one to four words that no edge starts from. The count of a shorter phrase is what flows through it: the sum
 of all edges that start with it, plus the piece ends that do. Sorted by their words, edges that start alike lie side by
 side, so one pass over a partition, with one open count per length, sums the flow of all lengths; edges are dealt by their
 first two words, after each task has summed its own.
@@ -10,15 +10,23 @@ first two words, after each task has summed its own.
 Unary paths are compacted: where a phrase passes its whole count on to one phrase of one more word, before or behind it,
 the path goes on without a branch and only the longer phrase stays. As counts never grow along a path, one step at a time
 finds every longer phrase with the same count.
+
+Before that, one pass tells which words and pairs may count at all. Each task adds its words and pairs up in a table of
+``2 ** BITS`` buckets, and the tables are summed. A bucket holds no less than each of its words and pairs, so where it
+stays below the wanted count, neither does any longer phrase with them reach it: the pieces are cut there, and the rest of
+the graph is exact. The table's size is fixed. The larger the corpus for one wanted count, the fewer cuts, up to none; that
+costs shuffles and changes no result.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,10 +37,19 @@ from tickloom.session import checkpoint
 WORDS = 5  # of an edge
 MIN_COUNT = 100
 TOP = 2000
-OPEN_EDGES = 200_000  # distinct edges that a task holds before it passes them on
+BITS = 23  # of a bucket's number
+SLICE = 1 << 13  # buckets that travel in one row
+HELD = 1_000_000  # places that a task holds before it sums and passes them on
+KNOWN = 1_000_000  # different words that a task keeps numbers of
+
+# words within pieces, and what ends pieces
+TOKEN = re.compile("[^\x20\x09.,;:!?\x0a-\x0d]+|[.,;:!?\x0a-\x0d]+")
+ENDS = frozenset(".,;:!?\x0a\x0b\x0c\x0d")
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
+
+EDGES = pa.schema([("lang", pa.string()), ("edge", pa.string()), ("n", pa.int64())])
+FLOWS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
 
-ENDS = re.compile("[.,;:!?\x0a-\x0d]")
-WORD = re.compile("[^\x20\x09]+")
 # the same by plain counting: every phrase by itself
 SQL = f"""
 WITH pieces AS (
@@ -70,48 +87,150 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM weakest QUALIFY rank <= {TOP}
 """
 
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
 
-EDGES = pa.schema([("lang", pa.string()), ("edge", pa.string()), ("n", pa.int64())])
-FLOWS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
+class Numbers:
+    """Numbers of the words a task meets, by language; 0 ends a piece."""
+
+    def __init__(self):
+        self.tables: dict[str, dict[str, int]] = {}
+        self.words, self.langs, self.hashes = [""], [""], [0]
+
+    def read(self, langs: list[str], texts: list[str]) -> np.ndarray:
+        out = []
+        for lang, text in zip(langs, texts, strict=True):
+            table = self.tables.setdefault(lang, {})
+            tokens = TOKEN.findall(text)
+            for t in set(tokens).difference(table):
+                table[t] = 0 if t[0] in ENDS else self._number(lang, table, t)
+            out.extend(map(table.__getitem__, tokens))
+            out.append(0)
+        return np.array(out, np.int64)
+
+    def _number(self, lang: str, table: dict[str, int], token: str) -> int:
+        word = token.translate(LOWER)
+        if word not in table:
+            table[word] = len(self.words)
+            self.words.append(word)
+            self.langs.append(lang)
+            self.hashes.append(xxhash.xxh64_intdigest(word.encode(), zlib.crc32(lang.encode())))
+        return table[word]
+
+
+def _buckets(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    """Bucket of each pair of hashes; the second one is 0 for words alone."""
+    x = first * np.uint64(0x9E3779B97F4A7C15) + second
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def graph_edges(docs: DataFrame, lang: Column, text: Column) -> DataFrame:
+def _texts(docs: DataFrame, lang: Column, text: Column) -> DataFrame:
+    return prepare(docs).select(F.coalesce(lang, F.lit("und")).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def possible(docs: DataFrame, lang: Column, text: Column, min_count: int = MIN_COUNT, bits: int = BITS) -> bytes:
+    """One bit per bucket: whether its words and pairs stand at least ``min_count`` times in all.
+
+    Tables hold counts up to ``min_count``, in as few bytes as that takes, and are summed slice by slice as they come in.
+    """
+    kind = np.min_scalar_type(min_count)
+    size = min(SLICE, 1 << bits)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, counts = Numbers(), np.zeros(1 << bits, np.int32)
+        for batch in batches:
+            if len(numbers.words) > KNOWN:
+                numbers = Numbers()
+            ids = numbers.read(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            h = np.array(numbers.hashes, np.uint64)[ids]
+            alone = ids > 0
+            pairs = alone[:-1] & alone[1:]
+            met = np.concatenate([_buckets(h[alone], np.uint64(0), bits), _buckets(h[:-1][pairs], h[1:][pairs], bits)])
+            counts += np.minimum(np.bincount(met, minlength=1 << bits), min_count).astype(np.int32)
+            np.minimum(counts, min_count, out=counts)
+        rows = counts.astype(kind).reshape(-1, size)
+        full = np.flatnonzero(rows.any(axis=1))
+        for part in np.array_split(full, max(1, len(full) // 128)):
+            if len(part):
+                parts = pa.array([rows[k].tobytes() for k in part], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), parts], names=["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total = sums.setdefault(k, np.zeros(size, np.int64))
+                np.minimum(total + np.frombuffer(part, kind), min_count, out=total)
+        if sums:
+            packed = pa.array([np.packbits(s >= min_count).tobytes() for s in sums.values()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), packed], names=["slice", "counts"])
+
+    schema = "slice int, counts binary"
+    tables = _texts(docs, lang, text).mapInArrow(count, schema).repartition("slice")
+    full = np.zeros((1 << bits, 1), bool).reshape(-1, size)
+    for row in tables.mapInArrow(add, schema).collect():
+        full[row["slice"]] = np.unpackbits(np.frombuffer(row["counts"], np.uint8))[:size].astype(bool)
+    return np.packbits(full).tobytes()
+
+
+def graph_edges(docs: DataFrame, lang: Column, text: Column, may_count: bytes, bits: int = BITS) -> DataFrame:
     """``lang, edge, n``: edges and piece ends with what tasks have counted of them; every word is followed by a space.
 
+    Pieces also end where ``may_count`` rules a word or pair out. The edge without words counts all words of the language.
     One edge may have several rows, one for each time a task passed it on. Null languages are ``und``; null texts are empty.
     """
-    source = prepare(docs).select(F.coalesce(lang, F.lit("und")).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        may = np.unpackbits(np.frombuffer(may_count, np.uint8)).astype(bool)
+        numbers, held, places = Numbers(), [], 0
 
-        def passed_on():
-            langs = [e[0] for e in counts]
-            edges = [" ".join(e[1:]) + " " for e in counts]
-            made = pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(edges, pa.string()), pa.array(counts.values(), pa.int64())],
-                schema=EDGES,
-            )
-            counts.clear()
-            return made
+        def passed_on() -> pa.RecordBatch:
+            columns = np.concatenate(held, axis=1)
+            # name what starts alike, one word after the other
+            name, at = columns[0], np.arange(columns.shape[1])
+            for column in columns[1:]:
+                _, at, name, n = np.unique(name << 32 | column, return_index=True, return_inverse=True, return_counts=True)
+            words, langs = numbers.words, numbers.langs
+            rows = columns[:, at].T.tolist()
+            made = [
+                pa.array([langs[r[0]] for r in rows], pa.string()),
+                pa.array(["".join([words[k] + " " for k in r if k]) for r in rows], pa.string()),
+                pa.array(n, pa.int64()),
+            ]
+            held.clear()
+            return pa.RecordBatch.from_arrays(made, schema=EDGES)
 
         for batch in batches:
-            for of, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for piece in ENDS.split(whole.translate(LOWER)):
-                    words = WORD.findall(piece)
-                    if not words:
-                        continue
-                    shifted = [words[k:] for k in range(WORDS)]
-                    counts.update(zip([of] * len(words), *shifted, strict=False))
-                    for k in range(1, min(WORDS, len(words) + 1)):
-                        counts[(of, *words[-k:])] += 1
-                    if len(counts) >= OPEN_EDGES:
-                        yield passed_on()
-        if counts:
+            langs = batch.column(0).to_pylist()
+            ids = numbers.read(langs, batch.column(1).to_pylist())
+            h = np.array(numbers.hashes, np.uint64)
+            known = np.zeros(len(h), bool)
+            met = np.flatnonzero(np.bincount(ids, minlength=len(h)))
+            known[met] = may[_buckets(h[met], np.uint64(0), bits)]
+            known[0] = False
+            of = {name: k for k, name in enumerate(dict.fromkeys(langs))}
+            by_number = np.array([of.get(name, 0) for name in numbers.langs])
+            totals = np.bincount(by_number[ids[ids > 0]], minlength=len(of))
+            yield pa.RecordBatch.from_arrays([pa.array(list(of)), pa.array([""] * len(of)), pa.array(totals, pa.int64())], schema=EDGES)
+            ids = np.r_[np.where(known[ids], ids, 0), np.zeros(WORDS, np.int64)]
+            at = np.flatnonzero(ids)
+            joined = np.zeros(len(ids), bool)
+            pairs = at[ids[at + 1] > 0]
+            joined[pairs] = may[_buckets(h[ids[pairs]], h[ids[pairs + 1]], bits)]
+            columns, on = [ids[at]], np.ones(len(at), bool)
+            for k in range(1, WORDS):
+                on = on & joined[at + k - 1]
+                columns.append(np.where(on, ids[at + k], 0))
+            held.append(np.stack(columns))
+            places += len(at)
+            if places >= HELD or len(numbers.words) > KNOWN:
+                yield passed_on()
+                places = 0
+                if len(numbers.words) > KNOWN:
+                    numbers = Numbers()
+        if held:
             yield passed_on()
 
-    return source.mapInArrow(run, "lang string, edge string, n long")
+    return _texts(docs, lang, text).mapInArrow(run, "lang string, edge string, n long")
 
 
 def phrase_counts(edges: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
@@ -127,11 +246,11 @@ def phrase_counts(edges: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
         def close(depth: int):
             while len(path) > depth:
                 n = flow.pop()
-                # flow through a language and a first word is spread over partitions: its parts are summed afterwards
+                # what flows through a first word is spread over partitions: its parts are summed afterwards
                 if n >= min_count or len(path) <= 2:
                     out.append((path[0], " ".join(path[1:]), len(path) - 1, n))
                 path.pop()
-                if flow:
+                if len(path) > 1:
                     flow[-1] += n
 
         def passed_on():
@@ -141,7 +260,7 @@ def phrase_counts(edges: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
 
         for batch in batches:
             for of, edge, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                steps = [of, *edge[:-1].split(" ")]
+                steps = [of, *edge.split(" ")[:-1]]
                 same = 0
                 for a, b in zip(path, steps, strict=False):
                     if a != b:
@@ -171,8 +290,9 @@ def collocations(docs: DataFrame, lang: Column, text: Column, min_count: int = M
     digits. Candidates that a unary path leads on from are left out. Ranks go by score and ``a`` descending, then by the
     phrase's bytes. Empty tables and texts without words give no rows; repeated rows count again; other columns are not read.
     """
+    edges = graph_edges(docs, lang, text, possible(docs, lang, text, min_count))
     # read several times, and far smaller than the texts
-    return scored_phrases(checkpoint(phrase_counts(graph_edges(docs, lang, text), min_count)), top)
+    return scored_phrases(checkpoint(phrase_counts(edges, min_count)), top)
 
 
 def scored_phrases(counts: DataFrame, top: int = TOP) -> DataFrame:
