@@ -11,18 +11,17 @@ Unary paths are compacted: where a phrase passes its whole count on to one phras
 the path goes on without a branch and only the longer phrase stays. As counts never grow along a path, one step at a time
 finds every longer phrase with the same count.
 
-Before that, one pass tells which words and pairs may count at all. Each task adds its words and pairs up in a table of
-``2 ** BITS`` buckets, and the tables are summed. A bucket holds no less than each of its words and pairs, so where it
-stays below the wanted count, neither does any longer phrase with them reach it: the pieces are cut there, and the rest of
-the graph is exact. The table's size is fixed. The larger the corpus for one wanted count, the fewer cuts, up to none; that
-costs shuffles and changes no result.
+Before that, two passes tell which phrases may count at all. Each task adds up its words and pairs, then its longer phrases
+of such pairs, in a table of ``2 ** BITS`` buckets, and the tables are summed. A bucket holds no less than each of its
+phrases, so where it stays below the wanted count, neither does any longer phrase that starts so reach it: the edge is cut
+there, and the rest of the graph is exact. The table's size is fixed. The larger the corpus for one wanted count, the fewer
+cuts, up to none; that costs shuffles and changes no result.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +38,14 @@ MIN_COUNT = 100
 TOP = 2000
 BITS = 23  # of a bucket's number
 SLICE = 1 << 13  # buckets that travel in one row
-HELD = 1_000_000  # places that a task holds before it sums and passes them on
-KNOWN = 1_000_000  # different words that a task keeps numbers of
+HELD = 32 << 20  # characters that a task sums before it passes edges on
 
-# words within pieces, and what ends pieces
-TOKEN = re.compile("[^\x20\x09.,;:!?\x0a-\x0d]+|[.,;:!?\x0a-\x0d]+")
-ENDS = frozenset(".,;:!?\x0a\x0b\x0c\x0d")
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
+# classes of bytes: 0 in words, 1 between words, 2 between pieces; other separators than these are none
+CLASSES = np.zeros(256, np.uint8)
+CLASSES[[0x20, 0x09]] = 1
+CLASSES[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
 
 EDGES = pa.schema([("lang", pa.string()), ("edge", pa.string()), ("n", pa.int64())])
 FLOWS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
@@ -88,47 +88,96 @@ FROM weakest QUALIFY rank <= {TOP}
 """
 
 
-class Numbers:
-    """Numbers of the words a task meets, by language; 0 ends a piece."""
-
-    def __init__(self):
-        self.tables: dict[str, dict[str, int]] = {}
-        self.words, self.langs, self.hashes = [""], [""], [0]
-
-    def read(self, langs: list[str], texts: list[str]) -> np.ndarray:
-        out = []
-        for lang, text in zip(langs, texts, strict=True):
-            table = self.tables.setdefault(lang, {})
-            tokens = TOKEN.findall(text)
-            for t in set(tokens).difference(table):
-                table[t] = 0 if t[0] in ENDS else self._number(lang, table, t)
-            out.extend(map(table.__getitem__, tokens))
-            out.append(0)
-        return np.array(out, np.int64)
-
-    def _number(self, lang: str, table: dict[str, int], token: str) -> int:
-        word = token.translate(LOWER)
-        if word not in table:
-            table[word] = len(self.words)
-            self.words.append(word)
-            self.langs.append(lang)
-            self.hashes.append(xxhash.xxh64_intdigest(word.encode(), zlib.crc32(lang.encode())))
-        return table[word]
-
-
-def _buckets(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
-    """Bucket of each pair of hashes; the second one is 0 for words alone."""
-    x = first * np.uint64(0x9E3779B97F4A7C15) + second
+class Places:
+    """The words of some texts: their numbers, whether the next one is in the same piece, and hashes of phrases.
+
+    All separators are ASCII, so words are cut from the bytes. ``words`` holds each different word once.
+    """
+
+    def __init__(self, langs: pa.StringArray, texts: pa.StringArray):
+        langs = langs.dictionary_encode()
+        self.langs = langs.dictionary.to_pylist()
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        kind = CLASSES[data]
+        inside = kind == 0
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        some = offsets[1:] > offsets[:-1]
+        first[offsets[:-1][some]] |= inside[offsets[:-1][some]]
+        last[offsets[1:][some] - 1] |= inside[offsets[1:][some] - 1]
+        first, last = np.flatnonzero(first), np.flatnonzero(last)
+        doc = np.searchsorted(offsets, first, "right") - 1
+        piece = np.cumsum(kind == 2)[first]
+        ends = np.r_[0, np.cumsum(last - first + 1)].astype(np.int64)
+        kept = LOWER[data[inside]].tobytes()
+        words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(ends.tobytes()), pa.py_buffer(kept)).dictionary_encode()
+        self.words = words.dictionary.to_pylist()
+        self.ids = words.indices.to_numpy().astype(np.int64)
+        self.lang = langs.indices.to_numpy().astype(np.int64)[doc]
+        self.joined = np.r_[(doc[1:] == doc[:-1]) & (piece[1:] == piece[:-1]), False][: len(first)]
+        digest = xxhash.xxh64_intdigest
+        self.hashes = np.array([digest(w) for w in self.words], np.uint64)[self.ids] if len(first) else np.empty(0, np.uint64)
+        seeds = np.array([digest(name, 1) for name in self.langs], np.uint64)
+        self.seeds = seeds[self.lang] if len(first) else self.hashes
+
+    def starts(self, bits: int, may: list[np.ndarray | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 1, 2, ... words: places from which so many words of one piece go on, and the buckets of these phrases.
+
+        ``may[k]`` tells the buckets that may count, for phrases of ``k + 1`` words; places go on only where they do.
+        """
+        at, state = np.arange(len(self.ids)), self.seeds
+        pair = np.ones(len(self.ids), bool)
+        for k, allowed in enumerate(may):
+            if k:
+                # all pairs inside have to count, too
+                goes = self.joined[at + k - 1] & pair[at + k - 1]
+                at, state = at[goes], state[goes]
+            state = _mixed(state, self.hashes[at + k])
+            bucket = (state >> np.uint64(64 - bits)).astype(np.int64)
+            yield at, bucket
+            if allowed is not None:
+                good = allowed[bucket]
+                at, state = at[good], state[good]
+                if k == 1:
+                    pair = np.zeros(len(self.ids), bool)
+                    pair[at] = True
+
+
+def _mixed(state: np.ndarray, word: np.ndarray) -> np.ndarray:
+    x = state * np.uint64(0x9E3779B97F4A7C15) + word
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(64 - bits)).astype(np.int64)
+    return x ^ (x >> np.uint64(32))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[Places]:
+    """The places of batches, taken together up to ``HELD`` characters."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in chain(batches, [None]):
+        if held and (batch is None or size + batch.nbytes > HELD):
+            yield Places(*(pa.concat_arrays([b.column(k).cast(pa.string()) for b in held]) for k in (0, 1)))
+            held, size = [], 0
+        if batch is not None and batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+
+
+def _unpacked(table: bytes | None, bits: int) -> np.ndarray | None:
+    return None if table is None else np.unpackbits(np.frombuffer(table, np.uint8))[: 1 << bits].astype(bool)
 
 
 def _texts(docs: DataFrame, lang: Column, text: Column) -> DataFrame:
     return prepare(docs).select(F.coalesce(lang, F.lit("und")).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def possible(docs: DataFrame, lang: Column, text: Column, min_count: int = MIN_COUNT, bits: int = BITS) -> bytes:
-    """One bit per bucket: whether its words and pairs stand at least ``min_count`` times in all.
+def possible(
+    docs: DataFrame, lang: Column, text: Column, min_count: int = MIN_COUNT, bits: int = BITS, pairs: bytes | None = None
+) -> bytes:
+    """One bit per bucket: whether its words and pairs stand at least ``min_count`` times in all. With the table of
+    ``pairs``, the same for the phrases of three to five words that hold no other pairs.
 
     Tables hold counts up to ``min_count``, in as few bytes as that takes, and are summed slice by slice as they come in.
     """
@@ -136,17 +185,13 @@ def possible(docs: DataFrame, lang: Column, text: Column, min_count: int = MIN_C
     size = min(SLICE, 1 << bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, counts = Numbers(), np.zeros(1 << bits, np.int32)
-        for batch in batches:
-            if len(numbers.words) > KNOWN:
-                numbers = Numbers()
-            ids = numbers.read(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            h = np.array(numbers.hashes, np.uint64)[ids]
-            alone = ids > 0
-            pairs = alone[:-1] & alone[1:]
-            met = np.concatenate([_buckets(h[alone], np.uint64(0), bits), _buckets(h[:-1][pairs], h[1:][pairs], bits)])
-            counts += np.minimum(np.bincount(met, minlength=1 << bits), min_count).astype(np.int32)
-            np.minimum(counts, min_count, out=counts)
+        counts, given = np.zeros(1 << bits, np.int32), _unpacked(pairs, bits)
+        may = [None, None] if given is None else [given, given, None, None, None]
+        for places in _gathered(batches):
+            for k, (_, bucket) in enumerate(places.starts(bits, may)):
+                if (given is None or k >= 2) and len(bucket):
+                    met, n = np.unique(bucket, return_counts=True)
+                    counts[met] = np.minimum(counts[met] + n, min_count)
         rows = counts.astype(kind).reshape(-1, size)
         full = np.flatnonzero(rows.any(axis=1))
         for part in np.array_split(full, max(1, len(full) // 128)):
@@ -172,63 +217,40 @@ def possible(docs: DataFrame, lang: Column, text: Column, min_count: int = MIN_C
     return np.packbits(full).tobytes()
 
 
-def graph_edges(docs: DataFrame, lang: Column, text: Column, may_count: bytes, bits: int = BITS) -> DataFrame:
+def graph_edges(docs: DataFrame, lang: Column, text: Column, pairs: bytes, longer: bytes, bits: int = BITS) -> DataFrame:
     """``lang, edge, n``: edges and piece ends with what tasks have counted of them; every word is followed by a space.
 
-    Pieces also end where ``may_count`` rules a word or pair out. The edge without words counts all words of the language.
-    One edge may have several rows, one for each time a task passed it on. Null languages are ``und``; null texts are empty.
+    Edges are also cut where the tables of :func:`possible` rule a phrase out. The edge without words counts all words of
+    the language. One edge may have several rows, one for each time a task passed it on. Null languages are ``und``; null
+    texts are empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may = np.unpackbits(np.frombuffer(may_count, np.uint8)).astype(bool)
-        numbers, held, places = Numbers(), [], 0
-
-        def passed_on() -> pa.RecordBatch:
-            columns = np.concatenate(held, axis=1)
-            # name what starts alike, one word after the other
-            name, at = columns[0], np.arange(columns.shape[1])
-            for column in columns[1:]:
-                _, at, name, n = np.unique(name << 32 | column, return_index=True, return_inverse=True, return_counts=True)
-            words, langs = numbers.words, numbers.langs
-            rows = columns[:, at].T.tolist()
+        tables = _unpacked(pairs, bits), _unpacked(longer, bits)
+        may = [tables[0]] * 2 + [tables[1]] * (WORDS - 2)
+        for places in _gathered(batches):
+            # how many words go on from each place
+            reach = np.zeros(len(places.ids), np.int64)
+            for k, (at, bucket) in enumerate(places.starts(bits, may)):
+                reach[at[may[k][bucket]]] = k + 1
+            langs, words = places.langs, places.words
+            totals = np.bincount(places.lang, minlength=len(langs))
+            rows, counts = [(k,) for k in range(len(langs))], [totals]
+            for k in range(1, WORDS + 1):
+                at = np.flatnonzero(reach == k)
+                columns = [places.lang[at], *(places.ids[at + j] for j in range(k))]
+                # name what starts alike, one word after the other
+                name = columns[0]
+                for column in columns[1:]:
+                    _, first, name, n = np.unique(name << 32 | column, return_index=True, return_inverse=True, return_counts=True)
+                rows += np.stack(columns)[:, first].T.tolist()
+                counts.append(n)
             made = [
                 pa.array([langs[r[0]] for r in rows], pa.string()),
-                pa.array(["".join([words[k] + " " for k in r if k]) for r in rows], pa.string()),
-                pa.array(n, pa.int64()),
+                pa.array(["".join([words[w] + " " for w in r[1:]]) for r in rows], pa.string()),
+                pa.array(np.concatenate(counts), pa.int64()),
             ]
-            held.clear()
-            return pa.RecordBatch.from_arrays(made, schema=EDGES)
-
-        for batch in batches:
-            langs = batch.column(0).to_pylist()
-            ids = numbers.read(langs, batch.column(1).to_pylist())
-            h = np.array(numbers.hashes, np.uint64)
-            known = np.zeros(len(h), bool)
-            met = np.flatnonzero(np.bincount(ids, minlength=len(h)))
-            known[met] = may[_buckets(h[met], np.uint64(0), bits)]
-            known[0] = False
-            of = {name: k for k, name in enumerate(dict.fromkeys(langs))}
-            by_number = np.array([of.get(name, 0) for name in numbers.langs])
-            totals = np.bincount(by_number[ids[ids > 0]], minlength=len(of))
-            yield pa.RecordBatch.from_arrays([pa.array(list(of)), pa.array([""] * len(of)), pa.array(totals, pa.int64())], schema=EDGES)
-            ids = np.r_[np.where(known[ids], ids, 0), np.zeros(WORDS, np.int64)]
-            at = np.flatnonzero(ids)
-            joined = np.zeros(len(ids), bool)
-            pairs = at[ids[at + 1] > 0]
-            joined[pairs] = may[_buckets(h[ids[pairs]], h[ids[pairs + 1]], bits)]
-            columns, on = [ids[at]], np.ones(len(at), bool)
-            for k in range(1, WORDS):
-                on = on & joined[at + k - 1]
-                columns.append(np.where(on, ids[at + k], 0))
-            held.append(np.stack(columns))
-            places += len(at)
-            if places >= HELD or len(numbers.words) > KNOWN:
-                yield passed_on()
-                places = 0
-                if len(numbers.words) > KNOWN:
-                    numbers = Numbers()
-        if held:
-            yield passed_on()
+            yield pa.RecordBatch.from_arrays(made, schema=EDGES)
 
     return _texts(docs, lang, text).mapInArrow(run, "lang string, edge string, n long")
 
@@ -290,7 +312,8 @@ def collocations(docs: DataFrame, lang: Column, text: Column, min_count: int = M
     digits. Candidates that a unary path leads on from are left out. Ranks go by score and ``a`` descending, then by the
     phrase's bytes. Empty tables and texts without words give no rows; repeated rows count again; other columns are not read.
     """
-    edges = graph_edges(docs, lang, text, possible(docs, lang, text, min_count))
+    pairs = possible(docs, lang, text, min_count)
+    edges = graph_edges(docs, lang, text, pairs, possible(docs, lang, text, min_count, pairs=pairs))
     # read several times, and far smaller than the texts
     return scored_phrases(checkpoint(phrase_counts(edges, min_count)), top)
 
