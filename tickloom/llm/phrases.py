@@ -38,7 +38,7 @@ MIN_COUNT = 100
 TOP = 2000
 BITS = 23  # of a bucket's number
 SLICE = 1 << 13  # buckets that travel in one row
-HELD = 32 << 20  # characters that a task sums before it passes edges on
+HELD = 8 << 20  # characters that a task sums before it passes edges on
 
 # classes of bytes: 0 in words, 1 between words, 2 between pieces; other separators than these are none
 CLASSES = np.zeros(256, np.uint8)
