@@ -160,7 +160,8 @@ def test_collocations_of_nothing(spark, make_docs):
 
 
 def test_products_beyond_64_bits(spark):
-    edges = spark.createDataFrame([("en", "a b ", 9 * 10**15), ("en", "b ", 10**15 + 7), ("en", "", 10**16 + 7)], "lang string, edge string, n long")
+    rows = [("en", 1, ["a b "], [9 * 10**15]), ("en", 2, ["b "], [10**15]), ("en", 2, ["b "], [7]), ("en", 0, [""], [10**16 + 7])]
+    edges = spark.createDataFrame(rows, "lang string, bin int, edges array<string>, counts array<long>")
     counts = phrases.phrase_counts(edges, 1)
     row = phrases.scored_phrases(counts, 5).collect()[0]
     a, n, left, right = 9 * 10**15, 10**16 + 7, 9 * 10**15, 10**15 + 7

@@ -3,9 +3,9 @@
 Texts fall into pieces and those into words. Nodes are phrases of four words, edges phrases of five, which join the two
 nodes that overlap in them; an edge's weight is how often it stands in the texts. Only edges are counted, and at the end of
 each piece its last one to four words that no edge starts from. The count of a shorter phrase is what flows through it: the sum
-of all edges that start with it, plus the piece ends that do. Sorted by their words, edges that start alike lie side by
-side, so one pass over a partition, with one open count per length, sums the flow of all lengths; edges are dealt by their
-first two words, after each task has summed its own.
+of all edges that start with it, plus the piece ends that do. Edges are dealt to bins by their first two words, after each
+task has summed its own. Sorted by their words, edges that start alike lie side by side, so one pass over a bin, with one
+open count per length, sums the flow of all lengths.
 
 Unary paths are compacted: where a phrase passes its whole count on to one phrase of one more word, before or behind it,
 the path goes on without a branch and only the longer phrase stays. As counts never grow along a path, one step at a time
@@ -20,8 +20,10 @@ cuts, up to none; that costs shuffles and changes no result.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,7 @@ CLASSES[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-EDGES = pa.schema([("lang", pa.string()), ("edge", pa.string()), ("n", pa.int64())])
+EDGES = pa.schema([("lang", pa.string()), ("bin", pa.int32()), ("edges", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 FLOWS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
 
 # the same by plain counting: every phrase by itself
@@ -218,12 +220,14 @@ def possible(
 
 
 def graph_edges(docs: DataFrame, lang: Column, text: Column, pairs: bytes, longer: bytes, bits: int = BITS) -> DataFrame:
-    """``lang, edge, n``: edges and piece ends with what tasks have counted of them; every word is followed by a space.
+    """``lang, bin, edges, counts``: edges and piece ends with what tasks have counted of them, by bins of their first two
+    words; every word is followed by a space.
 
     Edges are also cut where the tables of :func:`possible` rule a phrase out. The edge without words counts all words of
-    the language. One edge may have several rows, one for each time a task passed it on. Null languages are ``und``; null
-    texts are empty.
+    the language. An edge may stand in several rows of its bin, one for each time a task passed it on. There are four bins
+    to a shuffle partition, so with partitions that fit a task a bin does. Null languages are ``und``; null texts are empty.
     """
+    bins = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _unpacked(pairs, bits), _unpacked(longer, bits)
@@ -234,73 +238,71 @@ def graph_edges(docs: DataFrame, lang: Column, text: Column, pairs: bytes, longe
             for k, (at, bucket) in enumerate(places.starts(bits, may)):
                 reach[at[may[k][bucket]]] = k + 1
             langs, words = places.langs, places.words
-            totals = np.bincount(places.lang, minlength=len(langs))
-            rows, counts = [(k,) for k in range(len(langs))], [totals]
+            totals = np.bincount(places.lang, minlength=len(langs)).tolist()
+            dealt: dict[tuple[str, int], tuple[list, list]] = {(name, 0): ([""], [n]) for name, n in zip(langs, totals, strict=True)}
             for k in range(1, WORDS + 1):
                 at = np.flatnonzero(reach == k)
                 columns = [places.lang[at], *(places.ids[at + j] for j in range(k))]
                 # name what starts alike, one word after the other
                 name = columns[0]
                 for column in columns[1:]:
-                    _, first, name, n = np.unique(name << 32 | column, return_index=True, return_inverse=True, return_counts=True)
-                rows += np.stack(columns)[:, first].T.tolist()
-                counts.append(n)
-            made = [
-                pa.array([langs[r[0]] for r in rows], pa.string()),
-                pa.array(["".join([words[w] + " " for w in r[1:]]) for r in rows], pa.string()),
-                pa.array(np.concatenate(counts), pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(made, schema=EDGES)
+                    _, first, name, counts = np.unique(name << 32 | column, return_index=True, return_inverse=True, return_counts=True)
+                for (of, *row), n in zip(np.stack(columns)[:, first].T.tolist(), counts.tolist(), strict=True):
+                    edge = [words[w] for w in row]
+                    key = langs[of], zlib.crc32(" ".join(edge[:2]).encode()) % bins
+                    edges, numbers = dealt.setdefault(key, ([], []))
+                    edges.append(" ".join(edge) + " ")
+                    numbers.append(n)
+            columns = ([k[0] for k in dealt], [k[1] for k in dealt], [v[0] for v in dealt.values()], [v[1] for v in dealt.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, EDGES, strict=True)], schema=EDGES)
 
-    return _texts(docs, lang, text).mapInArrow(run, "lang string, edge string, n long")
+    return _texts(docs, lang, text).mapInArrow(run, "lang string, bin int, edges array<string>, counts array<long>")
 
 
 def phrase_counts(edges: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """``lang, phrase, words, n`` of all phrases of one to five words that stand at least ``min_count`` times; the phrase
     without words is how many words the language has in all."""
-    dealt = edges.repartition("lang", F.substring_index("edge", " ", 2)).sortWithinPartitions("lang", "edge")
+    dealt = edges.repartition("lang", "bin").sortWithinPartitions("lang", "bin")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        path: list[str] = []  # language and words on the way to the last edge
+    def flows(lang: str, counts: Counter) -> Iterator[tuple[str, str, int, int]]:
+        """What flows through the starts of edges: those that start alike lie side by side."""
+        path: list[str] = []  # words on the way to the last edge
         flow: list[int] = []  # what has flowed through each of them so far
-
-        def close(depth: int):
-            while len(path) > depth:
+        for edge in chain(sorted(counts), [""]):
+            steps = edge.split(" ")[:-1]
+            same = 0
+            for a, b in zip(path, steps, strict=False):
+                if a != b:
+                    break
+                same += 1
+            while len(path) > same:
                 n = flow.pop()
-                # what flows through a first word is spread over partitions: its parts are summed afterwards
-                if n >= min_count or len(path) <= 2:
-                    out.append((path[0], " ".join(path[1:]), len(path) - 1, n))
+                # what flows through a first word is spread over bins: its parts are summed afterwards
+                if n >= min_count or len(path) == 1:
+                    yield lang, " ".join(path), len(path), n
                 path.pop()
-                if len(path) > 1:
+                if path:
                     flow[-1] += n
+            for step in steps[same:]:
+                path.append(step)
+                flow.append(0)
+            if steps:
+                flow[-1] += counts[edge]
+        if "" in counts:
+            yield lang, "", 0, counts[""]
 
-        def passed_on():
-            made = pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), FLOWS, strict=True)], schema=FLOWS)
-            out.clear()
-            return made
-
-        for batch in batches:
-            for of, edge, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                steps = [of, *edge.split(" ")[:-1]]
-                same = 0
-                for a, b in zip(path, steps, strict=False):
-                    if a != b:
-                        break
-                    same += 1
-                close(same)
-                for step in steps[same:]:
-                    path.append(step)
-                    flow.append(0)
-                flow[-1] += n
-            if len(out) > 10_000:
-                yield passed_on()
-        close(0)
-        if out:
-            yield passed_on()
-
-    flows = dealt.mapInArrow(run, "lang string, phrase string, words int, n long")
-    counts = flows.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = chain.from_iterable(zip(*(b.column(k).to_pylist() for k in range(4)), strict=True) for b in batches)
+        for (lang, _), parts in groupby(rows, key=lambda r: r[:2]):
+            counts: Counter = Counter()
+            for _, _, edges, numbers in parts:
+                for edge, n in zip(edges, numbers, strict=True):
+                    counts[edge] += n
+            made = zip(*flows(lang, counts), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(made, FLOWS, strict=True)], schema=FLOWS)
+
+    made = dealt.mapInArrow(run, "lang string, phrase string, words int, n long")
+    counts = made.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
     return counts.where((F.col("n") >= min_count) | (F.col("words") == 0))
 
 
