@@ -82,6 +82,20 @@ def test_replay_matches_the_plain_walk(spark, rules, seed):
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
+@pytest.mark.parametrize("rules", RULES)
+def test_hot_days_settle_to_the_plain_walk(spark, small_groups, rules):
+    """The hot day goes by rounds over blocks of 7 rows, in budgets and order as one row after the other."""
+    data = panel(3, 150)
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
+    got = X.replay(df, rules, status="status", statuses=["trade"]).collect()
+    want = walk(data, rules)
+    assert {(r.date, r.decision, r.symbol) for r in got} == want.keys()
+    assert all(r.allocated_notional == pytest.approx(want[(r.date, r.decision, r.symbol)], abs=1e-9) for r in got)
+    for key in {(r.date, r.decision) for r in got}:
+        own = sorted((r["rank"], -r.score, r.symbol, r.allocation_order) for r in got if (r.date, r.decision) == key)
+        assert [x[-1] for x in own] == list(range(1, len(own) + 1))
+
+
 def test_replay_does_not_depend_on_batches_or_partitions(spark):
     df = spark.createDataFrame(panel(4), SCHEMA)
     rules = RULES[2]

@@ -6,6 +6,13 @@ are independent: Spark partitions by them and sorts inside partitions, and the
 task reads the sorted rows batch by batch, keeping only the budgets in memory,
 never the rows of a group. Rows that could not receive anything even with full
 budgets are dropped before the shuffle.
+
+A day above ``tickloom.groupRows`` rows is no task for one worker. Its allocations
+are the fixed point of "what is left after all earlier rows of the last guess":
+prefix sums per decision, symbol and industry over blocks of the day, repeated
+until no row changes. A row is right once all rows before it are, so there is one
+fixed point and every round settles more rows; in practice a round settles
+everything up to the next budget that runs out.
 """
 
 from __future__ import annotations
@@ -16,13 +23,14 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.numeric import BPS, finite, sum_present
 from tickloom.operators.checks import tradable
-from tickloom.operators.groups import attach, position
+from tickloom.operators.groups import attach, group_rows, hot_groups, over, position
+from tickloom.session import checkpoint
 
 
 @dataclass(frozen=True)
@@ -69,6 +77,9 @@ def context_columns(df: DataFrame, levels: int = 10) -> DataFrame:
     return df.withColumns(out)
 
 
+HELPERS = ["_limit", "_target", "_price", "_symbol", "_sector"]
+
+
 def _walk(rules: Execution, day: list[str], group: list[str]):
     """The batch loop: per row, the least of its own limit and the budgets left."""
 
@@ -124,7 +135,7 @@ def _walk(rules: Execution, day: list[str], group: list[str]):
                     count = seen[0] if seen else 0
                     decisions[s] = (count + (not seen or seen[1] != group_now), group_now)
             kept = given > 0
-            out = batch.loc[kept].drop(columns=["_limit", "_target", "_price", "_symbol", "_sector"])
+            out = batch.loc[kept].drop(columns=HELPERS)
             yield out.assign(allocated_notional=given[kept], allocation_order=order[kept])
 
     return allocate
@@ -168,13 +179,74 @@ def sequential_allocation(
     able = (best > 0) & (best >= rules.min_child * (1.0 - 1e-12))
     able_rows = marked.where(able)
     unit = list(day) if rules.shares_day() else [*day, decision]
-    lined = able_rows.repartition(*unit).sortWithinPartitions(*day, decision, *order)
-    helper = ["_limit", "_target", "_price", "_symbol", "_sector"]
-    fields = [f for f in able_rows.schema.fields if f.name not in helper]
+    hot = hot_groups(able_rows, unit)
+    small = able_rows if hot is None else able_rows.join(hot, unit, "left_anti")
+    lined = small.repartition(*unit).sortWithinPartitions(*day, decision, *order)
+    fields = [f for f in able_rows.schema.fields if f.name not in HELPERS]
     schema = T.StructType(
         [*fields, T.StructField("allocated_notional", T.DoubleType()), T.StructField("allocation_order", T.LongType())]
     )
-    return lined.mapInPandas(_walk(rules, list(day), [*day, decision]), schema)
+    walked = lined.mapInPandas(_walk(rules, list(day), [*day, decision]), schema)
+    if hot is None:
+        return walked
+    large = able_rows.join(hot.select(*unit), unit, "left_semi")
+    return walked.unionByName(_settle(large, rules, day, decision, order, unit).select(walked.columns))
+
+
+def _before(rows: DataFrame, keys: Sequence[str], sums: dict[str, str]) -> DataFrame:
+    """Sums of columns over the earlier rows of the same keys: within a block, plus the totals of earlier blocks."""
+    inside = over([*keys, "_block"], ["_at"]).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = over(keys, ["_block"]).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_block").agg(*[F.sum(c).alias(f"{out}_all") for out, c in sums.items()])
+    totals = totals.select(*keys, "_block", *[F.coalesce(F.sum(f"{out}_all").over(earlier), F.lit(0.0)).alias(f"{out}_all") for out in sums])
+    own = rows.withColumns({out: F.coalesce(F.sum(c).over(inside), F.lit(0.0)) for out, c in sums.items()})
+    joined = attach(own, totals, [*keys, "_block"])
+    return joined.withColumns({out: F.col(out) + F.col(f"{out}_all") for out in sums}).drop(*[f"{out}_all" for out in sums])
+
+
+def _settle(rows: DataFrame, rules: Execution, day: Sequence[str], decision: str, order: Sequence[str], unit: Sequence[str]) -> DataFrame:
+    """Rounds over blocks of hot units until no allocation changes; see the module's description."""
+    group = [*day, decision]
+    rows = checkpoint(position(rows, unit, [*([decision] if decision not in unit else []), *order], out="_at"))
+    narrow = rows.select(*group, "_at", *HELPERS).withColumns(
+        {"_block": F.floor(F.col("_at") / group_rows(rows)), "_amount": F.col("_limit")}
+    )
+    price = F.col("_price")
+    while True:
+        work = narrow.withColumn("_got", (F.col("_amount") > 0).cast("double"))
+        work = _before(work, group, {"_spent": "_amount", "_names": "_got"})
+        able = (F.col("_target") - F.col("_spent")) > rules.stop_at
+        amount = F.least("_limit", F.greatest(F.lit(0.0), F.col("_target") - F.col("_spent")))
+        if rules.max_names:
+            able = able & (F.col("_names") < rules.max_names)
+        if rules.symbol_cap > 0:
+            work = _before(work, [*day, "_symbol"], {"_symbol_spent": "_amount"})
+            amount = F.least(amount, F.greatest(F.lit(0.0), F.lit(rules.symbol_cap) - F.col("_symbol_spent")))
+        if rules.industry_cap > 0:
+            scope = group if rules.industry_per_decision else list(day)
+            work = _before(work, [*scope, "_sector"], {"_sector_spent": "_amount"})
+            amount = F.least(amount, F.greatest(F.lit(0.0), F.lit(rules.industry_cap) - F.col("_sector_spent")))
+        if rules.max_decisions:
+            # the first row that a symbol gets in a decision counts the decision
+            work = _before(work, [*group, "_symbol"], {"_here": "_got"})
+            work = work.withColumn("_first", F.when(F.col("_here") == 0, F.col("_got")).otherwise(0.0))
+            work = _before(work, [*day, "_symbol"], {"_decisions": "_first"})
+            able = able & ((F.col("_here") > 0) | (F.col("_decisions") < rules.max_decisions))
+        amount = amount * rules.fill_rate
+        if rules.lot_shares > 0:
+            lots = F.floor(amount / price / rules.lot_shares).cast("double") * rules.lot_shares * price
+            amount = F.when(F.isnan(price), amount).when(price > 0, lots).otherwise(0.0)
+        good = able & (amount > 0) & (amount >= rules.min_child)
+        made = work.select(*narrow.columns[:-1], "_names", F.col("_amount").alias("_last"), F.when(good, amount).otherwise(0.0).alias("_amount"))
+        made = checkpoint(made)
+        moved = F.abs(F.col("_amount") - F.col("_last")) > 1e-9 * F.greatest(F.lit(1.0), F.col("_last"))
+        if made.where(moved).isEmpty():
+            break
+        narrow = made.drop("_names", "_last")
+    given = made.where("_amount > 0").select(
+        *unit, "_at", F.col("_amount").alias("allocated_notional"), (F.col("_names") + 1).cast("long").alias("allocation_order")
+    )
+    return rows.join(given, [*unit, "_at"])
 
 
 def replay(

@@ -279,39 +279,119 @@ def _(t):
 
 
 REPLAY = X.Execution(symbol_cap=40_000.0, industry_cap=120_000.0, industry="industry", fill_rate=0.9, lot_shares=1.0, price="price", min_child=500.0, max_decisions=1)
-
-
-@query("execution_replay", "CAP-06")
+NAMED = X.Execution(industry_cap=60_000.0, industry="industry", industry_per_decision=True, min_child=5_000.0, max_names=4)
+REFILL = X.Execution(symbol_cap=40_000.0, industry_cap=150_000.0, industry="industry", fill_rate=1.0, lot_shares=1.0, price="price", min_child=500.0, stop_at=1e-9)
+SECTOR = "CASE WHEN rid % 11 <> 0 THEN industry END"
+
+
+def some_sectors(df):
+    """Every eleventh order has no industry."""
+    return df.withColumn("industry", F.when(F.col("rid") % 11 != 0, F.col("industry")))
+
+
+def walk_sql(rules: X.Execution) -> str:
+    """The rules row by row: every step of the recursion takes the next row of each day.
+
+    ``lined`` holds ``date, k, clock, symbol, lim, tgt, price, sector``; budgets spent so far travel in maps.
+    """
+    cap = lambda rate, spent: f"greatest(0, coalesce({spent}, CAST({rate} AS DOUBLE)))"
+    amount = "least(r.lim, greatest(0, l0))"
+    if rules.symbol_cap:
+        amount = f"least({amount}, {cap(rules.symbol_cap, 'w.sym[r.symbol]')})"
+    if rules.industry_cap:
+        amount = f"least({amount}, {cap(rules.industry_cap, 'i0[r.sector]')})"
+    amount = f"{amount} * CAST({rules.fill_rate} AS DOUBLE)"
+    if rules.lot_shares:
+        amount = f"floor(({amount}) / r.price / {rules.lot_shares}) * {rules.lot_shares} * r.price"
+    tests = [f"l0 > {rules.stop_at}", "a0 > 0", f"a0 >= {rules.min_child}"]
+    if rules.max_names:
+        tests.append(f"n0 < {rules.max_names}")
+    if rules.max_decisions:
+        tests.append(f"(coalesce(w.times[r.symbol], 0) < {rules.max_decisions} OR w.latest[r.symbol] = r.clock)")
+    fresh = "w.clock IS DISTINCT FROM r.clock"
+    keep = "MAP {}::MAP(VARCHAR, DOUBLE)"
+    sector = f"CASE WHEN {fresh} THEN {keep} ELSE w.ind END" if rules.industry_per_decision else "w.ind"
+    spend = lambda state, key, rate: f"map_concat({state}, MAP {{{key}: greatest(0, coalesce({state}[{key}], CAST({rate} AS DOUBLE)) - amount)}})"
+    return f"""walk AS (
+      SELECT DISTINCT date, 0::BIGINT AS k, NULL::VARCHAR AS clock, 0.0::DOUBLE AS l1, 0::BIGINT AS n1, {keep} AS sym, {keep} AS ind,
+        MAP {{}}::MAP(VARCHAR, BIGINT) AS times, MAP {{}}::MAP(VARCHAR, VARCHAR) AS latest, 0.0::DOUBLE AS amount FROM lined
+      UNION ALL
+      SELECT date, k, clock, CASE WHEN ok THEN greatest(0, l0 - amount) ELSE l0 END, n0 + CAST(ok AS BIGINT),
+        CASE WHEN ok THEN {spend('sym', 'symbol', rules.symbol_cap)} ELSE sym END, CASE WHEN ok THEN {spend('i0', 'sector', rules.industry_cap)} ELSE i0 END,
+        CASE WHEN ok THEN map_concat(times, MAP {{symbol: coalesce(times[symbol], 0) + CAST(latest[symbol] IS DISTINCT FROM clock AS BIGINT)}}) ELSE times END,
+        CASE WHEN ok THEN map_concat(latest, MAP {{symbol: clock}}) ELSE latest END, amount
+      FROM (SELECT r.date, r.k, r.clock, r.symbol, r.sector, w.sym, w.times, w.latest, CASE WHEN {fresh} THEN r.tgt ELSE w.l1 END AS l0,
+              CASE WHEN {fresh} THEN 0 ELSE w.n1 END AS n0, {sector} AS i0, {amount} AS a0,
+              {' AND '.join(tests)} AS ok, CASE WHEN ok THEN a0 ELSE 0 END AS amount
+            FROM walk w JOIN lined r ON r.date = w.date AND r.k = w.k + 1) s),
+    done AS (SELECT l.*, w.amount AS allocated_notional, w.n1 AS allocation_order FROM walk w JOIN lined l ON l.date = w.date AND l.k = w.k WHERE w.amount > 0)"""
+
+
+def lined_sql(source: str, order: str, limit: str, sector: str, where: str = "true", more: str = "") -> str:
+    return f"""lined AS (SELECT date, row_number() OVER (PARTITION BY date ORDER BY clock, {order}) AS k, clock, symbol, rid, turnover, {limit} AS lim,
+      CAST(150000.0 AS DOUBLE) AS tgt, price, {sector} AS sector{more} FROM {source} WHERE {where})"""
+
+
+@query(
+    "execution_replay", "CAP-06",
+    f"""WITH RECURSIVE {PANEL}, {LIMITS}, {lined_sql('sel', 'rank', 'allocated_notional', SECTOR, f"status = 'O' AND {SECTOR} IS NOT NULL")}, {walk_sql(REPLAY)}
+    SELECT date, clock, symbol, rid, turnover, lim AS original_allocated_notional, allocated_notional, allocation_order FROM done""",
+    doubles="turnover original_allocated_notional allocated_notional", digits=3,
+)
 def _(t):
     rows = books(t).withColumnRenamed("score_value", "score_")
-    rows = rows.drop("score").withColumnRenamed("score_", "score")
+    rows = some_sectors(rows.drop("score").withColumnRenamed("score_", "score"))
     return X.replay(rows, REPLAY, decision="clock", status="status", statuses=["O"]).select(
         "date", "clock", "symbol", "rid", "turnover", "original_allocated_notional", "allocated_notional", "allocation_order"
     )
 
 
-@query("constrained_allocation", "CAP-03")
+DOWN = "prediction DESC, symbol, rid, turnover"
+
+
+@query(
+    "constrained_allocation", "CAP-03",
+    f"""WITH RECURSIVE {PANEL}, {LIMITS}, {lined_sql('lim', DOWN, 'row_limit', f"coalesce({SECTOR}, 'nan')")}, {walk_sql(NAMED)}
+    SELECT date, clock, symbol, rid, turnover, allocated_notional, allocation_order FROM done""",
+    doubles="turnover allocated_notional", digits=3,
+)
 def _(t):
-    rules = X.Execution(industry_cap=60_000.0, industry="industry", industry_per_decision=True, min_child=5_000.0, max_names=4)
-    rows = P.capacity_limits(t.panel, RULE).withColumns({"pool": F.lit("all"), "down": -F.col("prediction"), "target_notional": F.lit(RULE.target)})
-    return X.sequential_allocation(rows, rules, ["pool", "date"], "clock", ["down", *TIE], "row_limit", "target_notional").select(
+    rows = some_sectors(P.capacity_limits(t.panel, RULE)).withColumns(
+        {"pool": F.lit("all"), "down": -F.col("prediction"), "target_notional": F.lit(RULE.target)}
+    )
+    return X.sequential_allocation(rows, NAMED, ["pool", "date"], "clock", ["down", *TIE], "row_limit", "target_notional").select(
         "date", "clock", "symbol", "rid", "turnover", "allocated_notional", "allocation_order"
     )
 
 
 def refilled(t):
-    rows = P.capacity_limits(t.panel, RULE).withColumn("pool", F.lit("all"))
-    rules = X.Execution(symbol_cap=40_000.0, industry_cap=150_000.0, industry="industry", fill_rate=1.0, lot_shares=1.0, price="price", min_child=500.0, stop_at=1e-9)
-    done = X.visible_refill(rows, rules, RULE.target, "prediction", decision="clock", unique=TIE, status="status", statuses=["O"])
+    rows = some_sectors(P.capacity_limits(t.panel, RULE)).withColumn("pool", F.lit("all"))
+    done = X.visible_refill(rows, REFILL, RULE.target, "prediction", decision="clock", unique=TIE, status="status", statuses=["O"])
     return rows, done
 
 
-@query("visible_refill", "CAP-08")
+REFILLED = f"""{PANEL}, {LIMITS}, seen AS (SELECT *, row_number() OVER (PARTITION BY date, clock ORDER BY {DOWN}) AS candidate_rank FROM lim),
+  {lined_sql('seen', 'candidate_rank', 'row_limit', f"coalesce({SECTOR}, 'nan')", "status = 'O' AND row_limit > 0", ', candidate_rank')}, {walk_sql(REFILL)}"""
+
+
+@query(
+    "visible_refill", "CAP-08",
+    f"WITH RECURSIVE {REFILLED} SELECT date, clock, symbol, rid, turnover, CAST(candidate_rank AS INTEGER) AS candidate_rank, allocated_notional, allocation_order FROM done",
+    doubles="turnover allocated_notional", digits=3,
+)
 def _(t):
     return refilled(t)[1].select("date", "clock", "symbol", "rid", "turnover", "candidate_rank", "allocated_notional", "allocation_order")
 
 
-@query("refill_group_fill", "CAP-08")
+@query(
+    "refill_group_fill", "CAP-08",
+    f"""WITH RECURSIVE {REFILLED}, base AS (SELECT date, clock, count(*) AS candidate_rows, count_if(status = 'O' AND row_limit > 0) AS eligible_rows FROM lim GROUP BY ALL),
+    got AS (SELECT date, clock, count(*) AS n, sum(allocated_notional) AS a, max(candidate_rank) AS deepest, avg(candidate_rank) AS middle FROM done GROUP BY ALL)
+    SELECT 'all' AS pool, date, clock, candidate_rows, eligible_rows, coalesce(n, 0) AS selected_rows, coalesce(a, 0) AS allocated_notional, greatest(150000.0 - coalesce(a, 0), 0) AS cash_notional,
+      coalesce(a, 0) / 150000.0 AS fill_ratio, coalesce(a, 0) >= 150000.0 * (1 - 1e-9) AS filled, CAST(deepest AS INTEGER) AS max_candidate_rank, middle AS mean_candidate_rank
+    FROM base LEFT JOIN got USING (date, clock)""",
+    doubles="allocated_notional cash_notional fill_ratio mean_candidate_rank", digits=3,
+)
 def _(t):
     rows, done = refilled(t)
     return X.refill_groups(rows, done, ["pool", "date", "clock"], "prediction", "row_limit", RULE.target, status="status", statuses=["O"])
