@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.numeric import BPS, above_zero, correlation, safe_div, share
+from tickloom.functions.numeric import BPS, above_zero, correlation, finite, safe_div, share
 from tickloom.operators.evaluate import newey_west, with_place
 from tickloom.operators.groups import attach, carry, group_columns, over, quantiles, ranks, running
 
@@ -353,6 +353,61 @@ def auc_by_rank(df: DataFrame, score: str, positive: Column, by: Sequence[str] =
     )
 
 
+def daily_t(rows: DataFrame, value: str, date: str, by: Sequence[str] = ()) -> DataFrame:
+    """Days, mean of daily means, its t statistic and the share of positive days."""
+    daily = rows.groupBy(*by, date).agg(F.avg(value).alias("_d")).where(F.col("_d").isNotNull())
+    d = F.col("_d")
+    error = F.stddev_samp(d) / F.sqrt(F.count(d))
+    return daily.groupBy(*by).agg(
+        F.count(d).alias("days"), F.avg(d).alias("daily_mean_bps"), F.when(error > 0, F.avg(d) / error).alias("t_stat"), share(d > 0).alias("positive_day_share"),
+    )
+
+
+def state_decomposition(
+    df: DataFrame, keys: Sequence[str], date: str, score: str, outcomes: Sequence[str], state: str, states: Sequence[str], n: int, unique: Sequence[str]
+) -> DataFrame:
+    """Top-n excess per outcome as the sum of what each state contributes, and the excess of choosing anew inside each state.
+
+    A group's excess is the mean outcome of its chosen rows less that of all. A state contributes its chosen rows' share of
+    the first mean less its rows' share of the second, so the contributions of all states add up to the excess; rows in
+    none of ``states`` are the part that is left. Choosing anew places the rows of a state among themselves.
+    """
+    rows = df.where(F.col(score).isNotNull()).withColumn("_state", F.coalesce(F.col(state).cast("string"), F.lit("")))
+    placed = with_place(rows, keys, score, unique, out="_place")
+    placed = with_place(placed, [*keys, "_state"], score, unique, out="_own_place")
+    cells = F.array(*[F.struct(F.lit(c).alias("outcome"), finite(c).alias("_y")) for c in outcomes])
+    long = placed.select(*keys, "_state", "_place", "_own_place", F.inline(cells)).where("_y IS NOT NULL")
+    y, chosen = F.col("_y"), F.col("_place") <= n
+    mean = lambda test: F.avg(F.when(test, y))
+    columns = [F.count(y).alias("_n"), F.count_if(chosen).alias("_picked"), F.avg(y).alias("_all"), mean(chosen).alias("_top")]
+    for i, name in enumerate(states):
+        own = F.col("_state") == name
+        columns += [F.sum(F.when(own, y)).alias(f"_base{i}"), F.sum(F.when(own & chosen, y)).alias(f"_pick{i}")]
+        columns.append((mean(own & (F.col("_own_place") <= n)) - mean(own)).alias(f"_anew{i}"))
+    groups = long.groupBy("outcome", *keys).agg(*columns)
+    zero = F.lit(0.0)
+    parts = {
+        f"_part{i}": F.coalesce(F.col(f"_pick{i}"), zero) / F.col("_picked") - F.coalesce(F.col(f"_base{i}"), zero) / F.col("_n")
+        for i in range(len(states))
+    }
+    groups = groups.withColumn("_excess", (F.col("_top") - F.col("_all")) * BPS)
+    groups = groups.withColumns({out: F.when(F.col("_picked") > 0, part * BPS) for out, part in parts.items()})
+    total = sum((F.avg(c) for c in parts), F.lit(0.0))
+    report = groups.groupBy("outcome").agg(
+        F.count("_excess").alias("groups"), (F.avg("_top") * BPS).alias("selected_bps"), (F.avg("_all") * BPS).alias("universe_bps"),
+        F.avg("_excess").alias("excess_bps"), *[F.avg(f"_part{i}").alias(f"{s}_contribution_bps") for i, s in enumerate(states)],
+        total.alias("contribution_sum_bps"), *[(F.avg(f"_anew{i}") * BPS).alias(f"{s}_reselected_excess_bps") for i, s in enumerate(states)],
+    )
+    return attach(report, daily_t(groups, "_excess", date, ["outcome"]), ["outcome"])
+
+
+def selection_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], unique: Sequence[str]) -> DataFrame:
+    """Groups in which two selections share rows, and the mean number of rows they share there."""
+    both = left.select(*keys, *unique).join(right.select(*keys, *unique), [*keys, *unique])
+    shared = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return shared.agg(F.count(F.lit(1)).alias("groups"), F.avg("_n").alias("mean_shared_rows"))
+
+
 def state_contributions(
     df: DataFrame, keys: Sequence[str], score: str, outcomes: Sequence[str], state: Column, n: int, unique: Sequence[str]
 ) -> DataFrame:

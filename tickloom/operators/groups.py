@@ -359,12 +359,22 @@ def quantiles(
         shares = F.array(*[F.lit(float(p)) for p in columns.values()])
         found = df.groupBy(*keys).agg(F.percentile(F.col(value), shares).alias("_gk_q"))
         return found.select(*keys, *[F.col("_gk_q")[i].alias(out) for i, out in enumerate(columns)])
-    v = F.col(value)
     groups = df.select(*keys).distinct() if keys else None
-    counts = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_gk_peers"))
-    placed = running(counts, keys, [value], {"_gk_high": ("sum", "_gk_peers")})
-    placed = group_columns(placed, keys, {"_gk_n": F.sum("_gk_peers")})
-    low = F.col("_gk_high") - F.col("_gk_peers")  # 0-based place of the first of the equal values
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_gk_peers"))
+    result = counted_quantiles(counts, keys, value, "_gk_peers", columns)
+    return attach(groups, result, keys) if keys else result
+
+
+def counted_quantiles(counts: DataFrame, keys: Sequence[str], value: str, count: str, columns: dict[str, float]) -> DataFrame:
+    """Exact linearly interpolated quantiles of values of which ``count`` says how often each stands in its group.
+
+    ``counts`` has one row per group and value, so counts of parts of the data only need to be summed by value to give the
+    quantiles of the whole. Values are placed by a running sum and the two neighbours of each quantile picked.
+    """
+    v = F.col(value)
+    placed = running(counts, keys, [value], {"_gk_high": ("sum", count)})
+    placed = group_columns(placed, keys, {"_gk_n": F.sum(count)})
+    low = F.col("_gk_high") - F.col(count)  # 0-based place of the first of the equal values
     picks = []
     for out, p in columns.items():
         at = F.lit(float(p)) * (F.col("_gk_n") - 1)
@@ -378,8 +388,7 @@ def quantiles(
         at = F.lit(float(p)) * (F.col("_gk_n") - 1)
         lo, hi = F.col(f"_gk_lo_{out}"), F.col(f"_gk_hi_{out}")
         values.append((lo + (hi - lo) * (at - F.floor(at))).alias(out))
-    result = found.select(*keys, *values)
-    return attach(groups, result, keys) if keys else result
+    return found.select(*keys, *values)
 
 
 def group_median(df: DataFrame, keys: Sequence[str], columns: dict[str, str]) -> DataFrame:

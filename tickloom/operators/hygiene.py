@@ -10,13 +10,66 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import finite, safe_div
-from tickloom.operators.groups import attach, quantiles, ranks
+from tickloom.operators.groups import attach, counted_quantiles, ranks
+from tickloom.operators.solve import near_means
 from tickloom.session import checkpoint
 
 
-def long_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature, value) rows; NULL values are kept."""
-    return df.select(*[F.col(c).cast("double").alias(c) for c in features]).unpivot([], list(features), "feature", "v")
+PROFILE = ("rows", "missing", "finite", "infinite", "zero")
+HELD_ROWS = 200_000  # rows whose values a task counts before it passes them on
+
+
+def _matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
+    """Rows by features; NULL is NaN."""
+    return batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, k)
+
+
+def _profile(centre: np.ndarray):
+    """Task function: counts, sums around ``centre`` and extremes of each feature over the task's rows."""
+    k = len(centre)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, sums = np.zeros((5, k), np.int64), np.zeros((2, k))
+        low, high = np.full(k, np.inf), np.full(k, -np.inf)
+        for batch in batches:
+            if batch.num_rows:
+                v = _matrix(batch, k)
+                good = np.isfinite(v)
+                counts += np.stack([np.full(k, len(v)), np.isnan(v).sum(0), good.sum(0), np.isinf(v).sum(0), (v == 0).sum(0)])
+                low, high = np.minimum(low, np.where(good, v, np.inf).min(0)), np.maximum(high, np.where(good, v, -np.inf).max(0))
+                off = np.where(good, v - centre, 0.0)
+                sums += np.stack([off.sum(0), (off * off).sum(0)])
+        some = counts[2] > 0
+        ends = [pa.array(e, pa.float64(), mask=~some) for e in (low, high)]
+        columns = [pa.array(np.arange(k), pa.int32()), *map(pa.array, counts), *map(pa.array, sums), *ends]
+        yield pa.RecordBatch.from_arrays(columns, names=["i", *PROFILE, "s", "ss", "low", "high"])
+
+    return run
+
+
+def _counted(k: int):
+    """Task function: how often each finite value of each feature stands in some of the task's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            v = np.concatenate(held)
+            held.clear()
+            for i in range(k):
+                value, n = np.unique(v[np.isfinite(v[:, i]), i], return_counts=True)
+                columns = [pa.array(np.full(len(value), i), pa.int32()), pa.array(value), pa.array(n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["i", "v", "n"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(_matrix(batch, k))
+            if sum(map(len, held)) * k > HELD_ROWS * 8:
+                yield from passed_on()
+        if held:
+            yield from passed_on()
+
+    return run
 
 
 def feature_hygiene(
@@ -24,25 +77,30 @@ def feature_hygiene(
 ) -> DataFrame:
     """Per feature: missing, infinite, zero, distinct, most frequent value, moments and quantiles.
 
-    Distinct and top counts come from one (feature, value) count, combined map-side.
+    Two scans, however many features, and no row per row and feature: one adds up counts, sums and extremes in arrays, one
+    counts values. Distinct and top counts and quantiles all come from that table of (feature, value, count).
     """
-    long = long_features(df, features).withColumn("f", finite("v"))
-    v, f = F.col("v"), F.col("f")
-    stats = long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(v.isNull() | F.isnan(v)).alias("missing_count"),
-        F.count(f).alias("finite_count"),
-        F.count_if(v.isNotNull() & ~F.isnan(v) & f.isNull()).alias("inf_count"),
-        F.count_if(f == 0).alias("zero_count"),
-        F.avg(f).alias("mean"),
-        F.stddev_samp(f).alias("std"),
-        F.min(f).alias("min"),
-        F.max(f).alias("max"),
+    names = list(features)
+    rows = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(names)])
+    centre = near_means(rows, rows.columns)
+    wide = rows.select(F.array(*rows.columns).alias("v"))
+    parts = wide.mapInArrow(_profile(centre), "i int, " + ", ".join(f"{c} long" for c in PROFILE) + ", s double, ss double, low double, high double")
+    label = F.array(*map(F.lit, names))
+    middle = F.array(*[F.lit(float(c)) for c in centre])
+    n, total = F.sum("finite"), F.sum("s")
+    spread = F.greatest(F.sum("ss") - total * total / n, F.lit(0.0))
+    stats = parts.groupBy("i").agg(
+        *[F.sum(c).alias(out) for c, out in zip(PROFILE, ("rows", "missing_count", "finite_count", "inf_count", "zero_count"))],
+        F.when(n > 0, middle[F.col("i")] + F.try_divide(total, n)).alias("mean"),
+        F.when(n > 1, F.sqrt(F.try_divide(spread, n - 1))).alias("std"),
+        F.min("low").alias("min"),
+        F.max("high").alias("max"),
     )
-    counts = long.where(f.isNotNull()).groupBy("feature", "f").agg(F.count(F.lit(1)).alias("_n"))
-    tops = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("unique_count"), F.max("_n").alias("top_count"))
-    cuts = quantiles(long.select("feature", "f"), ["feature"], "f", {"p01": 0.01, "p50": 0.5, "p99": 0.99})
-    out = attach(attach(stats, tops, ["feature"]), cuts, ["feature"])
+    counts = wide.mapInArrow(_counted(len(names)), "i int, v double, n long").groupBy("i", "v").agg(F.sum("n").alias("n"))
+    counts = checkpoint(counts)  # read for tops and for quantiles
+    tops = counts.groupBy("i").agg(F.count(F.lit(1)).alias("unique_count"), F.max("n").alias("top_count"))
+    cuts = counted_quantiles(counts, ["i"], "v", "n", {"p01": 0.01, "p50": 0.5, "p99": 0.99})
+    out = attach(attach(stats.where("rows > 0"), tops, ["i"]), cuts, ["i"]).withColumn("feature", label[F.col("i")]).drop("i")
     unique = F.coalesce("unique_count", F.lit(0))
     top = safe_div("top_count", "finite_count")
     kind = groups or {}
@@ -68,7 +126,7 @@ ROUNDING = 1e-12
 
 def _values(batch: pa.RecordBatch, k: int) -> np.ndarray:
     """Rows by features; what is missing or infinite is NaN."""
-    v = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, k)
+    v = _matrix(batch, k)
     v[~np.isfinite(v)] = np.nan
     return v
 
@@ -108,6 +166,21 @@ def _pair_sums(means: np.ndarray, left: np.ndarray, right: np.ndarray):
     return run
 
 
+def _ranked(df: DataFrame, names: list[str]) -> DataFrame:
+    """``_row, _ranks``: average ranks of every feature in one array per row, NULL where a value is missing.
+
+    All features are ranked at once, as one column by feature and value; the rows are numbered in a written copy, so a
+    repeated task finds the same numbers.
+    """
+    numbered = checkpoint(df.select(*[finite(c).alias(f"_{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("_row")))
+    values = F.array(*[F.col(f"_{i}") for i in range(len(names))])
+    long = numbered.select("_row", F.posexplode(values).alias("_feature", "_value")).where("_value IS NOT NULL")
+    placed = ranks(long, ["_feature"], "_value", {"_rank": "average"})
+    found = placed.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_feature", "_rank"))).alias("_of"))
+    each = F.sequence(F.lit(0), F.lit(len(names) - 1))
+    return found.select("_row", F.transform(each, lambda i: F.try_element_at("_of", i)).alias("_ranks"))
+
+
 def correlated_pairs(
     df: DataFrame,
     features: Sequence[str],
@@ -127,11 +200,9 @@ def correlated_pairs(
     names = list(features)
     work = df
     if method == "spearman":
-        work = df.select(*[finite(c).alias(c) for c in names])
-        for c in names:
-            work = ranks(work, [], c, {f"_r_{c}": "average"})
-        work = work.select(*[F.col(f"_r_{c}").alias(c) for c in names])
-    work = work.select(F.array(*[F.col(c).cast("double") for c in names]))
+        work = _ranked(df, names).select(F.col("_ranks"))
+    else:
+        work = work.select(F.array(*[F.col(c).cast("double") for c in names]))
     # one row per feature reaches the driver
     sums = work.mapInArrow(_feature_sums(len(names)), "i int, n long, total double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     means = np.zeros(len(names))

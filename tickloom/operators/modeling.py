@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import finite
 from tickloom.operators.evaluate import correlations, pool_report
-from tickloom.operators.features import standardisation
 from tickloom.operators.groups import carry, group_columns, ranks
 from tickloom.operators.reference import calendar
+from tickloom.operators.solve import near_means
 
 
 def split_by_date(df: DataFrame, test_start: str | None = None, test_end: str | None = None, train_fraction: float = 0.8, date: str = "date") -> DataFrame:
@@ -27,8 +30,6 @@ def split_by_date(df: DataFrame, test_start: str | None = None, test_end: str |
         if test_end:
             days = days.where(F.col(date) <= test_end)
         return days.withColumn("role", F.when(in_test, "test").otherwise("train"))
-    from pyspark.sql import Window
-
     # one row per session
     numbered = days.withColumns(
         {"_k": F.row_number().over(Window.orderBy(date)), "_n": F.count(F.lit(1)).over(Window.partitionBy())}
@@ -90,9 +91,7 @@ def monthly_windows(
     label = F.format_string("%04d-%02d", F.floor(F.col("_test") / 12).cast("int"), (F.col("_test") % 12 + 1).cast("int"))
     rows = rows.select(date, label.alias("test_month"), role.alias("role"))
     if purge_sessions:
-        from pyspark.sql import Window
-
-        # sessions of one window: one row per day
+            # sessions of one window: one row per day
         w = Window.partitionBy("test_month", "role").orderBy(F.col(date).desc())
         rows = rows.withColumn("_k", F.row_number().over(w))
         rows = rows.where((F.col("role") == "test") | (F.col("_k") > purge_sessions)).drop("_k")
@@ -114,35 +113,121 @@ def _assembled(df: DataFrame, features: Sequence[str], expressions: dict, out: s
     return VectorAssembler(inputCols=[f"_z{i}" for i in range(len(features))], outputCol=out).transform(scaled)
 
 
+def _sum_products(width: int):
+    """Task function: per segment, the sums of all products of two columns over the task's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows:
+                segment = batch.column(0).to_numpy()
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                for k in np.unique(segment).tolist():
+                    own = v[segment == k]
+                    sums[k] = sums.get(k, 0.0) + own.T @ own
+        a, b = np.triu_indices(width)
+        for k, total in sums.items():
+            columns = [np.full(len(a), k, np.int32), a.astype(np.int32), b.astype(np.int32), total[a, b]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["segment", "a", "b", "s"])
+
+    return run
+
+
+def _solve_ridge(width: int, alpha: float, centre: np.ndarray):
+    """Weights on raw and on standardised features and the intercept, from the products of (1, features, target)."""
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        g = np.zeros((width, width))
+        g[rows["a"], rows["b"]] = rows["s"]
+        g[rows["b"], rows["a"]] = rows["s"]
+        n = g[0, 0]
+        mean = g[0, 1:] / n
+        spread = g[1:, 1:] - n * np.outer(mean, mean)
+        deviation = np.sqrt(np.maximum(np.diag(spread)[:-1], 0.0) / n)
+        # a spread within rounding of the summed squares is none
+        deviation[deviation**2 * n <= 1e-12 * np.diag(g)[1:-1]] = 1.0
+        gram = spread[:-1, :-1] / np.outer(deviation, deviation) + alpha * np.eye(width - 2)
+        moment = spread[:-1, -1] / deviation
+        try:
+            scaled = np.linalg.solve(gram, moment)
+        except np.linalg.LinAlgError:
+            scaled = np.linalg.lstsq(gram, moment, rcond=None)[0]
+        weights = scaled / deviation
+        intercept = mean[-1] + centre[-1] - weights @ (mean[:-1] + centre[:-1])
+        made = {"window": rows["window"].iloc[0], "rows": int(round(n)), "intercept": intercept, "weights": weights, "scaled": scaled}
+        return pd.DataFrame({k: [v] for k, v in made.items()})
+
+    return solve
+
+
+def ridge_windows(
+    df: DataFrame, windows: Sequence[dict], features: Sequence[str], target: str, alpha: float = 1.0, date: str = "date"
+) -> DataFrame:
+    """Ridge of every window from sums that all windows share: ``window, rows, intercept, weights, scaled``.
+
+    ``windows`` is a short list of ``window``, ``train_start`` and ``train_end``; None leaves an end open. Their bounds cut
+    the calendar into segments. One pass adds up the products of (1, features, target) per segment, running sums over
+    segments make the products of any window the difference of two, and only matrices of features by features are solved.
+    Missing features are 0 before scaling, rows without a target are left out, the intercept is not penalised, and windows
+    without any row have no line.
+    """
+    width = len(features) + 2
+    day = F.col(date)
+    # a segment starts at every first day and behind every last day
+    ends = [(w[k], late) for w in windows for k, late in (("train_start", 0), ("train_end", 1))]
+    cuts = sorted({e for e in ends if e[0] is not None})
+    segment = sum((F.when(day > F.lit(b) if late else day >= F.lit(b), 1).otherwise(0) for b, late in cuts), F.lit(0)).cast("int")
+    x = [F.coalesce(finite(c), F.lit(0.0)) for c in features]
+    rows = df.where(finite(target).isNotNull()).select(segment.alias("segment"), *[c.alias(f"_{i}") for i, c in enumerate(x)], finite(target).alias("_y"))
+    values = [f"_{i}" for i in range(len(features))] + ["_y"]
+    centre = near_means(rows, values)
+    vector = F.array(F.lit(1.0), *[F.col(c) - float(m) for c, m in zip(values, centre)])
+    products = rows.select("segment", vector.alias("v")).mapInArrow(_sum_products(width), "segment int, a int, b int, s double")
+    sums = products.groupBy("segment", "a", "b").agg(F.sum("s").alias("s"))
+    first = lambda w: cuts.index((w["train_start"], 0)) + 1 if w["train_start"] is not None else 0
+    last = lambda w: cuts.index((w["train_end"], 1)) if w["train_end"] is not None else len(cuts)
+    # every segment has a row, also one without data
+    spine = df.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("segment")).crossJoin(sums.select("a", "b").distinct())
+    so_far = Window.partitionBy("a", "b").orderBy("segment")
+    running = spine.join(sums, ["segment", "a", "b"], "left").withColumn("s", F.coalesce(F.sum("s").over(so_far), F.lit(0.0)))
+    sides = [(str(w["window"]), s, sign) for w in windows for s, sign in ((last(w), 1.0), (first(w) - 1, -1.0)) if s >= 0]
+    sides = df.sparkSession.createDataFrame(sides, "window string, segment int, sign double")
+    of = running.join(sides, "segment").groupBy("window", "a", "b").agg(F.sum(F.col("s") * F.col("sign")).alias("s"))
+    some = of.where("a = 0 AND b = 0 AND s >= 0.5").select("window")
+    schema = "window string, rows long, intercept double, weights array<double>, scaled array<double>"
+    return of.join(some, "window").groupBy("window").applyInPandas(_solve_ridge(width, alpha, centre), schema)
+
+
+def rolling_ridge(
+    df: DataFrame, windows: Sequence[dict], features: Sequence[str], target: str, alpha: float = 1.0, date: str = "date"
+) -> DataFrame:
+    """Out-of-sample predictions of every window's test rows: the input is summed once and scored once, however many windows."""
+    named = [{**w, "window": w.get("test_month") or str(w.get("test_year"))} for w in windows]
+    fits = ridge_windows(df, named, features, target, alpha, date).select("window", "intercept", "weights")
+    tests = F.array(*[F.struct(*[F.lit(w[k]).alias(k) for k in ("window", "test_start", "test_end")]) for w in named])
+    inside = F.filter(tests, lambda w: F.col(date).between(w["test_start"], w["test_end"]))
+    rows = df.withColumn("window", F.explode(F.transform(inside, lambda w: w["window"])))
+    values = F.array(*[F.coalesce(finite(c), F.lit(0.0)) for c in features])
+    terms = F.zip_with("weights", values, lambda w, x: w * x)
+    scored = rows.join(fits, "window").withColumn("prediction", F.col("intercept") + F.aggregate(terms, F.lit(0.0), lambda s, v: s + v))
+    return scored.drop("intercept", "weights")
+
+
 def fit_ridge(train: DataFrame, features: Sequence[str], target: str, alpha: float = 1.0) -> Model:
-    """Ridge on standardised features (missing is 0 before scaling), intercept unpenalised.
+    """Ridge on standardised features (missing is 0 before scaling), intercept unpenalised: ||y - Xw||^2 + alpha ||w||^2.
 
-    Spark scales its objective by 1/2n and the label by its deviation, hence the
-    regularisation below, which gives ||y - Xw||^2 + alpha ||w||^2.
+    One pass of sums and one small solve; the weights, one number per feature, come to the driver.
     """
-    rows = train.where(finite(target).isNotNull()).withColumns(
-        {"_y": finite(target), **{c: F.coalesce(finite(c), F.lit(0.0)) for c in features}}
-    )
-    moments = standardisation(rows, features).crossJoin(
-        rows.agg(F.count("_y").alias("_n"), F.stddev_samp("_y").alias("_sy"))
-    ).first()
-    # one row of moments: two numbers per feature
-    def z(c: str):
-        s = moments[f"_s_{c}"]
-        return (F.coalesce(finite(c), F.lit(0.0)) - moments[f"_m_{c}"]) / (s if s and s > 0 else 1.0)
-
-    expressions = {c: z(c) for c in features}
-    reg = alpha * (moments["_sy"] or 0.0) / moments["_n"]
-    fit = LinearRegression(
-        featuresCol="_x", labelCol="_y", regParam=reg, elasticNetParam=0.0, standardization=False, solver="l-bfgs", tol=1e-12, maxIter=500
-    ).fit(_assembled(rows, features, expressions).select("_x", "_y"))
-    weights, intercept = [float(w) for w in fit.coefficients], float(fit.intercept)
+    window = {"window": "all", "train_start": None, "train_end": None}
+    fit = ridge_windows(train, [window], features, target, alpha, date=train.columns[0]).first()
+    if fit is None:
+        raise ValueError("no row with a target to fit on")
 
     def score(df: DataFrame) -> DataFrame:
-        value = reduce(lambda a, b: a + b, [expressions[c] * w for c, w in zip(features, weights)], F.lit(intercept))
-        return df.withColumn("prediction", value)
+        terms = [F.coalesce(finite(c), F.lit(0.0)) * w for c, w in zip(features, fit["weights"])]
+        return df.withColumn("prediction", reduce(lambda a, b: a + b, terms, F.lit(fit["intercept"])))
 
-    return Model("ridge", list(features), score, {c: abs(w) for c, w in zip(features, weights)})
+    return Model("ridge", list(features), score, {c: abs(w) for c, w in zip(features, fit["scaled"])})
 
 
 def fit_boosted(train: DataFrame, features: Sequence[str], target: str, weight: str | None = None, rounds: int = 10, depth: int = 3, seed: int = 7) -> Model:
@@ -235,6 +320,24 @@ def group_dependence(
     return reduce(lambda a, b: a.unionByName(b), tables)
 
 
+def audit_report(results: DataFrame, importance: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Runs of :func:`group_dependence` side by side with the baseline, with what their feature group weighs in it.
+
+    ``delta_<metric>`` is the run's metric less the baseline's; ``importance`` and ``importance_share`` add up the
+    importances of the group's features, and are those of all features in the baseline's row.
+    """
+    base = results.where("run = 'baseline'").select(*[F.col(m).alias(f"_base_{m}") for m in metrics])
+    weight = importance.groupBy("group").agg(F.sum("importance").alias("importance"), F.count(F.lit(1)).alias("features"))
+    whole = importance.agg(F.sum("importance").alias("importance"), F.count(F.lit(1)).alias("features")).withColumn("group", F.lit(""))
+    weight = weight.unionByName(whole.select("group", "importance", "features"))
+    total = importance.agg(F.sum("importance").alias("_total"))
+    # one row of the baseline, one total
+    rows = results.crossJoin(base).crossJoin(total).join(weight, "group", "left")
+    deltas = {f"delta_{m}": F.col(m) - F.col(f"_base_{m}") for m in metrics}
+    share = F.try_divide(F.col("importance"), F.col("_total"))
+    return rows.withColumns({**deltas, "importance_share": share}).drop("_total", *[f"_base_{m}" for m in metrics])
+
+
 def importance_table(spark, model: Model, groups: dict[str, str]) -> DataFrame:
     rows = [(c, groups.get(c, "other"), v) for c, v in model.importance.items()]
     return spark.createDataFrame(rows, "feature string, group string, importance double")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import BPS, drawn, finite, safe_div, share, truthy, weighted_mean
-from tickloom.operators.groups import attach, over, quantiles, top_rows
+from tickloom.operators.groups import attach, counted_quantiles, over, quantiles, top_rows
 
 
 def dataset_summary(df: DataFrame, label: str, date: str = "date", symbol: str = "symbol", clock: str = "clock") -> DataFrame:
@@ -194,6 +195,30 @@ def mergeable_moments(df: DataFrame, variables: Sequence[str], state: str, by: S
     )
 
 
+def value_counts(df: DataFrame, variables: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """How often each value of each variable stands in a part: a summary of its order that can be merged.
+
+    Missing and non-finite values are left out.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("variable"), finite(c).alias("value")) for c in variables])
+    long = df.select(*by, F.inline(cells)).where("value IS NOT NULL")
+    return long.groupBy(*by, "variable", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged_counts(parts: Sequence[DataFrame], by: Sequence[str] = ()) -> DataFrame:
+    """One table of counts from those of parts; keys of the parts that are not in ``by`` are summed away."""
+    keys = [*by, "variable", "value"]
+    rows = reduce(lambda a, b: a.unionByName(b), [p.select(*keys, "n") for p in parts])
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def quantiles_of_counts(counts: DataFrame, shares: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Rows, distinct values and exact quantiles per variable from its counts: those of the whole data."""
+    keys = [*by, "variable"]
+    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct_values"))
+    return attach(sizes, counted_quantiles(counts, keys, "value", "n", shares), keys)
+
+
 def keyed_sample(df: DataFrame, by: Sequence[str], unique: Sequence[str], n: int, seed: int) -> DataFrame:
     """At most n rows per group, the same for a given seed whatever the partitioning."""
     order = drawn(seed, *unique)

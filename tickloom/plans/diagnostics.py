@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.operators import buckets as B
+from tickloom.operators.evaluate import with_place
 from tickloom.plans.base import PANEL, TIE, XS, query
 from tickloom.plans.evaluation import corr, rank_over
 
@@ -288,6 +289,53 @@ def _(t):
     return B.auc_by_rank(t.panel.select("clock", "score", "label_short"), "score", F.col("label_short") > 0, ["clock"])
 
 
+STATES = ["A", "N", "R"]
+
+
+def decomposition_sql(c):
+    each = ", ".join(
+        f"""sum({c}) FILTER (industry = '{s}') AS b_{s}, sum({c}) FILTER (industry = '{s}' AND place <= 3) AS p_{s},
+        avg({c}) FILTER (industry = '{s}' AND own <= 3) - avg({c}) FILTER (industry = '{s}') AS a_{s}"""
+        for s in STATES
+    )
+    return f"""SELECT '{c}' AS outcome, date, clock, count(*) AS n, count_if(place <= 3) AS k, avg({c}) AS am, avg({c}) FILTER (place <= 3) AS tm, {each}
+      FROM p WHERE {c} IS NOT NULL GROUP BY date, clock"""
+
+
+def part_sql(s):
+    return f"avg(CASE WHEN k > 0 THEN (coalesce(p_{s}, 0) / k - coalesce(b_{s}, 0) / n) * 10000 END)"
+
+
+@query(
+    "state_decomposition", "DIAG-09",
+    f"""WITH {PANEL}, p AS (SELECT *, row_number() OVER (PARTITION BY date, clock ORDER BY prediction DESC, symbol, rid, turnover) AS place,
+      row_number() OVER (PARTITION BY date, clock, industry ORDER BY prediction DESC, symbol, rid, turnover) AS own FROM panel),
+    g AS ({decomposition_sql('label_short')} UNION ALL {decomposition_sql(Y)}),
+    d AS (SELECT outcome, date, avg((tm - am) * 10000) AS d FROM g GROUP BY ALL HAVING d IS NOT NULL),
+    t AS (SELECT outcome, count(d) AS days, avg(d) AS daily_mean_bps, avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t_stat, avg(CAST(d > 0 AS DOUBLE)) AS positive_day_share FROM d GROUP BY outcome),
+    r AS (SELECT outcome, count(tm - am) AS groups, avg(tm) * 10000 AS selected_bps, avg(am) * 10000 AS universe_bps, avg((tm - am) * 10000) AS excess_bps,
+      {', '.join(f'{part_sql(s)} AS {s}_contribution_bps, avg(a_{s}) * 10000 AS {s}_reselected_excess_bps' for s in STATES)}, avg((tm - am) * 10000) AS contribution_sum_bps FROM g GROUP BY outcome)
+    SELECT * FROM r JOIN t USING (outcome)""",
+    doubles="selected_bps universe_bps excess_bps contribution_sum_bps daily_mean_bps t_stat positive_day_share " + " ".join(f"{s}_contribution_bps {s}_reselected_excess_bps" for s in STATES),
+    digits=4,
+)
+def _(t):
+    # the twin takes the excess itself for the sum of the contributions
+    return B.state_decomposition(t.panel, XS, "date", "prediction", ["label_short", Y], "industry", STATES, 3, TIE)
+
+
+@query(
+    "selection_overlap", "DIAG-09",
+    f"""WITH {PANEL}, p AS (SELECT *, row_number() OVER (PARTITION BY date, clock ORDER BY prediction DESC, symbol, rid, turnover) AS a,
+      row_number() OVER (PARTITION BY date, clock ORDER BY volume DESC, symbol, rid, turnover) AS b FROM panel),
+    g AS (SELECT date, clock, count(*) AS n FROM p WHERE a <= 3 AND b <= 3 GROUP BY ALL) SELECT count(*) AS groups, avg(n) AS mean_shared_rows FROM g""",
+    doubles="mean_shared_rows",
+)
+def _(t):
+    picks = [with_place(t.panel, XS, c, TIE).where("place <= 3") for c in ("prediction", "volume")]
+    return B.selection_overlap(*picks, XS, TIE)
+
+
 def outcome_sql(c, r):
     return f"""SELECT '{c}' AS outcome, date, clock, (avg(CASE WHEN place <= 3 THEN {c} END) - avg({c})) * 10000 AS ex,
       coalesce(sum(CASE WHEN place <= 3 AND industry = 'A' THEN {c} END), 0) / count_if(place <= 3) * 10000 - count_if(place <= 3 AND industry = 'A') / count_if(place <= 3) * avg({c}) * 10000 AS st,

@@ -261,14 +261,14 @@ def horizon_sql():
         count(ic) AS rank_ic_groups FROM g GROUP BY horizon),
       t AS (SELECT horizon, count(*) AS rows, count_if(hi <= 3) AS top_trades, avg(CASE WHEN hi <= 3 THEN label END) * 10000 AS top_mean_bps,
         avg(CASE WHEN hi <= 3 THEN CAST(label > 0 AS DOUBLE) END) AS top_win_rate, avg(label) * 10000 AS all_mean_bps,
-        avg(CASE WHEN lo <= 3 THEN label END) * 10000 AS bottom_mean_bps FROM p GROUP BY horizon)"""
+        avg(CASE WHEN lo <= 3 THEN label END) * 10000 AS bottom_mean_bps, quantile_cont(label, 0.5) FILTER (hi <= 3) * 10000 AS top_median_bps FROM p GROUP BY horizon)"""
 
 
 @query(
     "horizon_summary", "EVAL-05",
     f"""WITH {PANEL}, {horizon_sql()} SELECT *, top_mean_bps - bottom_mean_bps AS spread_bps,
       top_mean_bps / (SELECT top_mean_bps FROM t WHERE horizon = 'label_short') AS retention_vs_first FROM t JOIN gs USING (horizon)""",
-    doubles="top_mean_bps top_sem_bps top_win_rate all_mean_bps bottom_mean_bps spread_bps rank_ic_mean rank_ic_std retention_vs_first", digits=5,
+    doubles="top_mean_bps top_median_bps top_sem_bps top_win_rate all_mean_bps bottom_mean_bps spread_bps rank_ic_mean rank_ic_std retention_vs_first", digits=5,
 )
 def _(t):
     return E.horizon_summary(t.panel, ["label_short", "label_next_close"], "prediction", 3, XS, TIE)
@@ -346,6 +346,44 @@ def _(t):
     return E.daily_symbol_score(rows, "prediction", "last", "at")
 
 
+SCORES = """da AS (SELECT date, symbol, arg_max(prediction, (clock, rid, turnover)) AS score FROM panel WHERE score > 0.02 GROUP BY date, symbol),
+  sr AS (SELECT date, symbol, -score AS score FROM da QUALIFY row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) <= 5)"""
+MATRIX = ["S000001", "S000002", "S000003", "S000010", "none"]
+
+
+def scored(t):
+    rows = t.panel.where("score > 0.02").withColumn("at", F.struct("clock", "rid", "turnover"))
+    return rows, E.score_rows(rows, "prediction", "last", "at", top_n=5, negate=True)
+
+
+@query("score_rows", "EVAL-20", f"WITH {PANEL}, {SCORES} SELECT date, symbol, score FROM sr", doubles="score", digits=4)
+def _(t):
+    return E.require_scored_days(*scored(t))
+
+
+@query(
+    "score_matrix", "EVAL-20",
+    f"""WITH {PANEL}, {SCORES} SELECT date, {', '.join(f"max(score) FILTER (symbol = '{m}') AS {m}" for m in MATRIX)} FROM sr GROUP BY date""",
+    doubles=" ".join(MATRIX), digits=4,
+)
+def _(t):
+    return E.score_matrix(scored(t)[1], MATRIX)
+
+
+@query(
+    "score_matrix_stats", "EVAL-20",
+    f"""WITH {PANEL}, {SCORES}, s AS (SELECT count(*) AS score_rows, count(DISTINCT date) AS score_dates, count(DISTINCT symbol) AS score_symbols, min(date) AS first_date, max(date) AS last_date,
+      1 - count(*) / (count(DISTINCT date) * count(DISTINCT symbol)) AS missing_share, sum(score) AS total, count(*) * 0.5 AS neutral FROM sr)
+    SELECT * EXCLUDE (total, neutral), 'scores' AS variant, total FROM s UNION ALL SELECT * EXCLUDE (total, neutral), 'neutral', neutral FROM s""",
+    doubles="missing_share total", digits=4,
+)
+def _(t):
+    rows = scored(t)[1]
+    variants = {"scores": rows, "neutral": E.neutral_scores(rows, 0.5)}
+    made = [E.score_matrix_stats(r).crossJoin(r.agg(F.sum("score").alias("total"))).withColumn("variant", F.lit(k)) for k, r in variants.items()]
+    return made[0].unionByName(made[1])
+
+
 @query(
     "shuffled_features", "EVAL-21",
     f"""WITH {PANEL}, a AS (SELECT date, clock, rid, turnover, row_number() OVER (PARTITION BY date, clock ORDER BY symbol, rid, turnover) AS k FROM panel),
@@ -510,6 +548,19 @@ def _(t):
     return A.mergeable_moments(t.panel, ["label_short", "score"], "industry")
 
 
+@query(
+    "mergeable_quantiles", "AGG-13",
+    f"""WITH {PANEL}, l AS (SELECT industry, 'label_short' AS variable, label_short AS v FROM panel WHERE label_short IS NOT NULL UNION ALL SELECT industry, 'turnover', turnover FROM panel)
+    SELECT industry, variable, count(*) AS rows, count(DISTINCT v) AS distinct_values, quantile_cont(v, 0.01) AS p01, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.999) AS p999 FROM l GROUP BY ALL""",
+    doubles="p01 p50 p999",
+)
+def _(t):
+    # counted per year and part, then merged: the quantiles are those of all rows
+    rows = t.panel.withColumn("year", F.substring("date", 1, 4))
+    parts = [A.value_counts(rows.where(test), ["label_short", "turnover"], ["industry", "year"]) for test in ("volume <= 20", "volume > 20")]
+    return A.quantiles_of_counts(A.merged_counts(parts, ["industry"]), {"p01": 0.01, "p50": 0.5, "p999": 0.999}, ["industry"])
+
+
 @query(
     "keyed_sample", "AGG-14",
     f"""WITH {PANEL} SELECT industry, substr(date, 1, 4) AS year, rid, turnover FROM panel

@@ -10,6 +10,7 @@ from tickloom.operators import execution as X
 from tickloom.operators import exposure as EX
 from tickloom.operators import hygiene as H
 from tickloom.operators import modeling as M
+from tickloom.operators import series as S
 from tickloom.operators import variants as V
 from tickloom.operators.cross import rank_share
 from tickloom.plans.base import PANEL, TIE, XS, query
@@ -727,6 +728,89 @@ def _(t):
     return monthly.unionByName(mean, allowMissingColumns=True)
 
 
+RUNS_SQL = f"""pl AS (SELECT *, CASE WHEN clock = '09:31:00' THEN 'early' ELSE 'late' END AS series, row_number() OVER (PARTITION BY date, clock ORDER BY prediction DESC, symbol, rid, turnover) AS place
+    FROM panel WHERE {Y} IS NOT NULL),
+  runs AS (SELECT series, date, count(*) AS candidate_rows, count_if(place <= 2) AS selected_rows, avg({Y}) FILTER (place <= 2) * 10000 AS selected_bps, avg({Y}) * 10000 AS pool_bps FROM pl GROUP BY ALL),
+  turn AS (SELECT date, count(DISTINCT symbol) / count(*) * 0.5 AS turnover FROM panel WHERE CAST(substr(date, 9, 2) AS INTEGER) % 2 = 0 GROUP BY date),
+  fees AS (SELECT r.*, turnover IS NOT NULL AS known, coalesce(turnover, least(1, selected_rows / candidate_rows)) AS reference_turnover, selected_bps - 8 AS net_bps,
+    pool_bps - 8 * coalesce(turnover, least(1, selected_rows / candidate_rows)) AS pool_net_bps FROM runs r LEFT JOIN turn USING (date))"""
+
+
+def daily_runs(t):
+    """Two runs, one a clock: what each chose on a day and what it chose from."""
+    rows = t.panel.where(F.col(Y).isNotNull())
+    placed = E.with_place(rows, XS, "prediction", TIE)
+    daily = placed.groupBy(*XS).agg(
+        F.count(F.lit(1)).alias("candidate_rows"), F.count_if(F.col("place") <= 2).alias("selected_rows"),
+        (F.avg(F.when(F.col("place") <= 2, F.col(Y))) * 1e4).alias("selected_bps"), (F.avg(Y) * 1e4).alias("pool_bps"),
+    )
+    names = {"early": "09:31:00", "late": "10:01:00"}
+    columns = ["date", "candidate_rows", "selected_rows", "selected_bps", "pool_bps"]
+    return S.named_runs({k: daily.where(F.col("clock") == v) for k, v in names.items()}, columns, {"late": "Late run"})
+
+
+def run_fees(t):
+    turnover = t.panel.where(F.substring("date", 9, 2).cast("int") % 2 == 0).groupBy("date").agg(
+        (F.count_distinct("symbol") / F.count(F.lit(1)) * 0.5).alias("turnover")
+    )
+    return S.with_fees(daily_runs(t), {"net_bps": "selected_bps"}, {"pool_net_bps": "pool_bps"}, 8.0, turnover)
+
+
+@query(
+    "run_net_returns", "EVAL-23",
+    f"""WITH {PANEL}, {RUNS_SQL} SELECT series, CASE WHEN series = 'late' THEN 'Late run' ELSE series END AS series_label, date, candidate_rows, selected_rows, selected_bps, pool_bps, reference_turnover,
+      CASE WHEN known THEN 'membership' ELSE 'selected_over_candidates' END AS turnover_source, CAST(8 AS DOUBLE) AS fee_bps, 8 * reference_turnover AS reference_fee_bps, net_bps, pool_net_bps,
+      sum(net_bps * 0.5) OVER w AS cumulative_net_bps, sum(pool_net_bps * 0.5) OVER w AS cumulative_pool_net_bps FROM fees WINDOW w AS (PARTITION BY series ORDER BY date)""",
+    doubles="selected_bps pool_bps reference_turnover fee_bps reference_fee_bps net_bps pool_net_bps cumulative_net_bps cumulative_pool_net_bps", digits=4,
+)
+def _(t):
+    return S.cumulated(run_fees(t), {"cumulative_net_bps": "net_bps", "cumulative_pool_net_bps": "pool_net_bps"}, capital=0.5)
+
+
+@query(
+    "realised_reference", "EVAL-23",
+    f"""WITH {PANEL}, {RUNS_SQL}, m AS (SELECT date, avg({Y}) * 10000 AS market_bps FROM panel GROUP BY date)
+    SELECT series, date, selected_bps, market_bps AS pool_bps, sum(selected_bps - market_bps) OVER (PARTITION BY series ORDER BY date) AS cumulative_excess_bps FROM runs JOIN m USING (date)""",
+    doubles="selected_bps pool_bps cumulative_excess_bps", digits=4,
+)
+def _(t):
+    market = t.panel.groupBy("date").agg((F.avg(Y) * 1e4).alias("market_bps"))
+    rows = S.replace_reference(daily_runs(t), market, "pool_bps", "market_bps").withColumn("excess", F.col("selected_bps") - F.col("pool_bps"))
+    return S.cumulated(rows, {"cumulative_excess_bps": "excess"}).select("series", "date", "selected_bps", "pool_bps", "cumulative_excess_bps")
+
+
+@query(
+    "run_relative_weekly", "EVAL-19",
+    f"""WITH {PANEL}, {RUNS_SQL}, cal AS (SELECT DISTINCT date FROM runs), ends AS (SELECT series, min(date) AS a, max(date) AS b FROM runs GROUP BY series),
+    spine AS (SELECT series, date FROM ends JOIN cal ON date BETWEEN a AND b),
+    wk AS (SELECT series, strftime(date_trunc('week', CAST(date AS DATE)), '%Y-%m-%d') AS week_start, count(*) AS days, sum(net_bps) AS net_bps, sum(pool_net_bps) AS pool_net_bps,
+      sum(net_bps - pool_net_bps) AS alpha_bps FROM spine LEFT JOIN fees USING (series, date) GROUP BY ALL),
+    cu AS (SELECT *, sum(coalesce(net_bps, 0)) OVER w AS cumulative_net_bps, sum(coalesce(alpha_bps, 0)) OVER w AS cumulative_alpha_bps FROM wk WINDOW w AS (PARTITION BY series ORDER BY week_start))
+    SELECT l.*, l.cumulative_net_bps - e.cumulative_net_bps AS relative_net_bps, l.cumulative_alpha_bps - e.cumulative_alpha_bps AS relative_alpha_bps
+    FROM cu l LEFT JOIN cu e ON e.series = 'early' AND e.week_start = l.week_start WHERE l.series = 'late'""",
+    doubles="net_bps pool_net_bps alpha_bps cumulative_net_bps cumulative_alpha_bps relative_net_bps relative_alpha_bps", digits=4,
+)
+def _(t):
+    rows = run_fees(t).withColumn("alpha_bps", F.col("net_bps") - F.col("pool_net_bps"))
+    full = S.on_calendar(rows, rows.select("date"))
+    weeks = S.weekly(full, ["net_bps", "pool_net_bps", "alpha_bps"])
+    summed = S.cumulated(weeks, {"cumulative_net_bps": "net_bps", "cumulative_alpha_bps": "alpha_bps"}, date="week_start")
+    return S.relative_to(summed, "early", {"relative_net_bps": "cumulative_net_bps", "relative_alpha_bps": "cumulative_alpha_bps"}, required=False)
+
+
+@query(
+    "run_month_table", "EVAL-24",
+    f"""WITH {PANEL}, {RUNS_SQL}, mo AS (SELECT series, substr(date, 1, 7) AS month, avg(selected_bps - pool_bps) AS excess_bps, avg(net_bps) AS net_bps FROM fees GROUP BY ALL),
+    al AS (SELECT * FROM mo UNION ALL SELECT series, 'Mean', avg(excess_bps), avg(net_bps) FROM mo GROUP BY series)
+    SELECT *, CAST(row_number() OVER (ORDER BY month = 'Mean', month, series) AS INTEGER) AS place FROM al""",
+    doubles="excess_bps net_bps", digits=4,
+)
+def _(t):
+    rows = run_fees(t).withColumns({"month": F.substring("date", 1, 7), "excess": F.col("selected_bps") - F.col("pool_bps")})
+    monthly = rows.groupBy("series", "month").agg(F.avg("excess").alias("excess_bps"), F.avg("net_bps").alias("net_bps"))
+    return S.month_table(monthly, ["excess_bps", "net_bps"])
+
+
 HFEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
 
@@ -895,7 +979,7 @@ def _(t):
     rows = t.panel.drop("prediction")
     # a handful of date bounds: the driver loops over windows, never over rows
     windows = [r.asDict() for r in M.annual_windows(rows, 3).orderBy("test_year").collect()]
-    out = M.rolling_predictions(rows, windows, lambda train: M.fit_ridge(train, RIDGE_FEATURES, Y, 10.0))
+    out = M.rolling_ridge(rows, windows, RIDGE_FEATURES, Y, 10.0)
     return M.window_metrics(out, Y, XS, 3, TIE)
 
 
@@ -912,3 +996,38 @@ def _(t):
     )
 
 
+
+
+AUDIT = f"""tr AS (SELECT * FROM panel WHERE date < '2000-01-01' AND {Y} IS NOT NULL),
+  mo AS (SELECT avg(turnover) AS m1, stddev_pop(turnover) AS s1, avg(volume) AS m2, stddev_pop(volume) AS s2, avg({Y}) AS my FROM tr),
+  gr AS (SELECT sum(power((turnover - m1) / s1, 2)) + 10 AS a, sum((turnover - m1) / s1 * (volume - m2) / s2) AS b, sum(power((volume - m2) / s2, 2)) + 10 AS d,
+    sum((turnover - m1) / s1 * ({Y} - my)) AS p, sum((volume - m2) / s2 * ({Y} - my)) AS q FROM tr, mo),
+  be AS (SELECT (p * d - q * b) / (a * d - b * b) AS w1, (q * a - p * b) / (a * d - b * b) AS w2, p / a AS u1, q / d AS u2 FROM gr),
+  te AS (SELECT * FROM panel WHERE date >= '2000-01-01'),
+  re AS (SELECT date, clock, rid, turnover, volume, {Y} AS y, row_number() OVER (PARTITION BY date, clock ORDER BY symbol, rid, turnover) AS k FROM te),
+  dn AS (SELECT date, clock, turnover AS size2, volume AS volume2, row_number() OVER (PARTITION BY date, clock ORDER BY md5('3|' || symbol || '|' || rid || '|' || turnover), symbol, rid, turnover) AS k FROM te),
+  sh AS (SELECT (turnover - m1) / s1 AS x1, (volume - m2) / s2 AS x2, (size2 - m1) / s1 AS z1, (volume2 - m2) / s2 AS z2, y, my, w1, w2, u1, u2 FROM re JOIN dn USING (date, clock, k), mo, be),
+  sc AS (SELECT 'baseline' AS run, '' AS grp, y, my + w1 * x1 + w2 * x2 AS f FROM sh UNION ALL SELECT 'permuted', 'activity', y, my + w1 * z1 + w2 * x2 FROM sh
+    UNION ALL SELECT 'dropped', 'activity', y, my + u2 * x2 FROM sh UNION ALL SELECT 'permuted', 'depth', y, my + w1 * x1 + w2 * z2 FROM sh UNION ALL SELECT 'dropped', 'depth', y, my + u1 * x1 FROM sh),
+  rk AS (SELECT *, {rank_over('f', 'run, grp')} AS rf, {rank_over('y', 'run, grp')} AS ry FROM sc WHERE y IS NOT NULL),
+  me AS (SELECT run, grp, count(*) AS rows, {corr('y', 'f')} AS ic, {corr('ry', 'rf')} AS rank_ic FROM rk GROUP BY run, grp)"""
+
+
+@query(
+    "feature_audit", "ML-09",
+    f"""WITH {PANEL}, {AUDIT}, im AS (SELECT 'activity' AS grp, abs(w1) AS importance, 1 AS features FROM be UNION ALL SELECT 'depth', abs(w2), 1 FROM be UNION ALL SELECT '', abs(w1) + abs(w2), 2 FROM be)
+    SELECT run, grp AS "group", rows, ic, rank_ic, ic - (SELECT ic FROM me WHERE run = 'baseline') AS delta_ic, rank_ic - (SELECT rank_ic FROM me WHERE run = 'baseline') AS delta_rank_ic,
+      importance, CAST(features AS BIGINT) AS features, importance / (SELECT abs(w1) + abs(w2) FROM be) AS importance_share FROM me JOIN im USING (grp)""",
+    doubles="ic rank_ic delta_ic delta_rank_ic importance importance_share", digits=5,
+)
+def _(t):
+    rows = t.panel.drop("prediction").withColumn("size", F.col("turnover"))
+    train, test = rows.where("date < '2000-01-01'"), rows.where("date >= '2000-01-01'")
+    fit = lambda names: M.fit_ridge(train, names, Y, 10.0)
+    model, groups = fit(["size", "volume"]), {"activity": ["size"], "depth": ["volume"]}
+    runs = M.group_dependence(
+        test, model, fit, groups, lambda df, names: E.shuffle_within_groups(df, names, XS, TIE, 3),
+        lambda df: E.correlations(df, [], Y, "prediction").select("rows", "ic", "rank_ic"),
+    )
+    weights = M.importance_table(t.spark, model, {c: g for g, columns in groups.items() for c in columns})
+    return M.audit_report(runs, weights, ["ic", "rank_ic"])
