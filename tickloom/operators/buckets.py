@@ -339,6 +339,50 @@ def condition_effects(
     )
 
 
+def condition_groups(
+    df: DataFrame, keys: Sequence[str], score: str, label: str, conditions: Sequence[str], n: int, unique: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """Per condition and group: rows, chosen rows and mean outcome of all, of those under the condition, and of a choice
+    without them, in bps. ``by`` are further columns of the group, for roll-ups."""
+    base = list(dict.fromkeys([*keys, *unique, score, label, *by]))
+    rows = df.where(finite(score).isNotNull() & finite(label).isNotNull())
+    cells = F.array(*[F.struct(F.lit(c).alias("condition"), F.coalesce(F.col(c).cast("boolean"), F.lit(False)).alias("_flag")) for c in conditions])
+    long = rows.select(*base, F.inline(cells))
+    placed = with_place(long, ["condition", *keys], score, unique, out="_place")
+    placed = with_place(placed, ["condition", *keys, "_flag"], score, unique, out="_own_place")
+    y, chosen, flag = F.col(label) * BPS, F.col("_place") <= n, F.col("_flag")
+    again = ~flag & (F.col("_own_place") <= n)
+    return placed.groupBy("condition", *dict.fromkeys([*keys, *by])).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(flag).alias("flagged"), F.count_if(chosen).alias("chosen"), F.count_if(chosen & flag).alias("flagged_chosen"),
+        F.avg(y).alias("pool_bps"), F.avg(F.when(~flag, y)).alias("clear_pool_bps"), F.avg(F.when(chosen, y)).alias("top_bps"),
+        F.coalesce(F.sum(F.when(chosen & flag, y)), F.lit(0.0)).alias("flagged_sum"), F.avg(F.when(again, y)).alias("again_bps"),
+    )
+
+
+def condition_rollup(groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Roll-up of :func:`condition_groups`: shares, enrichment, what the condition brings, and the choice without it
+    against the whole pool and against the pool without the condition."""
+    candidates = F.sum("flagged") / F.sum("rows")
+    selected = F.sum("flagged_chosen") / F.sum("chosen")
+    excess, again = F.avg(F.col("top_bps") - F.col("pool_bps")), F.avg(F.col("again_bps") - F.col("pool_bps"))
+    return groups.groupBy("condition", *by).agg(
+        F.count(F.lit(1)).alias("groups"), F.avg("rows").alias("candidates_mean"), F.avg("chosen").alias("selected_mean"),
+        candidates.alias("candidate_share"), selected.alias("selected_share"), F.try_divide(selected, candidates).alias("enrichment"),
+        F.try_divide(F.sum("flagged_sum"), F.sum("flagged_chosen")).alias("selected_flagged_bps"),
+        F.avg(F.col("flagged_sum") / F.col("chosen")).alias("contribution_bps"), excess.alias("excess_bps"),
+        again.alias("again_excess_bps"), F.avg(F.col("again_bps") - F.col("clear_pool_bps")).alias("again_clear_excess_bps"), (again - excess).alias("again_less_original_bps"),
+    )
+
+
+def event_rows(
+    df: DataFrame, keys: Sequence[str], score: str, needed: Sequence[str], events: Sequence[str], n: int, unique: Sequence[str]
+) -> DataFrame:
+    """Chosen rows on which any event holds, with their place, out of those that have all needed values."""
+    placed = with_place(df.dropna(subset=[score, *needed]), keys, score, unique, out="score_rank").where(F.col("score_rank") <= n)
+    some = F.coalesce(F.greatest(*[F.coalesce(F.col(c).cast("boolean"), F.lit(False)) for c in events]), F.lit(False))
+    return placed.where(some)
+
+
 def auc_by_rank(df: DataFrame, score: str, positive: Column, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve from the rank sum of the positives."""
     rows = df.where(F.col(score).isNotNull()).withColumn("_hit", F.coalesce(positive, F.lit(False)))

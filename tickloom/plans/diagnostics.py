@@ -278,6 +278,42 @@ def _(t):
     return B.condition_effects(rows, XS, "prediction", Y, ["small", "open"], 3, TIE)
 
 
+COND = f"""l AS (SELECT *, 'small' AS condition, volume < 10 AS f FROM panel WHERE {Y} IS NOT NULL UNION ALL SELECT *, 'open', status = 'O' FROM panel WHERE {Y} IS NOT NULL),
+    p AS (SELECT *, row_number() OVER (PARTITION BY condition, date, clock ORDER BY prediction DESC, symbol, rid, turnover) AS place,
+      row_number() OVER (PARTITION BY condition, date, clock, f ORDER BY prediction DESC, symbol, rid, turnover) AS place2 FROM l),
+    g AS (SELECT condition, date, clock, count(*) AS n, count_if(f) AS f, count_if(place <= 3) AS s, count_if(place <= 3 AND f) AS sf, avg({Y}) * 10000 AS pool, avg({Y}) FILTER (NOT f) * 10000 AS clear,
+      avg({Y}) FILTER (place <= 3) * 10000 AS top, coalesce(sum({Y}) FILTER (place <= 3 AND f), 0) * 10000 AS fs, avg({Y}) FILTER (NOT f AND place2 <= 3) * 10000 AS re FROM p GROUP BY ALL)"""
+
+
+def conditioned(t):
+    return t.panel.withColumns({"small": F.col("volume") < 10, "open": F.col("status") == "O"})
+
+
+@query(
+    "condition_rollup", "DIAG-08",
+    f"""WITH {PANEL}, {COND}, h AS (SELECT *, clock AS c FROM g UNION ALL SELECT *, 'all' FROM g)
+    SELECT condition, c AS clock, count(*) AS groups, avg(n) AS candidates_mean, avg(s) AS selected_mean, sum(f) / sum(n) AS candidate_share, sum(sf) / sum(s) AS selected_share,
+      (sum(sf) / sum(s)) / nullif(sum(f) / sum(n), 0) AS enrichment, sum(fs) / nullif(sum(sf), 0) AS selected_flagged_bps, avg(fs / s) AS contribution_bps, avg(top - pool) AS excess_bps,
+      avg(re - pool) AS again_excess_bps, avg(re - clear) AS again_clear_excess_bps, avg(re - pool) - avg(top - pool) AS again_less_original_bps FROM h GROUP BY condition, c""",
+    doubles="candidates_mean selected_mean candidate_share selected_share enrichment selected_flagged_bps contribution_bps excess_bps again_excess_bps again_clear_excess_bps again_less_original_bps", digits=4,
+)
+def _(t):
+    groups = B.condition_groups(conditioned(t), XS, "prediction", Y, ["small", "open"], 3, TIE)
+    whole = B.condition_rollup(groups, []).withColumn("clock", F.lit("all"))
+    return B.condition_rollup(groups, ["clock"]).unionByName(whole)
+
+
+@query(
+    "event_rows", "DIAG-08",
+    f"""WITH {PANEL}, p AS (SELECT *, row_number() OVER (PARTITION BY date, clock ORDER BY prediction DESC, symbol, rid, turnover) AS score_rank FROM panel WHERE {Y} IS NOT NULL AND label_short IS NOT NULL)
+    SELECT date, clock, symbol, rid, turnover, CAST(score_rank AS INTEGER) AS score_rank, volume < 10 AS small, status = 'O' AS open FROM p WHERE score_rank <= 3 AND (volume < 10 OR status = 'O')""",
+    doubles="turnover",
+)
+def _(t):
+    rows = B.event_rows(conditioned(t), XS, "prediction", ["label_short", Y], ["small", "open"], 3, TIE)
+    return rows.select(*XS, *TIE, "score_rank", "small", "open")
+
+
 @query(
     "auc_by_rank", "DIAG-09",
     f"""WITH {PANEL}, v AS (SELECT *, coalesce(label_short > 0, false) AS hit, {rank_over('score', 'clock')} AS r FROM panel)

@@ -880,7 +880,15 @@ def _(t):
     return H.components(H.correlated_pairs(embedded(t), EFEATURES, 0.9))
 
 
-@query("prune_report", "ML-04")
+@query(
+    "prune_report", "ML-04",
+    f"""WITH RECURSIVE {EMB_SQL}, p AS ({PAIRS_SQL}), e AS (SELECT feature_a AS x, feature_b AS y, abs(corr) AS c FROM p WHERE abs(corr) >= 0.9 UNION SELECT feature_b, feature_a, abs(corr) FROM p WHERE abs(corr) >= 0.9),
+    r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), m AS (SELECT x, least(x, min(y)) AS keep FROM r GROUP BY x),
+    l AS (SELECT m.x AS feature, m.keep, coalesce((SELECT max(c) FROM e WHERE e.x = m.x AND e.y = m.keep), (SELECT max(c) FROM e WHERE e.x = m.x)) AS c FROM m WHERE m.x <> m.keep)
+    SELECT feature, 'other' AS "group", CASE WHEN c >= 0.999 THEN 'drop' ELSE 'review' END AS action, CASE WHEN c >= 0.999 THEN 'near_duplicate' ELSE 'high_correlation' END AS reason,
+      keep AS keep_feature, c AS max_abs_corr FROM l UNION ALL SELECT 'flat', 'other', 'drop', 'constant', '', NULL""",
+    doubles="max_abs_corr",
+)
 def _(t):
     rows = embedded(t).withColumn("flat", F.lit(1.0))
     pairs = H.correlated_pairs(rows, EFEATURES, 0.9)
@@ -945,7 +953,27 @@ def _(t):
     return model.score(rows.where("date >= '2000-01-01'")).select("rid", "turnover", F.round("prediction", 6).alias("prediction"))
 
 
-@query("ensemble_scores", "ML-07")
+def two_feature_sql(name, a, b, y, alpha):
+    """Closed form of the ridge on two standardised features: ``{name}_f(rid, turnover, f)`` on the test rows."""
+    return f"""{name}_tr AS (SELECT {a} AS a, {b} AS b, {y} AS y FROM panel WHERE date < '2000-01-01' AND {y} IS NOT NULL),
+  {name}_mo AS (SELECT avg(a) AS m1, stddev_pop(a) AS s1, avg(b) AS m2, stddev_pop(b) AS s2, avg(y) AS my FROM {name}_tr),
+  {name}_gr AS (SELECT sum(power((a - m1) / s1, 2)) + {alpha} AS g11, sum((a - m1) / s1 * (b - m2) / s2) AS g12, sum(power((b - m2) / s2, 2)) + {alpha} AS g22,
+    sum((a - m1) / s1 * (y - my)) AS p, sum((b - m2) / s2 * (y - my)) AS q FROM {name}_tr, {name}_mo),
+  {name}_f AS (SELECT date, clock, rid, turnover, my + (p * g22 - q * g12) / (g11 * g22 - g12 * g12) * ({a} - m1) / s1 + (q * g11 - p * g12) / (g11 * g22 - g12 * g12) * ({b} - m2) / s2 AS f
+    FROM panel, {name}_mo, {name}_gr WHERE date >= '2000-01-01')"""
+
+
+def rank_share_sql(c):
+    return f"{rank_over(c, 'date, clock')} / count(*) OVER (PARTITION BY date, clock)"
+
+
+@query(
+    "ensemble_scores", "ML-07",
+    f"""WITH {PANEL}, {two_feature_sql('x', 'turnover', 'volume', Y, 10)}, {two_feature_sql('z', 'price', 'score', 'label_short', 10)},
+    j AS (SELECT x.date, x.clock, x.rid, x.turnover, round(x.f, 12) AS f, round(z.f, 12) AS g FROM x_f x JOIN z_f z USING (rid, turnover))
+    SELECT rid, turnover, 2 / 3.0 * {rank_share_sql('f')} + 1 / 3.0 * {rank_share_sql('g')} AS prediction, CASE WHEN clock = '09:31:00' THEN f ELSE g END AS routed FROM j""",
+    doubles="turnover prediction routed", digits=6,
+)
 def _(t):
     rows = t.panel.drop("prediction")
     train = rows.where("date < '2000-01-01'")
@@ -955,7 +983,7 @@ def _(t):
     both = test.select("rid", "turnover", "prediction").join(
         routed.select("rid", "turnover", F.col("prediction").alias("routed")), ["rid", "turnover"]
     )
-    return both.withColumns({"prediction": F.round("prediction", 6), "routed": F.round("routed", 8)})
+    return both
 
 
 RW = """yw AS (SELECT DISTINCT CAST(substr(date, 1, 4) AS INTEGER) AS y FROM panel), ws AS (SELECT a.y AS w FROM yw a JOIN yw b ON b.y < a.y GROUP BY a.y HAVING count(*) >= 3),

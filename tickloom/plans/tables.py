@@ -248,6 +248,29 @@ def _(t):
     return K.symbol_universe(t.panel, "^S00[01]", listed).select("rid", "turnover")
 
 
+@query(
+    "listed_symbols", "SRC-18",
+    f"""WITH {PANEL}, l AS (SELECT 'S' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS symbol, p_partkey % 2 AS csv FROM part WHERE p_size > 20 AND p_partkey % 3 <> 0)
+    SELECT rid, turnover, CASE WHEN csv = 1 THEN 'csv' ELSE 'text' END AS list FROM panel JOIN l USING (symbol)""",
+    doubles="turnover",
+)
+def _(t):
+    """Allow-lists written as a csv with other columns and as text lines with remarks, read back and applied."""
+    import uuid
+
+    from tickloom.session import shared_folder
+
+    path = f"{shared_folder(t.spark)}/symbols-{uuid.uuid4().hex}"
+    name = F.concat(F.lit(" s"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))
+    wanted = t.part.where("p_size > 20")
+    lines = wanted.where("p_partkey % 2 = 0").select(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("# "), name)).otherwise(name).alias("value"))
+    lines.write.text(f"{path}/text")
+    table = wanted.where("p_partkey % 2 = 1 AND p_partkey % 3 <> 0").select("p_size", name.alias("symbol"))
+    table.unionByName(table).write.option("header", True).csv(f"{path}/csv")
+    parts = [K.symbol_universe(t.panel, None, S.symbol_list(t.spark, f"{path}/{kind}", kind)).withColumn("list", F.lit(kind)) for kind in ("csv", "text")]
+    return parts[0].unionByName(parts[1]).select("rid", "turnover", "list")
+
+
 @query(
     "prediction_scan", "SRC-19 FLT-06",
     f"WITH {PANEL} SELECT rid, turnover, prediction, label_short FROM panel WHERE clock = '09:31:00' AND label_short IS NOT NULL",
