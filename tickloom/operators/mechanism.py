@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,9 +77,11 @@ RAW_PRICES = (
     "preopen_price_max",
 )
 
-# fixed values: prices whose differences are price moves
-MOVING = ("ask_price_1", "bid_price_1", "mid_price", "price")
-MOVES = tuple(f"_{price}{change}" for price in MOVING for change in ("_diff", "_from_open_diff"))
+# fixed values: columns measured in a unit of their own
+UNITS = {"exch_time_offset_us": "clock", "postopen_minutes_since_0930": "minutes", "spread_abs": "spread"}
+
+# a price move is the difference of a price, to an earlier state or to the open
+MOVE = re.compile(r"(?:^|_)(?:ask_price_1|bid_price_1|mid_price|price)(?:_from_open)?_diff")
 
 
 def kinds_of(name: str) -> set[str]:
@@ -85,12 +89,14 @@ def kinds_of(name: str) -> set[str]:
     n = name.lower()
     found = {kind for kind, names in NAMES.items() if n in names}
     found |= {kind for kind, prefixes in PREFIXES.items() if n.startswith(prefixes)}
+    if n in UNITS:
+        found.add(UNITS[n])
     if n.startswith("hist_surprise_") and n.removeprefix("hist_surprise_").endswith("_ratio"):
         found.add("history")
     if any(mark in n for mark in UNITLESS):
         found.add("unitless")
     scaled = "_rel_" in n or n.endswith("_rel") or "_bps" in n
-    if any(move in f"_{n}" for move in MOVES) and not scaled:
+    if MOVE.search(n) and not scaled:
         found |= {"price", "price_move"}
     if n.startswith("trade_vwap_") or ("price" in n and ("unitless" not in found or n in RAW_PRICES)):
         found.add("price")
@@ -99,188 +105,166 @@ def kinds_of(name: str) -> set[str]:
 
 def changed_columns(columns: Sequence[str]) -> list[str]:
     """Columns that the strict ratio version rewrites."""
-    named = {"exch_time_offset_us", "postopen_minutes_since_0930", "spread_abs"}
-    out = []
-    for c in dict.fromkeys(columns):
-        kinds = kinds_of(c)
-        if c.lower() in named or (kinds and not kinds & {"unitless", "history"}):
-            out.append(c)
-    return out
+    kinds = {c: kinds_of(c) for c in columns}
+    return [c for c, found in kinds.items() if found and not found & {"unitless", "history"}]
+
+
+def _positive(v: Column) -> Column:
+    return F.when(v > 0, v)
 
 
 class References:
-    """Denominators as columns. Which fallback column serves is decided for the whole table,
-    from one aggregate row over the candidate columns."""
+    """Denominators as columns. Which fallback column serves is decided for the whole table: by flags, one row over the
+    columns that the wanted values ask for, which is joined to the rows in the same plan."""
 
-    def __init__(self, df: DataFrame):
-        self.has = set(df.columns)
-        wanted = [*PRICES, *CAPS, *SHARES, *[c for c in df.columns if c.startswith(("hist_avg_daily_", "hist_surprise_"))]]
-        names = [c for c in dict.fromkeys(wanted) if c in self.has]
-        checks = {f"p_{c}": F.max(finite(c) > 0) for c in names} | {f"a_{c}": F.count(finite(c)) > 0 for c in names}
-        row = df.agg(*[v.alias(k) for k, v in checks.items()]).first().asDict() if checks else {}
-        self.positive = {k[2:] for k, v in row.items() if v and k.startswith("p_")}
-        self.present = {k[2:] for k, v in row.items() if v and k.startswith("a_")}
+    def __init__(self, columns: Sequence[str]):
+        self.has = set(columns)
+        self.flags: dict[str, Column] = {}
 
-    def above_zero(self, c: str) -> Column:
-        v = finite(c) if c in self.has else F.lit(None).cast("double")
-        return F.when(v > 0, v)
+    def _flag(self, name: str, test: Column) -> Column:
+        self.flags[name] = test
+        return F.coalesce(F.col(name), F.lit(False))
 
-    def first_positive(self, names: Sequence[str]) -> Column | None:
-        hit = next((c for c in names if c in self.positive), None)
-        return self.above_zero(hit) if hit else None
+    def known(self, c: str) -> Column:
+        """Whether any row has a value."""
+        return self._flag(f"_known_{c}", F.count(finite(c)) > 0)
 
-    def activity(self, kind: str) -> Column | None:
-        return self.first_positive([f"hist_avg_daily_{kind}_{w}d" for w in (60, 20, 120)])
+    def served(self, c: str) -> Column:
+        """Whether any row has a positive value."""
+        return self._flag(f"_served_{c}", F.max(finite(c) > 0))
 
-    @property
-    def missing(self) -> Column:
-        return F.lit(None).cast("double")
+    def column(self, c: str) -> Column:
+        return _positive(finite(c)) if c in self.has else F.lit(None).cast("double")
+
+    def choice(self, names: Sequence[str]) -> list[tuple[Column, Column]]:
+        """The first of some columns with any positive value: guarded values."""
+        return [(self.served(c), self.column(c)) for c in names if c in self.has]
+
+    def activity(self, kind: str) -> list[tuple[Column, Column]]:
+        return self.choice([f"hist_avg_daily_{kind}_{w}d" for w in (60, 20, 120)])
+
+    def history(self, name: str) -> list[tuple[Column, Column]]:
+        named = [f"hist_surprise_{name}_{w}d_ratio" for w in (20, 60)]
+        return [(self.known(c), log_positive(c)) for c in named if c in self.has]
 
     @property
     def mid(self) -> Column:
-        if "mid_price" in self.present:
-            return self.above_zero("mid_price")
-        both = {"ask_price_1", "bid_price_1"} <= self.has
-        middle = (finite("ask_price_1") + finite("bid_price_1")) / 2.0 if both else self.missing
-        return F.when(middle > 0, middle)
+        sides = [finite(c) if c in self.has else F.lit(None).cast("double") for c in ("ask_price_1", "bid_price_1")]
+        middle = _positive((sides[0] + sides[1]) / 2.0)
+        return first_of([(self.known("mid_price"), self.column("mid_price"))], middle) if "mid_price" in self.has else middle
 
     @property
     def price(self) -> Column:
-        hit = self.first_positive(PRICES)
-        return self.missing if hit is None else hit
+        return first_of(self.choice(PRICES))
 
     @property
     def shares(self) -> Column:
-        own = self.first_positive(SHARES)
-        if own is not None:
-            return own
-        cap = self.first_positive(CAPS)
-        if cap is not None and self.first_positive(PRICES) is not None:
-            return safe_div(cap, self.price)
-        past = self.activity("volume")
-        return self.missing if past is None else past
+        priced = reduce(lambda a, b: a | b, [test for test, _ in self.choice(PRICES)], F.lit(False))
+        worth = [(test & priced, safe_div(cap, self.price)) for test, cap in self.choice(CAPS)]
+        return first_of([*self.choice(SHARES), *worth, *self.activity("volume")])
 
     @property
     def market_cap(self) -> Column:
-        own = self.first_positive(CAPS)
-        if own is not None:
-            return own
-        past = self.activity("turnover")
-        return self.shares * self.price if past is None else past
+        return first_of([*self.choice(CAPS), *self.activity("turnover")], self.shares * self.price)
 
-    def _pair(self, name: str, ask: Column, bid: Column, both: Column) -> Column:
+    def of_side(self, name: str, ask: Column, bid: Column, both: Column) -> Column:
         side = re.match(r"^(?:postopen_(?:v2_)?|total_)?(ask|bid)_", name)
-        value = both if side is None else (ask if side.group(1) == "ask" else bid)
-        return F.when(value > 0, value)
+        return _positive({"ask": ask, "bid": bid, None: both}[side and side.group(1)])
 
-    def side_depth(self, name: str) -> Column:
-        ask, bid = self.above_zero("ask_depth_10"), self.above_zero("bid_depth_10")
-        return self._pair(name, ask, bid, (ask + bid) / 2.0)
 
-    def side_count(self, name: str) -> Column:
-        ask, bid = self.above_zero("total_ask_count"), self.above_zero("total_bid_count")
-        return self._pair(name, ask, bid, ask + bid)
+def first_of(guarded: Sequence[tuple[Column, Column]], otherwise: Column | None = None) -> Column:
+    """The value of the first guard that holds."""
+    out = otherwise if otherwise is not None else F.lit(None).cast("double")
+    for test, value in reversed(guarded):
+        out = F.when(test, value).otherwise(out)
+    return out
 
-    @property
-    def book_count(self) -> Column:
-        total = self.above_zero("total_ask_count") + self.above_zero("total_bid_count")
-        return F.when(total > 0, total)
-
-    def history(self, name: str) -> Column | None:
-        for w in (20, 60):
-            c = f"hist_surprise_{name}_{w}d_ratio"
-            if c in self.present:
-                return log_positive(c)
-        return None
-
-
-def _price(n: str, v: Column, kinds: set[str], r: References, tick: float) -> Column:
-    if n == "mid_price":
-        return safe_div(F.lit(tick), F.when(v > 0, v)) * BPS
-    if n == "bid_price_1":
-        return safe_div(r.mid - v, r.mid) * BPS
-    if n.startswith("trade_vwap_"):
-        return safe_div(v - r.price, r.price) * BPS
-    if n != "ask_price_1" and "price_move" in kinds:
-        return safe_div(v, r.price) * BPS
-    return safe_div(v - r.mid, r.mid) * BPS
-
-
-def _log_count(v: Column) -> Column:
-    return F.log1p(F.greatest(v, F.lit(0.0))) * F.when(v.isNotNull(), 1.0)
-
-
-def plain_value(n: str, v: Column, kinds: set[str], r: References, tick: float) -> Column:
-    """First version: prices in bps to mid, log counts, queue shares, signed log notionals."""
-    if n == "exch_time_offset_us":
-        return v / 1e6
-    if n == "spread_abs":
-        return v / tick
-    if "count" in kinds:
-        return _log_count(v)
-    if "unitless" in kinds:
-        return v
-    if "price" in kinds:
-        return _price(n, v, kinds, r, tick)
-    if "traded" in kinds:
-        return signed_log(v * r.price)
-    if kinds & {"level", "depth"}:
-        return safe_div(v, r.side_depth(n))
-    return signed_log(v) if "notional" in kinds else v
-
-
-def history_value(n: str, v: Column, kinds: set[str], r: References, tick: float) -> Column:
-    """Second version: log ratios to own history where there is one, log depth notionals."""
-    if n == "exch_time_offset_us":
-        return v / 1e6
-    if "history" in kinds:
-        return log_positive(v)
-    if n == "spread_abs":
-        return v / tick
-    past = r.history(n)
-    if "count" in kinds:
-        return _log_count(v) if past is None else past
-    if "price" in kinds:
-        return _price(n, v, kinds, r, tick)
-    if "depth" in kinds:
-        return signed_log(v * r.price)
-    if "level" in kinds:
-        return safe_div(v, r.side_depth(n))
-    if "unitless" in kinds:
-        return v
-    if "traded" in kinds:
-        return signed_log(v) if past is None else past
-    return signed_log(v) if "notional" in kinds else v
-
-
-def ratio_value(n: str, v: Column, kinds: set[str], r: References, tick: float) -> Column:
-    """Third version: strict ratios to shares, market value, side depth and side order counts."""
-    if n == "exch_time_offset_us":
-        # ten-minute units since 09:30
-        return (v - 34_200_000_000.0) / 600_000_000.0
-    if n == "postopen_minutes_since_0930":
-        return v / 10.0
-    if kinds & {"unitless", "history"}:
-        return v
-    if n == "spread_abs":
-        return v / tick
-    if "price" in kinds:
-        return _price(n, v, kinds, r, tick)
-    if "level" in kinds:
-        return safe_div(v, r.side_depth(n))
-    if "depth" in kinds:
-        return F.coalesce(safe_div(v, r.shares), safe_div(v * r.price, r.market_cap))
-    if "traded" in kinds:
-        return safe_div(v, r.shares)
-    if "notional" in kinds:
-        return safe_div(v, r.market_cap)
-    if "count" in kinds:
-        whole = n == "trade_num" or n.startswith("total_")
-        return safe_div(v, r.book_count if whole else r.side_count(n))
-    return v
-
-
-VERSIONS = {1: plain_value, 2: history_value, 3: ratio_value}
+
+@dataclass(frozen=True)
+class Value:
+    """A column to be rewritten: its name, kinds and value, and what it can be measured against."""
+
+    name: str
+    kinds: set[str]
+    v: Column
+    refs: References
+    tick: float
+
+    def depth(self) -> Column:
+        ask, bid = self.refs.column("ask_depth_10"), self.refs.column("bid_depth_10")
+        return self.refs.of_side(self.name, ask, bid, (ask + bid) / 2.0)
+
+    def orders(self) -> Column:
+        ask, bid = self.refs.column("total_ask_count"), self.refs.column("total_bid_count")
+        if self.name == "trade_num" or self.name.startswith("total_"):
+            return _positive(ask + bid)
+        return self.refs.of_side(self.name, ask, bid, ask + bid)
+
+
+# how a price is quoted in bps: what is measured, and against what
+QUOTES = {
+    "middle": lambda x: (F.lit(x.tick), _positive(x.v)),
+    "bid": lambda x: (x.refs.mid - x.v, x.refs.mid),
+    "paid": lambda x: (x.v - x.refs.price, x.refs.price),
+    "move": lambda x: (x.v, x.refs.price),
+    "level": lambda x: (x.v - x.refs.mid, x.refs.mid),
+}
+QUOTED = {"mid_price": "middle", "bid_price_1": "bid"}
+
+
+def quoted(x: Value) -> Column:
+    usual = "paid" if x.name.startswith("trade_vwap_") else "move" if "price_move" in x.kinds else "level"
+    return safe_div(*QUOTES[QUOTED.get(x.name, usual)](x)) * BPS
+
+
+# one formula per way to lose a unit; a list holds guarded values, and what follows in the version's list serves otherwise
+FORMULAS: dict[str, Callable[[Value], Column | list[tuple[Column, Column]]]] = {
+    "keep": lambda x: x.v,
+    "seconds": lambda x: x.v / 1e6,
+    "ten minutes of the session": lambda x: (x.v - 34_200_000_000.0) / 600_000_000.0,
+    "tens": lambda x: x.v / 10.0,
+    "ticks": lambda x: x.v / x.tick,
+    "bps": quoted,
+    "log count": lambda x: F.when(x.v.isNotNull(), F.log1p(F.greatest(x.v, F.lit(0.0)))),
+    "log": lambda x: log_positive(x.v),
+    "signed log": lambda x: signed_log(x.v),
+    "log of notional": lambda x: signed_log(x.v * x.refs.price),
+    "log of own history": lambda x: x.refs.history(x.name),
+    "of side depth": lambda x: safe_div(x.v, x.depth()),
+    "of side orders": lambda x: safe_div(x.v, x.orders()),
+    "of shares": lambda x: safe_div(x.v, x.refs.shares),
+    "of shares or value": lambda x: F.coalesce(safe_div(x.v, x.refs.shares), safe_div(x.v * x.refs.price, x.refs.market_cap)),
+    "of market value": lambda x: safe_div(x.v, x.refs.market_cap),
+}
+
+# fixed values: per version, which formula serves which kind; the first kind that a column has decides
+VERSIONS = {
+    1: (
+        ("clock", "seconds"), ("spread", "ticks"), ("count", "log count"), ("unitless", "keep"), ("price", "bps"), ("traded", "log of notional"),
+        ("level", "of side depth"), ("depth", "of side depth"), ("notional", "signed log"),
+    ),
+    2: (
+        ("clock", "seconds"), ("history", "log"), ("spread", "ticks"), ("count", "log of own history"), ("count", "log count"), ("price", "bps"),
+        ("depth", "log of notional"), ("level", "of side depth"), ("unitless", "keep"), ("traded", "log of own history"), ("traded", "signed log"),
+        ("notional", "signed log"),
+    ),
+    3: (
+        ("clock", "ten minutes of the session"), ("minutes", "tens"), ("unitless", "keep"), ("history", "keep"), ("spread", "ticks"), ("price", "bps"),
+        ("level", "of side depth"), ("depth", "of shares or value"), ("traded", "of shares"), ("notional", "of market value"), ("count", "of side orders"),
+    ),
+}
+
+
+def unit_free(x: Value, version: int) -> Column:
+    """The value by the version's list; what no kind covers stays as it is."""
+    guarded: list[tuple[Column, Column]] = []
+    for kind, formula in VERSIONS[version]:
+        if kind in x.kinds:
+            made = FORMULAS[formula](x)
+            if not isinstance(made, list):
+                return first_of(guarded, made)
+            guarded += made
+    return first_of(guarded, x.v)
 
 
 def mechanism_values(
@@ -292,12 +276,16 @@ def mechanism_values(
     tick: float = 0.01,
     method: str = "average",
 ) -> DataFrame:
-    """Replace columns by unit-free values in one projection; optionally rank or scale them per group."""
+    """Replace columns by unit-free values in one projection; optionally rank or scale them per group.
+
+    Where a value depends on which reference columns are in use, one aggregate row over just those columns joins in.
+    """
     names = [c for c in dict.fromkeys(columns) if c in df.columns]
-    refs = References(df)
-    make = VERSIONS[version]
-    out = {c: finite(make(c.lower(), finite(c), kinds_of(c), refs, tick)).cast("float") for c in names}
-    done = df.withColumns(out)
+    refs = References(df.columns)
+    out = {c: finite(unit_free(Value(c.lower(), kinds_of(c), finite(c), refs, tick), version)).cast("float") for c in names}
+    # a single row of flags, whatever the table
+    rows = df.crossJoin(F.broadcast(df.agg(*[test.alias(name) for name, test in refs.flags.items()]))) if refs.flags else df
+    done = rows.withColumns(out).select(*df.columns)
     return done if cross_section == "none" else replace_values(done, names, keys, cross_section, method)
 
 
