@@ -146,3 +146,19 @@ def test_levels_of_cut_points_keep_blocks_small_and_in_order(spark, frame, small
     want = pd.DataFrame(rows(), columns=["k", "id", "t", "v"]).sort_values(["k", "t", "id"])
     want["p"] = want.groupby("k").cumcount() + 1
     assert {tuple(r) for r in got} == set(zip(want.id, want.p))
+
+
+def test_copies_are_not_counted_again(spark):
+    """Sizes measured on the source hold for its copies under a new column, and only with it in the keys."""
+    from tickloom.operators.groups import carry_copies, hot_groups, known
+
+    df = spark.range(20).selectExpr("id % 4 AS k", "id")
+    long = carry_copies(df.crossJoin(spark.range(3).withColumnRenamed("id", "copy")), df, ["k"], "copy")
+    assert known(long)[1] == {frozenset({"k", "copy"})}
+    spark.conf.set("tickloom.groupRows", "7")
+    try:
+        hot = carry_copies(long.select("*"), df, ["k"], "copy")
+        assert hot_groups(hot, ["k", "copy"]) is None and hot_groups(hot, ["k"]) is not None
+        assert not known(carry_copies(long.select("*"), df.withColumn("k", df["k"] % 2), ["k"], "copy"))[1]
+    finally:
+        spark.conf.unset("tickloom.groupRows")

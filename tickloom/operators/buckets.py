@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import BPS, above_zero, correlation, finite, safe_div, share
 from tickloom.operators.evaluate import newey_west, with_place
-from tickloom.operators.groups import attach, carry, group_columns, over, quantiles, ranks, running
+from tickloom.operators.groups import attach, carry, carry_copies, group_columns, over, quantiles, ranks, running
 
 
 def ranked_rows(df: DataFrame, keys: Sequence[str], score: str, label: str, unique: Sequence[str]) -> DataFrame:
@@ -312,6 +312,7 @@ def condition_effects(
     long = df.select(*base, *flags).unpivot(base, list(conditions), "condition", "flag").dropna(subset=[score])
     long = long.withColumn("flag", F.coalesce("flag", F.lit(False)))
     cells = ["condition", *keys]
+    long = carry_copies(long, df, keys, "condition")
     placed = with_place(long, cells, score, unique, out="_place")
     # rows under the condition go behind all others, so the same n picks their replacements
     flag_count = running(
@@ -347,7 +348,7 @@ def condition_groups(
     base = list(dict.fromkeys([*keys, *unique, score, label, *by]))
     rows = df.where(finite(score).isNotNull() & finite(label).isNotNull())
     cells = F.array(*[F.struct(F.lit(c).alias("condition"), F.coalesce(F.col(c).cast("boolean"), F.lit(False)).alias("_flag")) for c in conditions])
-    long = rows.select(*base, F.inline(cells))
+    long = carry_copies(rows.select(*base, F.inline(cells)), rows, keys, "condition")
     placed = with_place(long, ["condition", *keys], score, unique, out="_place")
     placed = with_place(placed, ["condition", *keys, "_flag"], score, unique, out="_own_place")
     y, chosen, flag = F.col(label) * BPS, F.col("_place") <= n, F.col("_flag")

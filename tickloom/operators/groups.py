@@ -52,6 +52,14 @@ def carry(new: DataFrame, old: DataFrame, keys: Sequence[str] | None = None) ->
     return new
 
 
+def carry_copies(new: DataFrame, old: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Hand on the sizes of groups of ``old`` to a frame with each of its rows at most once per value of the new column
+    ``name``: no group by keys and name is larger than the one by keys. Only the narrower frame is counted, if at all."""
+    if hot_groups(old, keys) is None:
+        new._measured = (group_rows(old), frozenset({frozenset([*keys, name])}))
+    return new
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """Groups above the row limit with their size, or None when there are none."""
     limit = group_rows(df)

@@ -12,7 +12,7 @@ from tickloom.functions.numeric import BPS, above_zero, clip, finite, share
 from tickloom.operators.checks import rank_guard
 from tickloom.operators.cross import descending_score, rank_share
 from tickloom.operators.evaluate import with_place
-from tickloom.operators.groups import attach, carry, group_columns, group_median, quantiles
+from tickloom.operators.groups import attach, carry, carry_copies, group_columns, group_median, quantiles
 from tickloom.operators.solve import fitted, group_coefficients
 from tickloom.operators.targets import risk_components
 
@@ -79,10 +79,10 @@ def score_variants(
 ) -> DataFrame:
     """Group metrics per variant: candidates, selected rows, top mean and excess per label."""
     kept = list(dict.fromkeys([*keys, *unique, *labels.values(), *([mask] if mask else [])]))
-    rows = variant_scores(df, alpha, variants, kept, mask)
     cells = ["variant", *keys]
     # a missing score is placed last, behind all candidates
-    rows = rows.withColumn("_s", F.coalesce("final_score", F.lit(float("-inf"))))
+    rows = variant_scores(df, alpha, variants, kept, mask).withColumn("_s", F.coalesce("final_score", F.lit(float("-inf"))))
+    rows = carry_copies(rows, df, keys, "variant")
     placed = with_place(rows, cells, "_s", unique)
     top = F.col("candidate") & (F.col("place") <= n)
     columns = []
