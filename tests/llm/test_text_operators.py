@@ -349,3 +349,43 @@ def test_secret_scan_finds_keys_of_one_kind(spark, make_docs):
     assert sum("random" in spans[i] for i in kinds if kinds[i] == "lower") >= 17
     assert sum("random" in spans[i] for i in kinds if kinds[i] == "upper") >= 17
     assert not any("random" in spans[i] for i in range(20)) and not any("random" in spans[900 + i] for i in range(20))
+
+
+def jaccard(a, b):
+    sets = []
+    for text in (a, b):
+        words = text.lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_with_repeated_passages_by_overlap(spark, make_docs):
+    """Overlap of shingle sets decides, however often a text repeats a passage; only clear cases are held to it."""
+    texts = []
+    for k in range(12):
+        base = prose(300, 1000 + k)
+        words = base.split()
+        passage = " ".join(words[:60])
+        texts += [base, f"{base} {base} five more words at end", " ".join([base] * 3), f"{base} {' '.join([passage] * 6)}", " ".join(words[:150]), prose(300, 2000 + k)]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(make_docs(list(enumerate(texts))), 5, simhash.similar(0.8)).collect()}
+    for i, text in enumerate(texts):
+        overlaps = [jaccard(text, texts[j]) for j in range(len(texts)) if j != i]
+        if max(overlaps) < 0.6:
+            assert i in kept
+        if any(jaccard(text, texts[j]) >= 0.93 for j in range(i)):
+            assert i not in kept
+
+
+def test_dropping_many_lines_is_linear(spark, make_docs):
+    """Twice a document of many lines: the copy loses them all, in a time that does not square."""
+    import time
+
+    def seconds(n):
+        text = "\n".join(f"{prose(14, k)} end" for k in range(n))
+        start = time.perf_counter()
+        rows = {r.doc_id: (r.text, r.n_dropped) for r in lines.dedup_lines(make_docs([(1, text), (2, text + "\nown")])).collect()}
+        assert rows == {1: (text, 0), 2: ("own", n)}
+        return time.perf_counter() - start
+
+    seconds(10)
+    assert seconds(8000) < 12 * max(1.0, seconds(1000))

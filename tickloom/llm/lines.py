@@ -127,7 +127,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text = F.col("row")["text"]
     lines = F.split(text, "\n", -1)
     gone = F.coalesce("k_lines", F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(gone, i.cast("int"))), "\n")
+    # numbers of the lines that stay, by set, and then those lines: linear in the lines; both arrays are bound once a row
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    bound = F.array(F.struct(lines.alias("lines"), numbers.alias("kept")))
+    picked = F.transform(bound, lambda b: F.array_join(F.transform(b["kept"], lambda i: F.get(b["lines"], i)), "\n"))
+    kept = F.get(picked, F.lit(0))
     untouched = F.col("k_lines").isNull()
     new = {"text": F.when(untouched, text).otherwise(kept)}
     if "n_chars" in columns:

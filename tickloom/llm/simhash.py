@@ -38,7 +38,8 @@ class Form:
 
     ``lanes`` 64-bit words, the first one the plain fingerprint; ``radius`` bits may differ in all, ``first`` of them in
     the first word. Tiles go by set bits in ``slices`` slices of the first word, in steps of ``width``; with ``banded``
-    also by length, and only texts whose shingle counts lie in the same or in neighbouring bands are compared.
+    also by length, and only texts whose shingle counts lie in the same or in neighbouring bands are compared. With
+    ``distinct`` a shingle counts once however often a text repeats it, so texts are compared as sets.
     """
 
     lanes: int = 1
@@ -47,17 +48,19 @@ class Form:
     slices: int = 4
     width: int = 1
     banded: bool = False
+    distinct: bool = False
 
 
 def similar(similarity: float, lanes: int = 4) -> Form:
     """The form that links texts whose shingle sets overlap by ``similarity`` (Jaccard) or more.
 
     Such texts differ in a share of bits given by the angle between them; the radius lies 1.65 standard deviations above
-    that (about 95 % found), the one of the first word 2.3 above. Their lengths differ by ``BAND`` at most.
+    that (about 95 % found), the one of the first word 2.3 above. Their numbers of different shingles differ by ``BAND`` at
+    most, so the same fingerprint in bands further apart stands for texts that are not alike.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     reach = lambda n, z: round(n * share + z * math.sqrt(n * share * (1 - share)))
-    return Form(lanes, reach(64 * lanes, 1.65), reach(64, 2.3), 1, 4, True)
+    return Form(lanes, reach(64 * lanes, 1.65), reach(64, 2.3), 1, 4, True, True)
 
 
 SIMILAR = similar(0.8)
@@ -74,20 +77,28 @@ def _lanes(h: np.ndarray, lanes: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def fingerprint_of(text: str, words: int, lanes: int = 1) -> tuple[list[int], int]:
-    """Words of the fingerprint, and the number of shingles. A bit is set where over half the hashes set it; all are 0
-    where the text has no word."""
+def fingerprint_of(text: str, words: int, lanes: int = 1, distinct: bool = False) -> tuple[list[int], int]:
+    """Words of the fingerprint, and the number of (distinct) shingles. A bit is set where over half the hashes set it; all
+    are 0 where the text has no word."""
     parts = text.encode().lower().split()  # on bytes: lowers A-Z alone, splits on \x20 and \x09-\x0D alone
     if not parts:
         return [0] * lanes, 0
     n = max(1, len(parts) - words + 1)
     digest = xxhash.xxh64_intdigest
     ones = np.zeros(64 * lanes, np.int64)
-    for start in range(0, n, CHUNK):
+
+    def hashes(start: int) -> np.ndarray:
         piece = parts[start : min(start + CHUNK, n) + words - 1]
         # fewer words than a shingle has: the whole sequence
         shingles = map(b" ".join, zip(*(piece[i:] for i in range(words)), strict=False)) if len(parts) >= words else [b" ".join(parts)]
-        h = np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
+        return np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
+
+    pieces = map(hashes, range(0, n, CHUNK))
+    if distinct:
+        different = np.unique(np.concatenate(list(pieces)))
+        n = len(different)
+        pieces = (different[start : start + CHUNK] for start in range(0, n, CHUNK))
+    for h in pieces:
         bits = np.unpackbits(_lanes(h, lanes).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
         for at in range(0, len(bits), 255):  # sums of bytes that cannot overflow
             ones += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
@@ -96,15 +107,17 @@ def fingerprint_of(text: str, words: int, lanes: int = 1) -> tuple[list[int], in
 
 
 def fingerprints(docs: DataFrame, keep: list[Column], text: Column, words: int, form: Form) -> DataFrame:
-    """``keep``, ``node`` (the fingerprint, or a hash of its words where it has several), ``fp`` (its words, signed) and
-    ``band`` of every row. A null text is empty."""
+    """``keep``, ``node`` (the fingerprint, or a hash of its words and the band), ``fp`` (its words, signed) and ``band`` of
+    every row. A null text is empty."""
 
     def start():
         def work(texts: list[str]) -> list[list]:
-            found = [fingerprint_of(t, words, form.lanes) for t in texts]
+            found = [fingerprint_of(t, words, form.lanes, form.distinct) for t in texts]
             lanes = [np.array(f, np.uint64).view(np.int64) for f, _ in found]
-            nodes = [int(f[0]) if form.lanes == 1 else np.uint64(xxhash.xxh64_intdigest(f.tobytes())).view(np.int64).item() for f in lanes]
             bands = [int(math.log(n + 1) / math.log(BAND)) if form.banded else 0 for _, n in found]
+            # one node per fingerprint and band
+            named = lambda f, b: np.uint64(xxhash.xxh64_intdigest(f.tobytes(), b)).view(np.int64).item()
+            nodes = [int(f[0]) if form.lanes == 1 and not form.banded else named(f, b) for f, b in zip(lanes, bands, strict=True)]
             return [nodes, lanes, bands]
 
         return work
