@@ -388,4 +388,4 @@ def test_dropping_many_lines_is_linear(spark, make_docs):
         return time.perf_counter() - start
 
     seconds(10)
-    assert seconds(8000) < 12 * max(1.0, seconds(1000))
+    assert seconds(4000) < 12 * max(1.0, seconds(500))

@@ -77,8 +77,9 @@ def templates_of(line: str) -> list[tuple[int, int]]:
     return [whole, *(t for t in one + two if t[1] >= MIN_CONSTANT)]
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    """``k_id, k_text, keys, constants, lines``: templates of the lines of each row, in parallel arrays."""
+def _keys(docs: DataFrame, once: bool = False) -> DataFrame:
+    """``doc_id, k_text, keys, constants, lines``: templates of the lines of each row, in parallel arrays; with ``once``
+    each template only at the first line that has it."""
 
     def start():
         def work(texts: list[str]) -> list[list]:
@@ -86,9 +87,10 @@ def _keys(docs: DataFrame) -> DataFrame:
             for text in texts:
                 found = [(k, c, i) for i, line in enumerate(text.split("\n")) for k, c in templates_of(line)]
                 made = np.array([f[0] for f in found], np.uint64).view(np.int64)
-                keys.append(made)
-                constants.append(np.array([f[1] for f in found], np.int32))
-                numbers.append(np.array([f[2] for f in found], np.int32))
+                at = np.unique(made, return_index=True)[1] if once else slice(None)
+                keys.append(made[at])
+                constants.append(np.array([f[1] for f in found], np.int32)[at])
+                numbers.append(np.array([f[2] for f in found], np.int32)[at])
             return [keys, constants, numbers]
 
         return work
@@ -100,7 +102,7 @@ def _keys(docs: DataFrame) -> DataFrame:
 def recurring_templates(docs: DataFrame) -> DataFrame:
     """``key, first``: templates that recur, with the smallest id that has them. A row is a document; a template counts
     once in it however often it stands there."""
-    once = _keys(docs).select("doc_id", F.explode(F.array_distinct(F.arrays_zip("keys", "constants"))).alias("t"))
+    once = _keys(docs, once=True).select("doc_id", F.explode(F.arrays_zip("keys", "constants")).alias("t"))
     counted = once.groupBy(F.col("t.keys").alias("key")).agg(
         F.count("*").alias("n"), F.max("t.constants").alias("constant"), F.min("doc_id").alias("first")
     )
