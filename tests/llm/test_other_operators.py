@@ -223,7 +223,7 @@ def test_neighbours_recall_and_scores(spark, shard_rows, block_rows):
     assert np.mean([len({i for _, i, _ in found[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
     assert [i for _, i, _ in found[500]] == list(range(501, 511))
     for q, rows in found.items():
-        assert [n for n, _, _ in rows] == list(range(1, 11)) and rows == sorted(rows, key=lambda x: (x[2], x[1]))
+        assert [n for n, _, _ in rows] == list(range(1, 14)) and rows == sorted(rows, key=lambda x: (x[2], x[1]))
         assert all(s == pytest.approx(float(np.sqrt(((v[q] - v[i]) ** 2).sum())), rel=1e-12) for _, i, s in rows)
 
 
@@ -247,7 +247,7 @@ def test_query_matches_sql(spark, name):
 
 @tables
 def test_every_dealt_operator_has_a_query(spark):
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 14))
     import __spark_entry__ as entry
 
     assert set(LLM_QUERIES) | {"pipeline"} <= set(entry.queries())
