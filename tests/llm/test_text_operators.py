@@ -208,24 +208,69 @@ def test_lines_match_with_scattered_changes(spark, make_docs, n, change):
     assert got == {0: 0, **{i: 1 for i in range(1, 8)}}
 
 
+def plain_templates(line):
+    """Every template of a line, spelled out, with its number of constant tokens."""
+    tokens = ["#" if any(c.isdecimal() for c in t) else t for t in line.split()]
+    n, made = len(tokens), {("line", *tokens)} if tokens else set()
+    for m in (n, n - 1) if n >= 5 else ():
+        thirds = [2 + (m - 2) * i // 3 for i in range(4)]
+        cuts = [(0, 2), *zip(thirds, thirds[1:])]
+        if n >= 8:
+            cuts += [(m * i // 4, m * (i + 2) // 4) for i in range(3)]
+        for a, b in cuts:
+            made.add((m, a, b, *tokens[:a], "*", *tokens[n - m + b :]))
+    if n >= 8:
+        for gone in ((0, 2), (0, 3), (1, 3)):
+            made.add((n, gone, *(t if i not in gone else "*" for i in range(4) for t in (tokens[n * i // 4 : n * (i + 1) // 4] if i not in gone else "*"))))
+    with_constants = {(t, sum(isinstance(x, str) and x not in "#*" for x in t) - (t[0] == "line")) for t in made}
+    return {(t, c) for t, c in with_constants if c >= (1 if t[0] == "line" else 3)}
+
+
 def plain_dedup(rows):
     """Counts every template over all rows and drops lines template by template."""
     seen = {}
     for i, text in rows:
-        for key in {k for line in (text or "").split("\n") for k in lines.templates_of(line)}:
+        for key in {k for line in (text or "").split("\n") for k in plain_templates(line)}:
             seen.setdefault(key[0], []).append((i, key[1]))
-    recurring = {k: min(i for i, _ in v) for k, v in seen.items() if len(v) >= 2 and len(v) * max(c for _, c in v) >= lines.MIN_REPEATED}
+    recurring = {k: min(i for i, _ in v) for k, v in seen.items() if len(v) >= 2 and len(v) * max(c for _, c in v) >= 24}
     return {
-        i: "\n".join(x for x in text.split("\n") if not any(recurring.get(k, i) != i for k, _ in lines.templates_of(x))) for i, text in rows
+        i: "\n".join(x for x in text.split("\n") if not any(recurring.get(k, i) != i for k, _ in plain_templates(x))) for i, text in rows
     }
 
 
 def test_lines_match_brute_force(spark, make_docs):
-    pool = [prose(n, 3000 + n) for n in range(1, 25)]
+    pool = [prose(n, 3000 + n) for n in range(1, 45)]
     r = random.Random(8)
-    rows = [(i, "\n".join(r.choice(pool) if r.random() < 0.3 else prose(r.randint(0, 20), r.random()) for _ in range(r.randint(1, 9)))) for i in range(80)]
+
+    def line():
+        if r.random() >= 0.4:
+            return prose(r.randint(0, 45), r.random())
+        tokens = r.choice(pool).split()
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(len(tokens) + 1)
+            tokens[at : at + r.randint(0, 1)] = r.choice([[], [f"no{r.randrange(99)}"], [prose(1, r.random())]])
+            tokens = tokens or ["left"]
+        return "  ".join(tokens)
+
+    rows = [(i, "\n".join(line() for _ in range(r.randint(1, 9)))) for i in range(160)]
     got = {x.doc_id: x.text for x in lines.dedup_lines(make_docs(rows)).collect()}
-    assert got == plain_dedup(rows)
+    want = plain_dedup(rows)
+    assert got == want
+    assert 100 < sum(t.count("\n") - want[i].count("\n") for i, t in rows)
+
+
+def test_templates_do_not_depend_on_how_lines_are_held(monkeypatch):
+    text = "\n".join(f"{prose(r, r)} {'7' * (r % 3)}" for r in range(1, 60))
+    whole = lines._found([text, None, text], lines.Names())
+    monkeypatch.setattr(lines, "HELD", 7)
+    parts = lines._found([text, None, text], lines.Names())
+    assert sorted(zip(*map(list, whole))) == sorted(zip(*map(list, parts)))
+
+
+def test_short_lines_recur_by_their_count(spark, make_docs):
+    rows = [(i, f"{prose(9, 700 + i)}\nRead more.\n{i}") for i in range(12)] + [(20 + i, f"Go {i}\n{prose(9, 800 + i)}\nhome") for i in range(11)]
+    got = {r.doc_id: r.n_dropped for r in lines.dedup_lines(make_docs(rows)).collect()}
+    assert got == {i: int(0 < i < 12) for i in got}
 
 
 def test_lines_repeats_null_ids_and_copies(spark, make_docs):

@@ -1,112 +1,215 @@
-"""Line dedup with log templates.
+"""Line dedup with a log-template tree of fixed depth.
 
-Tokens with digits are fields. The templates of a line are the line itself, the line with its leading tokens or a third
-of the rest generalised to a field, and the line with any two of ``BANDS`` stretches generalised. Where what is left out
-lies side by side, the rest is counted from the end of the line, and the line counts both as one of its own number of
-tokens and as one of one token less: so a token more or less does not part two lines. Lines that differ in digits
-anywhere, in one or two stretches, or by one token thus share a template. Templates are counted over all
-documents at once: no state depends on the order of lines, and a hot template is a key whose counts are summed before
-the shuffle.
+A line descends by its number of tokens, then by its leading tokens or the branch that leaves them open, to a leaf, where
+lines are alike that have at least half of their tokens at equal positions. Tokens with digits are fields everywhere. In a
+leaf, what is not equal has to lie in one third of the rest or in any two of ``BANDS`` stretches of the line: the templates
+of a line are the line itself and the line with these stretches, or the leading tokens, generalised. Where what is left
+out lies side by side, the rest is counted from the end of the line, and the line descends both under its own number of
+tokens and under one less: so a token more or less does not part two lines. Templates are names of paths through the tree,
+counted over all documents at once: no state depends on the order of lines, and a hot template is a key whose counts are
+summed before the shuffle.
 
 A template recurs when the tokens it repeats, constant tokens times documents, reach ``MIN_REPEATED`` in at least two
 documents. Lines of recurring templates are dropped from every document but the first (smallest id) that has them, so
 whole copies keep one copy.
+
+Texts are read twice. The first pass counts templates. The second one places them, and passes on what meets a table of
+``2 ** BITS`` bits that marks the recurring ones; the join with these decides. The table's size is fixed: the more templates
+recur, the less it holds back, which costs shuffles and changes no result.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import chain
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.text import map_text
+from tickloom.llm.text import prepare
+from tickloom.session import checkpoint
 
 DEPTH = 2  # leading tokens
 BANDS = 4
 MIN_REPEATED = 24
-MIN_CONSTANT = 3
+MIN_CONSTANT = 3  # of a template with something generalised
 MIN_GENERAL = 5  # tokens from which one stretch is generalised
 MIN_PAIRS = 8  # tokens from which two stretches are generalised
+BITS = 26  # of a place in the table of recurring templates
+HELD = 1 << 19  # tokens that are worked on together
 
 DIGIT = re.compile(r"\d")
-FIELD = "\x00"
-APART = [(i, j) for i in range(BANDS) for j in range(i + 2, BANDS)]  # pairs of stretches not side by side
+FIELD = xxhash.xxh64_intdigest("\x00")
+STEP = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
+BACK = pow(STEP, -1, 1 << 64)
+APART = {(i, j): [k for k in range(BANDS) if k not in (i, j)] for i in range(BANDS) for j in range(i + 2, BANDS)}
+
+COUNTED = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("constant", pa.int32()), ("first", pa.int64())])
+PLACED = pa.schema([("doc_id", pa.int64()), ("k_text", pa.int64()), ("key", pa.int64()), ("line", pa.int32())])
+
+
+class Names(dict):
+    """Hashes of tokens; all tokens with digits have the same one. Remembers a bounded number of them."""
+
+    def __missing__(self, token: str) -> int:
+        made = FIELD if DIGIT.search(token) else xxhash.xxh64_intdigest(token)
+        if len(self) < 1 << 18:
+            self[token] = made
+        return made
 
 
-def templates_of(line: str) -> list[tuple[int, int]]:
-    """``(key, constant tokens)`` of the line's templates, the most special first.
+def _named(*parts) -> np.ndarray:
+    """One number per row from columns of numbers, by their order."""
+    state = np.zeros(1, np.uint64)
+    for part in parts:
+        state = state * np.uint64(STEP) + np.asarray(part).astype(np.uint64)
+        state = (state ^ (state >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        state ^= state >> np.uint64(32)
+    return state
+
+
+def templates(tokens: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``keys, constant tokens, lines`` of the templates of lines, given the hashes of their tokens one after the other.
 
     Where every template with two stretches left out has tokens enough to recur in two documents, the others could only
     find what these find too and are left out.
     """
-    tokens = line.split()
-    n = len(tokens)
-    fields = 0
-    if DIGIT.search(line):
-        tokens = [FIELD if DIGIT.search(t) else t for t in tokens]
-        fields = tokens.count(FIELD)
-    if n - fields < MIN_CONSTANT:
-        return []
-    digest = xxhash.xxh64_intdigest
-    whole = (digest(" ".join(tokens), n), n - fields)
-    if n < MIN_GENERAL:
-        return [whole]
-    one, two = [], []
+    starts = np.cumsum(sizes) - sizes
+    places = np.arange(len(tokens)) - np.repeat(starts, sizes)
+    longest = int(sizes.max(initial=0)) + 1
+    power, back = (np.cumprod(np.r_[np.uint64(1), np.full(longest, x, np.uint64)]) for x in (STEP, BACK))
+    sums = np.r_[np.uint64(0), np.cumsum(tokens * power[places])]
+    known = np.r_[0, np.cumsum(tokens != np.uint64(FIELD))]
+
+    def part(s, a, b):
+        """Name of the tokens from ``a`` to ``b`` of the lines that start at ``s``, and how many are constant."""
+        return (sums[s + b] - sums[s + a]) * back[a], known[s + b] - known[s + a]
+
+    def left_out(s, n, m, a, b):
+        (head, before), (tail, behind) = part(s, 0, a), part(s, n - m + b, n)
+        return _named(1, m, a, b, head, tail), before + behind
+
+    line = np.flatnonzero(sizes >= MIN_PAIRS)
+    s, n = starts[line], sizes[line]
+    two = []
     for m in (n, n - 1):
-        # a stretch: the leading tokens or a third of the rest; or two quarters of the line, side by side
-        thirds = [0, *(DEPTH + (m - DEPTH) * i // 3 for i in range(4))]
-        quarters = [m * i // BANDS for i in range(BANDS + 1)]
-        for step, cuts, to in ((1, thirds, one), (2, quarters, two)):
-            if step == 1 or n >= MIN_PAIRS:
-                for a, b in zip(cuts, cuts[step:], strict=False):
-                    head, tail = tokens[:a], tokens[n - m + b :]
-                    constant = len(head) + len(tail) - (head.count(FIELD) + tail.count(FIELD) if fields else 0)
-                    to.append((digest(f"{m} {a} {b} {' '.join(head)} {FIELD}{FIELD} {' '.join(tail)}"), constant))
-        if m == n and n >= MIN_PAIRS:
-            bands = [tokens[a:b] for a, b in zip(quarters, quarters[1:], strict=False)]
-            for i, j in APART:
-                kept = [[FIELD + FIELD] if k in (i, j) else band for k, band in enumerate(bands)]
-                gone = sum(len(bands[k]) - bands[k].count(FIELD) for k in (i, j))
-                two.append((digest(f"{m} {i},{j} {' '.join(chain(*kept))}"), n - fields - gone))
-    if two and min(c for _, c in two) * 2 >= MIN_REPEATED:
-        return two
-    return [whole, *(t for t in one + two if t[1] >= MIN_CONSTANT)]
-
-
-def _keys(docs: DataFrame, once: bool = False) -> DataFrame:
-    """``doc_id, k_text, keys, constants, lines``: templates of the lines of each row, in parallel arrays; with ``once``
-    each template only at the first line that has it."""
-
-    def start():
-        def work(texts: list[str]) -> list[list]:
-            keys, constants, numbers = [], [], []
-            for text in texts:
-                found = [(k, c, i) for i, line in enumerate(text.split("\n")) for k, c in templates_of(line)]
-                made = np.array([f[0] for f in found], np.uint64).view(np.int64)
-                at = np.unique(made, return_index=True)[1] if once else slice(None)
-                keys.append(made[at])
-                constants.append(np.array([f[1] for f in found], np.int32)[at])
-                numbers.append(np.array([f[2] for f in found], np.int32)[at])
-            return [keys, constants, numbers]
-
-        return work
-
-    fields = {"keys": "array<long>", "constants": "array<int>", "lines": "array<int>"}
-    return map_text(docs, [F.col("doc_id"), F.xxhash64("text").alias("k_text")], F.col("text"), fields, start)
+        cuts = [m * i // BANDS for i in range(BANDS + 1)]
+        two += [left_out(s, n, m, a, b) for a, b in zip(cuts, cuts[2:], strict=False)]
+        if m is n:
+            bands = [part(s, a, b) for a, b in pairwise(cuts)]
+            for (i, j), (k, l) in APART.items():
+                two.append((_named(2, i, j, m, bands[k][0], bands[l][0]), bands[k][1] + bands[l][1]))
+    enough = np.minimum.reduce([c for _, c in two]) * 2 >= MIN_REPEATED
+    for key, constant in two:
+        kept = constant >= MIN_CONSTANT
+        yield key[kept], constant[kept], line[kept]
+
+    others = np.ones(len(sizes), bool)
+    others[line[enough]] = False
+    line = np.flatnonzero(others)
+    key, constant = part(starts[line], 0, sizes[line])
+    kept = constant >= 1
+    yield _named(0, sizes[line], key)[kept], constant[kept], line[kept]
+    line = line[sizes[line] >= MIN_GENERAL]
+    s, n = starts[line], sizes[line]
+    for m in (n, n - 1):
+        cuts = [np.zeros_like(m), *(DEPTH + (m - DEPTH) * i // 3 for i in range(4))]
+        for a, b in pairwise(cuts):
+            key, constant = left_out(s, n, m, a, b)
+            kept = constant >= MIN_CONSTANT
+            yield key[kept], constant[kept], line[kept]
+
+
+def _found(texts: list[str | None], names: Names) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``keys, constants, rows, lines`` of all templates of some texts."""
+    made: list[tuple] = []
+    tokens: list[str] = []
+    sizes: list[int] = []
+    rows: list[int] = []
+    numbers: list[int] = []
+
+    def work():
+        row, number = np.array(rows, np.int32), np.array(numbers, np.int32)
+        hashes = np.fromiter(map(names.__getitem__, tokens), np.uint64, len(tokens))
+        made.extend((key, constant, row[at], number[at]) for key, constant, at in templates(hashes, np.array(sizes, np.int64)))
+        for held in (tokens, sizes, rows, numbers):
+            held.clear()
+
+    for row, text in enumerate(texts):
+        for number, line in enumerate((text or "").split("\n")):
+            if own := line.split():
+                tokens += own
+                sizes.append(len(own))
+                rows.append(row)
+                numbers.append(number)
+                if len(tokens) >= HELD:
+                    work()
+    work()
+    return tuple(np.concatenate(column) for column in zip(*made, strict=True))
+
+
+def _pieces(schema: pa.Schema, *columns: np.ndarray | pa.Array) -> Iterator[pa.RecordBatch]:
+    """Columns as batches of a bounded number of rows."""
+    whole = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    yield from (whole.slice(k, 1 << 16) for k in range(0, whole.num_rows, 1 << 16))
 
 
 def recurring_templates(docs: DataFrame) -> DataFrame:
     """``key, first``: templates that recur, with the smallest id that has them. A row is a document; a template counts
-    once in it however often it stands there."""
-    once = _keys(docs, once=True).select("doc_id", F.explode(F.arrays_zip("keys", "constants")).alias("t"))
-    counted = once.groupBy(F.col("t.keys").alias("key")).agg(
-        F.count("*").alias("n"), F.max("t.constants").alias("constant"), F.min("doc_id").alias("first")
-    )
-    return counted.where((F.col("n") >= 2) & (F.col("n") * F.col("constant") >= MIN_REPEATED)).select("key", "first")
+    once in it however often it stands there. Written to the shared folder."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = Names()
+        for batch in batches:
+            key, constant, row, _ = _found(batch.column(1).to_pylist(), names)
+            if len(key):
+                order = np.lexsort((row, key))
+                key, constant, row = key[order], constant[order], row[order]
+                new = np.r_[True, key[1:] != key[:-1]]
+                once = new | np.r_[True, row[1:] != row[:-1]]
+                key, constant, row, at = key[once], constant[once], row[once], np.flatnonzero(new[once])
+                none = np.iinfo(np.int64).max
+                first = np.minimum.reduceat(batch.column(0).fill_null(none).to_numpy()[row], at)
+                first = pa.array(first, mask=first == none)
+                yield from _pieces(COUNTED, key[at].view(np.int64), np.diff(np.r_[at, len(key)]), constant[at], first)
+
+    made = prepare(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "key long, n long, constant int, first long")
+    counted = made.groupBy("key").agg(F.sum("n").alias("n"), F.max("constant").alias("constant"), F.min("first").alias("first"))
+    return checkpoint(counted.where((F.col("n") >= 2) & (F.col("n") * F.col("constant") >= MIN_REPEATED)).select("key", "first"))
+
+
+def _table(recurring: DataFrame) -> bytes:
+    """``2 ** BITS`` bits, those set that a recurring template points to with its upper bits."""
+    at = F.shiftrightunsigned("key", 64 - BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - BITS}) & 63 AS int))")
+    words = recurring.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table = np.zeros(1 << (BITS - 6), np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return table.tobytes()
+
+
+def _recurring_lines(docs: DataFrame) -> DataFrame:
+    """``doc_id, k_text, line``: places of lines to drop; a place may come several times."""
+    recurring = recurring_templates(docs)
+    table = _table(recurring)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, marks = Names(), np.frombuffer(table, np.uint64)
+        for batch in batches:
+            key, _, row, line = _found(batch.column(2).to_pylist(), names)
+            at = key >> np.uint64(64 - BITS)
+            met = (marks[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            key, row, line = key[met], row[met], line[met]
+            yield from _pieces(PLACED, batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), key.view(np.int64), line)
+
+    texts = prepare(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("k_text"), "text")
+    placed = texts.mapInArrow(place, "doc_id long, k_text long, key long, line int")
+    hits = placed.join(recurring, "key").where(~F.col("doc_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull())
+    return hits.select("doc_id", "k_text", "line")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -118,14 +221,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines stay as they are, in order.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    each = F.explode(F.arrays_zip("keys", "lines")).alias("t")
-    placed = _keys(docs).select("doc_id", "k_text", each).select("doc_id", "k_text", F.col("t.keys").alias("key"), F.col("t.lines").alias("line"))
-    hits = placed.join(recurring_templates(docs), "key").where(~F.col("doc_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull())
-    null_key = F.coalesce("doc_id", F.lit(-(1 << 62)))
-    marked = hits.select(null_key.alias("k_id"), "k_text", "line").groupBy("k_id", "k_text")
+    null_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))
+    marked = _recurring_lines(docs).select(null_key.alias("k_id"), "k_text", "line").groupBy("k_id", "k_text")
     marked = marked.agg(F.collect_set("line").alias("k_lines"))
     keyed = docs.select(F.struct(*columns).alias("row"), null_key.alias("k_id"), F.xxhash64("text").alias("k_text"))
-    joined = keyed.join(marked, ["k_id", "k_text"], "left")
+    # numbers of lines are small beside texts: hash them, so that texts need no sort
+    joined = keyed.join(marked.hint("shuffle_hash"), ["k_id", "k_text"], "left")
     text = F.col("row")["text"]
     lines = F.split(text, "\n", -1)
     gone = F.coalesce("k_lines", F.array().cast("array<int>"))
