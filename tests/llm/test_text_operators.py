@@ -261,10 +261,24 @@ def test_lines_match_brute_force(spark, make_docs):
 
 def test_templates_do_not_depend_on_how_lines_are_held(monkeypatch):
     text = "\n".join(f"{prose(r, r)} {'7' * (r % 3)}" for r in range(1, 60))
-    whole = lines._found([text, None, text], lines.Names())
+    whole = lines._found([text, None, text])
     monkeypatch.setattr(lines, "HELD", 7)
-    parts = lines._found([text, None, text], lines.Names())
-    assert sorted(zip(*map(list, whole))) == sorted(zip(*map(list, parts)))
+    parts = lines._found([text, None, text])
+    assert sorted(zip(*map(list, whole), strict=True)) == sorted(zip(*map(list, parts), strict=True))
+
+
+def test_tokens_are_those_of_split():
+    """Spaces and digits of any script; equal tokens have equal hashes, fields one."""
+    texts = ["a\u00a0b a\u2003٣x \x1fb\x85c", "", " \r\n\n a  é é2 É", "b a\x0bc\u3000a", None]
+    split = [line.split() for t in texts for line in (t or "").split("\n")]
+    plain = [t if t.isascii() else lines.ODD.sub(lambda m: " " if m[0].isspace() else "0", t) for t in (t or "" for t in texts)]
+    hashes, sizes = lines._tokens("\n".join(plain).encode())
+    flat = [t for line in split for t in line]
+    fields = [any(c.isdecimal() for c in t) for t in flat]
+    assert sizes.tolist() == [len(x) for x in split]
+    assert [h == lines.FIELD for h in hashes] == fields and sum(fields) == 2
+    named = {(t, int(h)) for t, h, f in zip(flat, hashes, fields, strict=True) if not f}
+    assert len(named) == len({t for t, _ in named}) == len({h for _, h in named})
 
 
 def test_short_lines_recur_by_their_count(spark, make_docs):

@@ -26,7 +26,6 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +39,14 @@ MIN_CONSTANT = 3  # of a template with something generalised
 MIN_GENERAL = 5  # tokens from which one stretch is generalised
 MIN_PAIRS = 8  # tokens from which two stretches are generalised
 BITS = 26  # of a place in the table of recurring templates
-HELD = 1 << 19  # tokens that are worked on together
-
-DIGIT = re.compile(r"\d")
-FIELD = xxhash.xxh64_intdigest("\x00")
+HELD = 1 << 20  # bytes, and then tokens, that are worked on together
+
+# bytes between tokens, all that str.split knows in ASCII
+BETWEEN = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21)])
+DIGIT = np.isin(np.arange(256), np.frombuffer(b"0123456789", np.uint8))
+GAP = re.compile(rb"[\x09-\x0D\x1C-\x20]")
+ODD = re.compile(r"[^\S\x00-\x7f]|[^\D\x00-\x7f]")  # other spaces and digits
+FIELD = 1  # in place of a token's hash
 STEP = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
 BACK = pow(STEP, -1, 1 << 64)
 APART = {(i, j): [k for k in range(BANDS) if k not in (i, j)] for i in range(BANDS) for j in range(i + 2, BANDS)}
@@ -52,14 +55,8 @@ COUNTED = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("constant", pa.int
 PLACED = pa.schema([("doc_id", pa.int64()), ("k_text", pa.int64()), ("key", pa.int64()), ("line", pa.int32())])
 
 
-class Names(dict):
-    """Hashes of tokens; all tokens with digits have the same one. Remembers a bounded number of them."""
-
-    def __missing__(self, token: str) -> int:
-        made = FIELD if DIGIT.search(token) else xxhash.xxh64_intdigest(token)
-        if len(self) < 1 << 18:
-            self[token] = made
-        return made
+def _powers(x: int, n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(n, x, np.uint64)])
 
 
 def _named(*parts) -> np.ndarray:
@@ -80,8 +77,7 @@ def templates(tokens: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarra
     """
     starts = np.cumsum(sizes) - sizes
     places = np.arange(len(tokens)) - np.repeat(starts, sizes)
-    longest = int(sizes.max(initial=0)) + 1
-    power, back = (np.cumprod(np.r_[np.uint64(1), np.full(longest, x, np.uint64)]) for x in (STEP, BACK))
+    power, back = (_powers(x, int(sizes.max(initial=0)) + 1) for x in (STEP, BACK))
     sums = np.r_[np.uint64(0), np.cumsum(tokens * power[places])]
     known = np.r_[0, np.cumsum(tokens != np.uint64(FIELD))]
 
@@ -124,31 +120,48 @@ def templates(tokens: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarra
             yield key[kept], constant[kept], line[kept]
 
 
-def _found(texts: list[str | None], names: Names) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of some UTF-8 lines, and how many tokens each line has. All gaps and digits are ASCII."""
+    weights = _named(3, np.arange(256))
+    power = back = _powers(STEP, 0)
+    hashes, lines, line, low = [], [], 0, 0
+    while low < len(data):
+        gap = GAP.search(data, low + HELD)
+        high = gap.start() if gap else len(data)
+        part = np.frombuffer(data, np.uint8, high - low, low)
+        if len(power) <= len(part):
+            power, back = (_powers(x, len(part)) for x in (STEP, BACK))
+        inside = np.r_[False, ~BETWEEN[part], False]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        first, last = edges[::2], edges[1::2]
+        sums = np.r_[np.uint64(0), np.cumsum(weights[part] * power[: len(part)])]
+        made = _named((sums[last] - sums[first]) * back[first])
+        digits = np.r_[0, np.cumsum(DIGIT[part], dtype=np.int32)]
+        made[digits[last] > digits[first]] = FIELD
+        breaks = np.flatnonzero(part == 0x0A)
+        hashes.append(made)
+        lines.append(line + np.searchsorted(breaks, first))
+        line, low = line + len(breaks), high
+    if not hashes:
+        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+    return np.concatenate(hashes), np.bincount(np.concatenate(lines), minlength=line + 1)
+
+
+def _found(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``keys, constants, rows, lines`` of all templates of some texts."""
+    plain = [t if t.isascii() else ODD.sub(lambda m: " " if m[0].isspace() else "0", t) for t in (t or "" for t in texts)]
+    counts = np.array([t.count("\n") + 1 for t in plain], np.int64)
+    rows = np.repeat(np.arange(len(plain), dtype=np.int32), counts)
+    numbers = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+    hashes, sizes = _tokens("\n".join(plain).encode("utf-8", "surrogatepass"))
+    ends = np.r_[0, np.cumsum(sizes)]
     made: list[tuple] = []
-    tokens: list[str] = []
-    sizes: list[int] = []
-    rows: list[int] = []
-    numbers: list[int] = []
-
-    def work():
-        row, number = np.array(rows, np.int32), np.array(numbers, np.int32)
-        hashes = np.fromiter(map(names.__getitem__, tokens), np.uint64, len(tokens))
-        made.extend((key, constant, row[at], number[at]) for key, constant, at in templates(hashes, np.array(sizes, np.int64)))
-        for held in (tokens, sizes, rows, numbers):
-            held.clear()
-
-    for row, text in enumerate(texts):
-        for number, line in enumerate((text or "").split("\n")):
-            if own := line.split():
-                tokens += own
-                sizes.append(len(own))
-                rows.append(row)
-                numbers.append(number)
-                if len(tokens) >= HELD:
-                    work()
-    work()
+    low = 0
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + HELD, "right")) - 1)
+        found = templates(hashes[ends[low] : ends[high]], sizes[low:high])
+        made += [(key, constant, rows[low + at], numbers[low + at]) for key, constant, at in found]
+        low = high
     return tuple(np.concatenate(column) for column in zip(*made, strict=True))
 
 
@@ -163,9 +176,8 @@ def recurring_templates(docs: DataFrame) -> DataFrame:
     once in it however often it stands there. Written to the shared folder."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names()
         for batch in batches:
-            key, constant, row, _ = _found(batch.column(1).to_pylist(), names)
+            key, constant, row, _ = _found(batch.column(1).to_pylist())
             if len(key):
                 order = np.lexsort((row, key))
                 key, constant, row = key[order], constant[order], row[order]
@@ -198,9 +210,9 @@ def _recurring_lines(docs: DataFrame) -> DataFrame:
     table = _table(recurring)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, marks = Names(), np.frombuffer(table, np.uint64)
+        marks = np.frombuffer(table, np.uint64)
         for batch in batches:
-            key, _, row, line = _found(batch.column(2).to_pylist(), names)
+            key, _, row, line = _found(batch.column(2).to_pylist())
             at = key >> np.uint64(64 - BITS)
             met = (marks[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
             key, row, line = key[met], row[met], line[met]
