@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import zlib
 
 import numpy as np
@@ -42,6 +43,17 @@ WHOLE_PAGES = {
     "<article><h1><a href=1>Title</a></h1><p><a href=2>A paragraph of links</a></p><p>end</p></article>": "Title A paragraph of links end",
     "<main><p>lead</p><article><p>one is long</p></article><article><p>two</p></article></main>": "lead one is long two",
     "<article><p>one</p></article><article class=comment><p>no</p></article><article class='news-card'><p>no</p></article>": "one",
+    # names that only look like those of boxes, or name a section of the article
+    "<article><p>a</p><section id='discussion'><p>b</p></section><h2 id='related-work'>c</h2><p class='share-price'>d</p><div class='side-by-side'>e"
+    "</div></article>": "a b c d e",
+    # and names of boxes
+    "<article><p>a</p><ol class='commentlist'><li>b</li></ol><div class='related'>c</div><div class='shareButtons'>d</div><section id='comments'>e</section>"
+    "<div id='related-posts'>f</div></article>": "a",
+    "<div class=commentlist><p>no</p></div><p>text</p>": "text",
+    "<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds<canvas>drawn</canvas></p></article>": "so x=2 holdsdrawn",
+    # short stretches of prose count, bare ones do not; a linked paragraph amid text counts
+    f"<p>Short intro.</p><nav>a</nav><nav>b</nav><nav>c</nav><p>{LONG}</p><nav>a</nav><nav>b</nav><nav>c</nav><div>Frame</div>": f"Short intro. {LONG}".strip(),
+    "<div><p>one</p><p><a href=1>all of it a link</a></p><p>two</p><div><a href=2>Home</a></div></div>": "one all of it a link two",
     f"<div><p>{LONG}</p><p class=ad>x</p><p class=ad>x</p><p class=ad>x</p><p>{LONG}</p></div>": f"{LONG}{LONG}".strip(),
 }
 
@@ -56,6 +68,32 @@ def test_main_text(page):
     assert html.main_text(page) == PAGES[page]
 
 
+def surge_and_dive(sizes, window=html.WINDOW):
+    """Stretches by looking at each line's window anew."""
+    met, open_at = [], None
+    for i in range(len(sizes) + 1):
+        some = i < len(sizes) and any(sizes[max(0, i - window + 1) : i + 1])
+        if some and open_at is None:
+            open_at = i
+        if not some and open_at is not None:
+            met.append(range(open_at, i))
+            open_at = None
+    return met
+
+
+def test_stretches_match_brute_force():
+    r = random.Random(5)
+    for _ in range(300):
+        blocks = [r.choice(["nav", "nav", "p", "div"]) for _ in range(r.randint(1, 30))]
+        texts = [f"w{i} " + "word " * r.choice([0, 1, 30]) for i in range(len(blocks))]
+        page = "".join(f"<{b}>{t}</{b}>" for b, t in zip(blocks, texts, strict=True))
+        texts = ["" if b == "nav" else t.strip() for b, t in zip(blocks, texts, strict=True)]
+        found = [[(blocks[i], texts[i]) for i in s if texts[i]] for s in surge_and_dive([len(t) for t in texts])]
+        sizes = [sum(len(t) for _, t in s) for s in found]
+        kept = [s for s, n in zip(found, sizes, strict=True) if n >= min(html.ENOUGH, max(sizes)) or any(b == "p" for b, _ in s)]
+        assert html.main_text(page) == " ".join(t for s in kept for _, t in s)
+
+
 def test_pages_with_nulls_repeats_and_none(spark):
     schema = "page_id long, url string, html string, text string, n_chars long"
     rows = [(1, "u", None, "clash", 0), (1, "u", None, "clash", 0), (2, None, "<p>é " + "long " * 50_000, "", 1), (None, "v", "<p>x", "", 1)]
