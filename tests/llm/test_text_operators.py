@@ -141,7 +141,7 @@ def test_leaks_match_brute_force(spark, make_docs, block_chars):
     got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.leaked_items(docs, bench, block_chars).collect()}
     want = {}
     for d, text in enumerate(texts[:-1]):
-        for i, item in items[:8]:
+        for i, item in [*items[:8], items[-1]]:  # items of equal text are found under each id
             form = decontaminate.normal(item)
             distance = plain_distance(form, decontaminate.normal(text or ""))
             if distance <= decontaminate.budget(form):
@@ -161,6 +161,25 @@ def test_budget_is_one_edit_per_twenty_characters(spark, make_docs):
     assert got == {(1, 1, plain_distance(item, item.replace("green", "fluid"))), (2, 2, 1)}
 
 
+def test_short_items_are_reported_word_for_word(spark, make_docs):
+    docs = make_docs([(1, "Is it the Capital?"), (2, "the capitals"), (3, "breathe capital"), (4, "他说：日本的首都是哪座城市呢，请回答。"), (5, "say 4711 now 47112"), (6, "47112")])
+    items = [(1, "the capital?"), (2, "日本的首都是哪座城市"), (3, "4711"), (4, "The CAPITAL"), (None, "4711."), (5, "?!")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block_chars in (10**6, 5):
+        got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.leaked_items(docs, bench, block_chars).collect()}
+        assert got == {(1, 1, 0), (1, 4, 0), (4, 2, 0), (5, 3, 0), (5, -1, 0)}
+    assert decontaminate.drop_leaked(docs, bench).count() == 6
+    assert {r.doc_id for r in decontaminate.drop_leaked(docs, bench, least=10).collect()} == {2, 3, 5, 6}
+
+
+def test_the_driver_holds_one_block_at_a_time(spark):
+    bench = spark.createDataFrame([(i, prose(20, i)) for i in range(40)], "item_id long, text string")
+    n, blocks = decontaminate.item_blocks(decontaminate.item_classes(bench), block_chars=1000)
+    sizes = [sum(len(form) for _, form in next(blocks)) for _ in range(n)]
+    assert n > 3 and next(blocks, None) is None and max(sizes) < 3000
+    assert sum(sizes) == sum(len(decontaminate.normal(prose(20, i))) for i in range(40))
+
+
 def test_leaks_of_empty_tables(spark, make_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaked_items(make_docs([(1, "a b")]), none).count() == 0

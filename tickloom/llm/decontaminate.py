@@ -4,12 +4,16 @@ An item may be found with up to k edits. It is cut into k + 1 pieces, so at leas
 whatever matches. All pieces are looked up in one pass over a text; every place they point to is verified with Myers'
 bit-parallel edit distance against the whole item. Nothing is sampled, and no text or item is cut short.
 
-Items go to the tasks in blocks of bounded size, however large the benchmark: with more items there are more blocks.
+Items go to the tasks in blocks of bounded size, however large the benchmark: with more items there are more blocks, and
+the driver holds one at a time. Items too short for an edit have to stand there as they are, and as whole words where
+they begin or end with letters that have a case, or digits. They are reported, but a document is dropped only for items of
+at least ``LEAST`` characters: `the capital` is no evidence.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -17,9 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm.text import map_text
+from tickloom.session import checkpoint
 
 PIECE = 20  # characters per allowed edit
-LEAST = 20  # normal characters below which an item is no evidence
+LEAST = 20  # normal characters below which an item does not drop a document
 BLOCK_CHARS = 1_000_000  # characters of items in one block
 
 PLAIN = re.compile(r"[^\W_]+")
@@ -69,6 +74,12 @@ def best_match(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def _whole(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on beyond an end of a stretch. Scripts without case and spaces have no such words."""
+    cased = lambda a, b: a.islower() and b.islower() or a.isdigit() and b.isdigit()
+    return not (start and cased(text[start - 1], text[start])) and not (end < len(text) and cased(text[end - 1], text[end]))
+
+
 class Matcher:
     """The pieces of a block of items in one automaton."""
 
@@ -97,6 +108,11 @@ class Matcher:
         found = []
         for n, starts in places.items():
             item_id, item, k, masks = self.items[n]
+            if not k:
+                ends = [at + len(item) for at in starts if _whole(text, at, at + len(item))]
+                if ends:
+                    found.append((item_id, 0, min(ends)))
+                continue
             starts.sort()
             best = (k + 1, 0)
             at = 0
@@ -111,62 +127,74 @@ class Matcher:
                 at = last + 1
             if best[0] <= k:
                 found.append((item_id, *best))
-        return sorted(found)
-
-
-def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
-    """Items ``(item_id, normal text)`` in blocks. Equal texts count once, under the smallest id; texts with fewer than
-    :data:`LEAST` normal characters are no evidence and left out."""
-    distinct = benchmark.where("text IS NOT NULL").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    chars = distinct.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-chars // block_chars))
-    blocks = []
-    for b in range(n):  # a block is bounded; hashes spread the items evenly
-        rows = distinct.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect() if n > 1 else distinct.collect()
-        items: dict[str, int] = {}
-        for r in sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"] or 0)):
-            if len(form := normal(r["text"])) >= LEAST:
-                items.setdefault(form, r["item_id"])
-        blocks.append([(item_id, form) for form, item_id in items.items()])
-    return [b for b in blocks if b]
+        return sorted(found, key=lambda f: (f[0] is None, f[0] or 0))
 
 
-MATCH = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("item_id", "distance", "end")]))
+def item_classes(benchmark: DataFrame) -> DataFrame:
+    """``item_id, form, first``: normal forms of the items, and the smallest id of all items of that form."""
 
+    def start():
+        return lambda texts: [[normal(t) for t in texts]]
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``keep`` and ``leaks``: for every row an array of ``item_id, distance, end``, empty where nothing leaked.
+    forms = map_text(benchmark.where("text IS NOT NULL"), [F.col("item_id")], F.col("text"), {"form": "string"}, start).where("form != ''")
+    firsts = forms.groupBy("form").agg(F.min("item_id").alias("first"))
+    return forms.join(firsts, "form").select("item_id", "form", "first")
 
-    A null or empty text holds nothing; items with a null text are left out; an empty benchmark finds nothing.
-    """
-    names = docs.select(*keep).columns
-    out = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__doc"), F.array().cast("array<long>").alias("__flat"))
-    for items in item_blocks(benchmark, block_chars):
 
-        def start(items=items):
-            matcher = Matcher(items)
+def item_blocks(classes: DataFrame, least: int = 1, block_chars: int = BLOCK_CHARS) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """Their number, and blocks of ``(first, form)``, each gathered only when it is asked for. Forms under ``least``
+    characters are left out."""
+    distinct = classes.where(F.length("form") >= least).select("first", "form").distinct()
+    chars = distinct.agg(F.sum(F.length("form"))).first()[0] or 0
+    n = -(-chars // block_chars)  # hashes spread the items evenly
+    blocks = (distinct.where(F.pmod(F.xxhash64("form"), F.lit(n)) == b) if n > 1 else distinct for b in range(n))
+    return n, (sorted(((r["first"], r["form"]) for r in b.collect()), key=lambda r: r[1]) for b in blocks)
+
+
+MATCH = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("item_id", "distance", "end")]))
 
-            def work(texts: list[str]) -> list[list]:
-                return [[[x for m in matcher.matches(t) for x in (-1 if m[0] is None else m[0], *m[1:])] for t in texts]]
 
-            return work
+def find_leaks(docs: DataFrame, items: list[tuple[int, str]], keep: list) -> DataFrame:
+    """``keep`` and ``leaks``: for every row an array of ``item_id, distance, end`` of one block of items, empty where
+    nothing leaked. A null or empty text holds nothing. Null ids of items become -1."""
 
-        kept = [F.col(c) for c in [*names, "__doc", "__flat"]]
-        out = map_text(out, kept, F.col("__doc"), {"__new": "array<long>"}, start)
-        out = out.withColumn("__flat", F.concat("__flat", "__new")).drop("__new")
+    def start():
+        matcher = Matcher(items)
+
+        def work(texts: list[str]) -> list[list]:
+            return [[[x for m in matcher.matches(t) for x in (-1 if m[0] is None else m[0], *m[1:])] for t in texts]]
+
+        return work
+
+    names = docs.select(*keep).columns
+    out = map_text(docs, keep, F.col("text"), {"__flat": "array<long>"}, start)
     at = F.sequence(F.lit(1), F.size("__flat"), F.lit(3))
     row = lambda i: F.struct(*[F.element_at("__flat", (i + k).cast("int")).alias(f) for k, f in enumerate(("item_id", "distance", "end"))])
     leaks = F.when(F.size("__flat") > 0, F.transform(at, row)).otherwise(F.array().cast(MATCH))
     return out.select(*names, leaks.alias("leaks"))
 
 
-def leaked_items(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``doc_id, item_id, distance, end``: one row for each document and benchmark item that it holds."""
-    found = find_leaks(docs, benchmark, [F.col("doc_id")], block_chars)
-    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
-
-
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, unchanged."""
-    found = find_leaks(docs, benchmark, [F.struct(*docs.columns).alias("row")], block_chars)
-    return found.where(F.size("leaks") == 0).select("row.*")
+def leaked_items(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, least: int = 1) -> DataFrame:
+    """``doc_id, item_id, distance, end``: one row for each document and benchmark item that it holds, items of one normal
+    form each with its own id. Items without letters or digits are left out; an empty benchmark finds nothing.
+    """
+    classes = item_classes(benchmark)
+    n, blocks = item_blocks(classes, least, block_chars)
+    found = find_leaks(docs.limit(0), [], [F.col("doc_id")]).select("doc_id", F.explode("leaks").alias("leak"))
+    for items in blocks:
+        part = find_leaks(docs, items, [F.col("doc_id")]).select("doc_id", F.explode("leaks").alias("leak"))
+        # what a block finds is written before the next one is gathered
+        found = part if n == 1 else found.unionByName(checkpoint(part))
+    members = classes.select(F.coalesce("first", F.lit(-1)).alias("first"), F.coalesce("item_id", F.lit(-1)).alias("item_id")).distinct()
+    found = found.select("doc_id", F.col("leak.item_id").alias("first"), "leak.distance", "leak.end")
+    return found.join(members, "first").select("doc_id", "item_id", "distance", "end")
+
+
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, least: int = LEAST) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item of at least ``least`` normal characters, unchanged."""
+    n, blocks = item_blocks(item_classes(benchmark), least, block_chars)
+    for items in blocks:
+        found = find_leaks(docs, items, [F.struct(*docs.columns).alias("row")])
+        docs = found.where(F.size("leaks") == 0).select("row.*")
+        docs = docs if n == 1 else checkpoint(docs)
+    return docs
