@@ -410,6 +410,13 @@ def test_secret_scan_adds_random_tokens_and_keeps_base(spark, make_docs):
     assert secrets.digests(secrets.find_secrets(make_docs([]))).count() == 0
 
 
+def test_secret_scan_counts_by_kind_not_by_place(spark, make_docs):
+    access, plain = "AKIA" + "Q7" * 8, "0123456789abcdef" * 2
+    rows = [(1, f"{plain} token=abcdef"), (2, f"x {access} y {access} z"), (3, f"{plain} {plain} {access} password: abcdefg")]
+    got = {x.doc_id: (x.n_assign, x.n_access, x.n_hex) for x in secrets.digests(secrets.find_secrets(make_docs(rows))).collect()}
+    assert got == {1: (1, 0, 1), 2: (0, 2, 0), 3: (1, 1, 2)}
+
+
 def test_secret_scan_finds_keys_of_one_kind(spark, make_docs):
     r = random.Random(7)
     language = ["the", "and", "ing", "tion", "er", "en", "re", "on", "an", "st", "le", "sh", "ou", "de", "mo", "ra", "li", "pe", "ca", "va"]

@@ -276,9 +276,11 @@ def digests(found: DataFrame) -> DataFrame:
         text = F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, (s["kind"] + 1).cast("int")), s["start"].cast("string"), s["end"].cast("string")))
         return F.array_join(text, ",")
 
-    counts = [
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)
-    ]
+    def count(k: int):
+        # one argument only: Spark gives a second one the place in the array
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+
+    counts = [count(k).alias(f"n_{KINDS[k]}") for k in range(3)]
     return found.select(
         "doc_id",
         *counts,
