@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import finite, safe_div
-from tickloom.operators.groups import attach, counted_quantiles, ranks
+from tickloom.operators.groups import attach, counted_quantiles, running
 from tickloom.operators.solve import near_means
 from tickloom.session import checkpoint
 
 
 PROFILE = ("rows", "missing", "finite", "infinite", "zero")
+CHUNK_BITS = 12  # rows of one chunk when values are put back into rows, as a power of two
 HELD_ROWS = 200_000  # rows whose values a task counts before it passes them on
 
 
@@ -166,19 +167,60 @@ def _pair_sums(means: np.ndarray, left: np.ndarray, right: np.ndarray):
     return run
 
 
-def _ranked(df: DataFrame, names: list[str]) -> DataFrame:
-    """``_row, _ranks``: average ranks of every feature in one array per row, NULL where a value is missing.
+def _rows_of(k: int):
+    """Task function: one array of ``k`` values per row from ``(_chunk, _row, i, _rank)``, which come chunk after chunk."""
 
-    All features are ranked at once, as one column by feature and value; the rows are numbered in a written copy, so a
-    repeated task finds the same numbers.
+    def made(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        row, i, rank = (np.concatenate(c) for c in zip(*parts))
+        numbers, at = np.unique(row, return_inverse=True)
+        v = np.full((len(numbers), k), np.nan)
+        v[at, i] = rank
+        lists = pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * k, pa.array(v.ravel()))
+        return pa.RecordBatch.from_arrays([lists], names=["_ranks"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        chunk = None
+        for batch in batches:
+            if batch.num_rows:
+                chunks, *values = (c.to_numpy() for c in batch.columns)
+                # rows of the batch that belong to chunks which end in it
+                whole = int(np.searchsorted(chunks, chunks[-1]))
+                if whole or chunks[-1] != chunk:
+                    done = [*held, [v[:whole] for v in values]] if whole else held
+                    if done:
+                        yield made(done)
+                    held = []
+                held.append([v[whole:] for v in values])
+                chunk = chunks[-1]
+        if held:
+            yield made(held)
+
+    return run
+
+
+def _ranked(df: DataFrame, names: list[str]) -> tuple[DataFrame, np.ndarray]:
+    """``_ranks``: average ranks of every feature in one array per row, NaN where a value is missing; and their means.
+
+    All features are ranked at once: a table of (feature, value, count) is placed by running sums, and only its ranks are
+    joined to the values. The rows are numbered in a written copy, so a repeated task finds the same numbers.
     """
+    k = len(names)
     numbered = checkpoint(df.select(*[finite(c).alias(f"_{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("_row")))
-    values = F.array(*[F.col(f"_{i}") for i in range(len(names))])
-    long = numbered.select("_row", F.posexplode(values).alias("_feature", "_value")).where("_value IS NOT NULL")
-    placed = ranks(long, ["_feature"], "_value", {"_rank": "average"})
-    found = placed.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_feature", "_rank"))).alias("_of"))
-    each = F.sequence(F.lit(0), F.lit(len(names) - 1))
-    return found.select("_row", F.transform(each, lambda i: F.try_element_at("_of", i)).alias("_ranks"))
+    values = F.array(*[F.col(f"_{i}") for i in range(k)])
+    counts = numbered.select(values.alias("v")).mapInArrow(_counted(k), "i int, v double, n long")
+    counts = checkpoint(counts.groupBy("i", "v").agg(F.sum("n").alias("n")))
+    placed = running(counts, ["i"], ["v"], {"_high": ("sum", "n")})
+    placed = placed.select("i", "v", (F.col("_high") - (F.col("n") - 1) / 2.0).alias("_rank"))
+    long = numbered.select("_row", F.posexplode(values).alias("i", "v")).where("v IS NOT NULL")
+    chunk = F.shiftright("_row", CHUNK_BITS).alias("_chunk")
+    # a value that many rows share would fill one task of a merge join
+    found = long.join(placed.hint("shuffle_hash"), ["i", "v"]).select(chunk, "_row", "i", "_rank")
+    lined = found.repartition("_chunk").sortWithinPartitions("_chunk")
+    means = np.zeros(k)
+    for r in counts.groupBy("i").agg(F.sum("n").alias("n")).collect():  # one row per feature
+        means[r["i"]] = (r["n"] + 1) / 2.0
+    return lined.mapInArrow(_rows_of(k), "_ranks array<double>"), means
 
 
 def correlated_pairs(
@@ -198,16 +240,15 @@ def correlated_pairs(
     """
     kind = groups or {}
     names = list(features)
-    work = df
     if method == "spearman":
-        work = _ranked(df, names).select(F.col("_ranks"))
+        work, means = _ranked(df, names)
     else:
-        work = work.select(F.array(*[F.col(c).cast("double") for c in names]))
-    # one row per feature reaches the driver
-    sums = work.mapInArrow(_feature_sums(len(names)), "i int, n long, total double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    means = np.zeros(len(names))
-    for r in sums.collect():
-        means[r["i"]] = r["total"] / max(1, r["n"])
+        work = df.select(F.array(*[F.col(c).cast("double") for c in names]))
+        # one row per feature reaches the driver
+        sums = work.mapInArrow(_feature_sums(len(names)), "i int, n long, total double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        means = np.zeros(len(names))
+        for r in sums.collect():
+            means[r["i"]] = r["total"] / max(1, r["n"])
     left, right = np.triu_indices(len(names), 1)
     if same_group_only:
         group = np.array([kind.get(c, "other") for c in names])
