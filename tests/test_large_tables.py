@@ -25,3 +25,13 @@ def test_rank_correlation_puts_rows_together_in_chunks(spark, monkeypatch, bits)
     got = {(r.feature_a, r.feature_b): r["corr"] for r in hygiene.correlated_pairs(df, ["y", "s", "t", "u"], 0.0, "spearman").collect()}
     ranked = pdf.replace([np.inf], np.nan).rank()
     assert got == {(a, b): pytest.approx(ranked[a].corr(ranked[b])) for a, b in got} and len(got) == 6
+
+
+def test_rolling_ridge_keeps_windows_spread(spark):
+    days = [f"{y}-01-{d:02d}" for y in (2000, 2001, 2002) for d in range(1, 21)]
+    df = spark.createDataFrame([(d, float(i), float(i % 7)) for i, d in enumerate(days)], "date string, x double, y double")
+    windows = [{"test_year": y, "train_start": "2000-01-01", "train_end": f"{y - 1}-12-31", "test_start": f"{y}-01-01", "test_end": f"{y}-12-31"} for y in (2001, 2002)]
+    out = modeling.rolling_ridge(df, windows, ["x"], "y")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [window" in plan
+    assert out.count() == 40

@@ -209,7 +209,8 @@ def rolling_ridge(
     rows = df.withColumn("window", F.explode(F.transform(inside, lambda w: w["window"])))
     values = F.array(*[F.coalesce(finite(c), F.lit(0.0)) for c in features])
     terms = F.zip_with("weights", values, lambda w, x: w * x)
-    scored = rows.join(fits, "window").withColumn("prediction", F.col("intercept") + F.aggregate(terms, F.lit(0.0), lambda s, v: s + v))
+    # one row per window: a shuffle by window would leave all rows of a window to one task here and in what follows
+    scored = rows.join(F.broadcast(fits), "window").withColumn("prediction", F.col("intercept") + F.aggregate(terms, F.lit(0.0), lambda s, v: s + v))
     return scored.drop("intercept", "weights")
 
 
