@@ -35,3 +35,19 @@ def test_rolling_ridge_keeps_windows_spread(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin [window" in plan
     assert out.count() == 40
+
+
+def test_variant_summary_computes_its_metrics_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = [("a", f"2020-0{m}-01", c, m * 1.0 - 1.5) for m in (1, 2, 3) for c in ("x", "y")]
+    schema = "variant string, date string, clock string, next_bps double"
+    metrics = spark.createDataFrame(rows, schema).mapInPandas(counted, schema)
+    got = variants.variant_summary(metrics, "next_bps", "date", "clock").collect()
+    assert seen.value == len(rows)
+    assert [(r.groups, r.positive_months, r.positive_minutes) for r in got] == [(6, 2, 2)]

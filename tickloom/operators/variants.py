@@ -15,6 +15,7 @@ from tickloom.operators.evaluate import with_place
 from tickloom.operators.groups import attach, carry, carry_copies, group_columns, group_median, quantiles
 from tickloom.operators.solve import fitted, group_coefficients
 from tickloom.operators.targets import risk_components
+from tickloom.session import checkpoint
 
 # fixed values: guard name to its rank-share bounds per column, as column:low:high
 GUARDS = {
@@ -102,6 +103,7 @@ def score_variants(
 def variant_summary(metrics: DataFrame, excess: str, date: str, clock: str) -> DataFrame:
     """Means per variant, positive share, positive months and positive minutes."""
     measured = [c for c in metrics.columns if c.endswith("_bps") or c.endswith("_rows")]
+    metrics = checkpoint(metrics)  # one row per variant and group, read for three summaries
     month = F.substring(date, 1, 7)
     stats = metrics.groupBy("variant").agg(
         F.count(F.lit(1)).alias("groups"), *[F.avg(c).alias(c) for c in measured], share(above_zero(excess)).alias("positive_rate")
