@@ -51,3 +51,14 @@ def test_variant_summary_computes_its_metrics_once(spark):
     got = variants.variant_summary(metrics, "next_bps", "date", "clock").collect()
     assert seen.value == len(rows)
     assert [(r.groups, r.positive_months, r.positive_minutes) for r in got] == [(6, 2, 2)]
+
+
+def test_days_are_counted_before_limits_are_worked_out(spark, monkeypatch):
+    counted, real = [], execution.hot_groups
+    monkeypatch.setattr(execution, "hot_groups", lambda df, keys: counted.append(df.columns) or real(df, keys))
+    rows = [("p", "2020-01-01", c, f"s{i}", 100.0 * (i + 1), float(i), "O") for c in ("x", "y") for i in range(6)]
+    df = spark.createDataFrame(rows, "pool string, date string, decision string, symbol string, row_limit double, prediction double, status string")
+    got = execution.visible_refill(df, execution.Execution(symbol_cap=700.0, max_names=4), 1200.0, "prediction", status="status", statuses=["O"])
+    found = sorted((r.decision, r.allocation_order, r.symbol, r.allocated_notional) for r in got.collect())
+    assert found == [("x", 1, "s5", 600.0), ("x", 2, "s4", 500.0), ("x", 3, "s3", 100.0), ("y", 1, "s5", 100.0), ("y", 2, "s4", 200.0), ("y", 3, "s3", 400.0), ("y", 4, "s2", 300.0)]
+    assert counted and not any("_limit" in c for c in counted)

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from tickloom.functions.numeric import BPS, finite, sum_present
 from tickloom.operators.checks import tradable
-from tickloom.operators.groups import attach, group_rows, hot_groups, over, position
+from tickloom.operators.groups import attach, carry, group_rows, hot_groups, over, position
 from tickloom.session import checkpoint
 
 
@@ -93,47 +93,54 @@ def _walk(rules: Execution, day: list[str], group: list[str]):
         for batch in batches:
             given = np.zeros(len(batch))
             order = np.zeros(len(batch), dtype="int64")
-            days = list(zip(*[batch[c] for c in day]))
-            groups = list(zip(*[batch[c] for c in group]))
             limit, target = batch["_limit"].to_numpy(), batch["_target"].to_numpy()
             price, symbol, sector = batch["_price"].to_numpy(), batch["_symbol"].to_numpy(), batch["_sector"].to_numpy()
-            for i in range(len(batch)):
-                if days[i] != day_now:
-                    day_now, symbols, decisions = days[i], {}, {}
+            # where a decision's rows begin in the batch
+            keys = [batch[c].to_numpy() for c in group]
+            new = np.ones(len(batch), dtype=bool)
+            if len(batch):
+                new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            starts = [*np.flatnonzero(new).tolist(), len(batch)]
+            for start, end in zip(starts, starts[1:]):
+                key_now = tuple(k[start] for k in keys)
+                if key_now[: len(day)] != day_now:
+                    day_now, symbols, decisions = key_now[: len(day)], {}, {}
                     if not rules.industry_per_decision:
                         industries = {}
-                if groups[i] != group_now:
-                    group_now, left, names = groups[i], target[i], 0
+                if key_now != group_now:
+                    group_now, left, names = key_now, target[start], 0
                     if rules.industry_per_decision:
                         industries = {}
-                if (rules.max_names and names >= rules.max_names) or left <= rules.stop_at:
-                    continue
-                s, key = symbol[i], sector[i]
-                seen = decisions.get(s)
-                if rules.max_decisions and seen and seen[1] != group_now and seen[0] >= rules.max_decisions:
-                    continue
-                amount = min(limit[i], max(0.0, left))
-                if rules.symbol_cap > 0:
-                    amount = min(amount, max(0.0, symbols.get(s, rules.symbol_cap)))
-                if rules.industry_cap > 0:
-                    amount = min(amount, max(0.0, industries.get(key, rules.industry_cap)))
-                amount *= rules.fill_rate
-                if rules.lot_shares > 0 and not math.isnan(price[i]):
-                    whole = math.floor(amount / price[i] / rules.lot_shares) if price[i] > 0 else 0
-                    amount = whole * rules.lot_shares * price[i]
-                if amount <= 0 or (rules.min_child > 0 and amount < rules.min_child):
-                    continue
-                given[i] = amount
-                names += 1
-                order[i] = names
-                left = max(0.0, left - amount)
-                if rules.symbol_cap > 0:
-                    symbols[s] = max(0.0, symbols.get(s, rules.symbol_cap) - amount)
-                if rules.industry_cap > 0:
-                    industries[key] = max(0.0, industries.get(key, rules.industry_cap) - amount)
-                if rules.max_decisions:
-                    count = seen[0] if seen else 0
-                    decisions[s] = (count + (not seen or seen[1] != group_now), group_now)
+                for i in range(start, end):
+                    # nothing is left for the rest of the decision
+                    if (rules.max_names and names >= rules.max_names) or left <= rules.stop_at:
+                        break
+                    s, key = symbol[i], sector[i]
+                    seen = decisions.get(s)
+                    if rules.max_decisions and seen and seen[1] != group_now and seen[0] >= rules.max_decisions:
+                        continue
+                    amount = min(limit[i], max(0.0, left))
+                    if rules.symbol_cap > 0:
+                        amount = min(amount, max(0.0, symbols.get(s, rules.symbol_cap)))
+                    if rules.industry_cap > 0:
+                        amount = min(amount, max(0.0, industries.get(key, rules.industry_cap)))
+                    amount *= rules.fill_rate
+                    if rules.lot_shares > 0 and not math.isnan(price[i]):
+                        whole = math.floor(amount / price[i] / rules.lot_shares) if price[i] > 0 else 0
+                        amount = whole * rules.lot_shares * price[i]
+                    if amount <= 0 or (rules.min_child > 0 and amount < rules.min_child):
+                        continue
+                    given[i] = amount
+                    names += 1
+                    order[i] = names
+                    left = max(0.0, left - amount)
+                    if rules.symbol_cap > 0:
+                        symbols[s] = max(0.0, symbols.get(s, rules.symbol_cap) - amount)
+                    if rules.industry_cap > 0:
+                        industries[key] = max(0.0, industries.get(key, rules.industry_cap) - amount)
+                    if rules.max_decisions:
+                        count = seen[0] if seen else 0
+                        decisions[s] = (count + (not seen or seen[1] != group_now), group_now)
             kept = given > 0
             out = batch.loc[kept].drop(columns=HELPERS)
             yield out.assign(allocated_notional=given[kept], allocation_order=order[kept])
@@ -179,7 +186,8 @@ def sequential_allocation(
     able = (best > 0) & (best >= rules.min_child * (1.0 - 1e-12))
     able_rows = marked.where(able)
     unit = list(day) if rules.shares_day() else [*day, decision]
-    hot = hot_groups(able_rows, unit)
+    # all rows are counted first: their plan is short, that of the filtered rows holds every limit's formula several times
+    hot = None if hot_groups(rows, unit) is None else hot_groups(able_rows, unit)
     small = able_rows if hot is None else able_rows.join(hot, unit, "left_anti")
     lined = small.repartition(*unit).sortWithinPartitions(*day, decision, *order)
     fields = [f for f in able_rows.schema.fields if f.name not in HELPERS]
@@ -299,12 +307,15 @@ def visible_refill(
     Rows without an industry share one industry budget; a target counts as filled from 1e-9 left on.
     """
     rules = replace(rules, stop_at=max(rules.stop_at, 1e-9))
-    rows = candidates.dropna(subset=[score]).withColumn("_s", -F.col(score))
+    rows = carry(candidates.dropna(subset=[score]).withColumn("_s", -F.col(score)), candidates)
+    if rules.shares_day() and hot_groups(rows, list(day)) is None:
+        rows = carry(rows, rows, list(day))  # days that fit a task, counted before any formula
     tie = list(unique) or [symbol]
     ranked = position(rows, [*day, decision], ["_s", *tie], out="candidate_rank")
     eligible = ranked.where(tradable(ranked, **eligibility) & (F.col(limit) > 0)).withColumn(
         "_group_target", F.lit(float(target))
     )
+    eligible = carry(eligible, ranked)
     done = sequential_allocation(eligible, rules, day, decision, ["candidate_rank"], limit, "_group_target", symbol)
     return done.drop("_s", "_group_target")
 
