@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.clock import day, micros
-from tickloom.session import tune
+from tickloom.session import WINDOW_DEFAULTS, tune
 
 
 class Tables:
     """Lazy access to the parquet tables of one folder, plus the two panels built on them."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = tune(spark), folder
+        self.spark, self.folder = tune(spark, WINDOW_DEFAULTS), folder
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"

@@ -17,9 +17,17 @@ RUNTIME_DEFAULTS = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime defaults that the session does not already set."""
-    for key, value in RUNTIME_DEFAULTS.items():
+# For queries whose windows keep a partition's rows in a task's memory: many small shuffle partitions, which adaptive
+# execution joins up to this size, so that a task's memory does not grow with the tables.
+WINDOW_DEFAULTS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+}
+
+
+def tune(spark: SparkSession, more: dict[str, str] | None = None) -> SparkSession:
+    """Apply the runtime defaults, and ``more``, that the session does not already set."""
+    for key, value in (RUNTIME_DEFAULTS | (more or {})).items():
         if spark.conf.get(key, None) in (None, "false") and key.endswith("forceOptimizeSkewedJoin"):
             spark.conf.set(key, value)
         elif spark.conf.get(key, None) is None:
